@@ -2,15 +2,100 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pulseloom.llm.common import table
+from pulseloom.llm.bpe import bpe_decode, bpe_encode
+from pulseloom.llm.common import LOWER_AZ, UPPER_AZ, table
+from pulseloom.llm.exact_dedup import exact_dedup
+from pulseloom.llm.line_dedup import line_dedup
 from pulseloom.llm.ngram_join import ngram_jaccard_join
+from pulseloom.llm.packing import pack
+from pulseloom.llm.quality_rules import quality_rules
+from pulseloom.llm.secrets import scan_secrets
+from pulseloom.llm.url_filter import url_filter
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+#: Rules of the URL filter: verdict, host, path.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def tokenizer_spec(path: str = TOKENIZER) -> str:
+    with open(path, encoding="utf-8") as file:
+        return file.read()
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_ngram_join": op1_ngram_join}
-SQL: dict[str, str] = {}
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(table(spark, sf_dir, "documents"), tokenizer_spec())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
+    return found.select("doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
+    return url_filter(table(spark, sf_dir, "pages"), rules)
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = tokenizer_spec()
+    decoded = bpe_decode(bpe_encode(table(spark, sf_dir, "documents"), spec), spec)
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
+    "op3_packing": op3_packing,
+    "op4_secrets": op4_secrets,
+    "op5_line_dedup": op5_line_dedup,
+    "op7_url_filter": op7_url_filter,
+    "op8_bpe": op8_bpe,
+    "op9_exact_dedup": op9_exact_dedup,
+    "op10_quality_rules": op10_quality_rules,
+}
+
+SQL = {
+    "op5_line_dedup": f"""
+        WITH lines AS (
+            SELECT doc_id, rn, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+            FROM (SELECT doc_id, text, row_number() OVER () AS rn FROM documents)),
+        keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER_AZ}', '{LOWER_AZ}') AS k FROM lines),
+        common AS (SELECT k FROM keyed WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT rn) >= 10)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE c.k IS NOT NULL) AS n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE c.k IS NULL), '')) AS kept_sha256
+        FROM keyed LEFT JOIN common c USING (k) GROUP BY rn, doc_id""",
+    "op7_url_filter": """
+        WITH rules(verdict, host, path) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+        rest AS (SELECT page_id, row_number() OVER () AS rn, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+        parts AS (SELECT page_id, rn, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+        fits AS (SELECT rn, u.host || u.path AS rule, u.verdict, row_number() OVER (PARTITION BY rn ORDER BY length(u.host) + length(u.path) DESC, length(u.host) DESC) AS k
+            FROM parts p JOIN rules u ON (p.host = u.host OR ends_with(p.host, '.' || u.host)) AND starts_with(p.path, u.path))
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN (SELECT * FROM fits WHERE k = 1) USING (rn)""",
+    "op9_exact_dedup": f"""
+        SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+        FROM (SELECT doc_id, translate(coalesce(text, ''), '{UPPER_AZ}', '{LOWER_AZ}') AS t FROM documents) WINDOW w AS (PARTITION BY t)""",
+}
