@@ -1,13 +1,62 @@
-"""Corpus pipeline over documents: stages in order, each a function (spark, docs, sf_dir) -> DataFrame."""
+"""Corpus pipeline over documents: stages in order, each a function (spark, docs, sf_dir) -> DataFrame.
+
+All stages but the last return the columns of documents; n_chars follows the text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pulseloom.llm.common import table, written
+from pulseloom.llm.line_dedup import line_dedup
+from pulseloom.llm.ngram_join import ngram_jaccard_join
+from pulseloom.llm.packing import pack
+from pulseloom.llm.queries import tokenizer_spec
+from pulseloom.llm.secrets import redact_secrets
+from pulseloom.llm.toxicity import learn, toxicity
+
+
+def _recounted(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``after`` in the columns of ``before``; n_chars counts the text's code points (null stays null)."""
+    if "n_chars" in before.columns:
+        after = after.withColumn("n_chars", F.length("text").cast(before.schema["n_chars"].dataType))
+    return after.select(*before.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below 0.5. Null and empty texts stay."""
+    model = learn(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity(docs, *model, score="_score").where("_score < 0.5").select(*docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without the lines that ten documents or more share; null texts become empty."""
+    return _recounted(docs, line_dedup(docs))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of similar documents the one of the least id; word-less documents stay.
+
+    Rows with a null id stay; of rows repeated with id and text one stays.
+    """
+    groups = ngram_jaccard_join(docs)
+    stay = groups.where("n_shingles = 0 or doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_stay")).distinct()
+    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, its secrets replaced by the name of their kind in angle brackets."""
+    return _recounted(docs, redact_secrets(docs))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 2048 tokens, mixed by source; ids as unsigned little-endian 32-bit numbers."""
+    return pack(docs, tokenizer_spec())
+
 
-STAGES: list = []
-#: SQL can't express the learned grammar, the span parser or the tokenizer; tested against brute force instead.
+STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("ngram_join", drop_near_copies), ("secrets", hide_secrets), ("packing", pack_sequences)]
+#: SQL can't express the learned grammar, the span parsers or the tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

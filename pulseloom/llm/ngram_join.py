@@ -5,7 +5,8 @@
    with fewer than the bound's shared hashes has no link and leaves.  The hashes travel packed by bucket,
    one posting for each hash and task, however many documents hold it.
 3. Candidate blocks: of those hashes the most frequent ``l - 1`` may be left out as well; nodes that share
-   one of the others are in one block.  Large blocks are cut into parts and all pairs of parts searched.
+   one of the others are in one block.  Blocks over a part's size are formed again from whole sets; what is still
+   larger is cut into parts and all pairs of parts searched.
 4. In each part (or pair of parts) a DivideSkip T-occurrence search over the full sets finds the links;
    links between sets already connected are not looked up again.
 5. Components of the links; every document takes its node's.
@@ -15,16 +16,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulseloom.llm.common import byte_slices, shuffle_partitions, written
 from pulseloom.llm.components import components
-from pulseloom.llm.shingles import U, shingle_sets, signature
+from pulseloom.llm.shingles import U, mix, shingle_sets, signature
 from pulseloom.llm.toccurrence import spanning_links
 
 #: Bytes of text shingled at once; postings a task holds before it sends them; sets in a part of a block.
-SLICE, FLUSH, PART = 4 << 20, 3_000_000, 512
+SLICE, FLUSH, PART = 4 << 20, 1_500_000, 512
 #: Documents up to which the list of wanted ids is broadcast (8 bytes each); beyond, the texts are joined to it.
 WANTED = 2_000_000
 
@@ -113,7 +114,7 @@ def _postings(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFr
 def _shared_counts(postings: DataFrame, buckets: int) -> DataFrame:
     """(node, shared): how many of its least hashes another node has too (at least)."""
 
-    def run(batches):
+    def count(batches):
         keys, nodes, own, counts = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for batch in batches:
             for name, to, kind in (("keys", keys, U), ("nodes", nodes, np.int64), ("own", own, np.int64), ("counts", counts, np.int64)):
@@ -129,14 +130,30 @@ def _shared_counts(postings: DataFrame, buckets: int) -> DataFrame:
             got, times = np.unique(nodes[several & (nodes != 0)], return_counts=True)
             own.append(got)
             counts.append(times)
-        own, counts = np.concatenate(own), np.concatenate(counts)
-        if len(own):
-            got, place = np.unique(own, return_inverse=True)
-            sums = np.bincount(place, weights=counts).astype(np.int64)
-            for a in range(0, len(got), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(got[a : a + 100_000]), pa.array(sums[a : a + 100_000])], ["node", "shared"])
+        got, sums = _summed(own, counts)
+        place = (mix(got.view(U)) % U(buckets)).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        cuts = np.searchsorted(place[order], np.arange(buckets + 1))
+        parts = [(b, order[cuts[b] : cuts[b + 1]]) for b in range(buckets) if cuts[b] < cuts[b + 1]]
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int32()), pa.array([_pack(got[o], np.int64) for _, o in parts]), pa.array([_pack(sums[o], np.int64) for _, o in parts])], ["bucket", "own", "counts"])
+
+    def add(batches):
+        own, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for batch in batches:
+            own.extend(np.frombuffer(x, np.int64) for x in batch.column("own").to_pylist())
+            counts.extend(np.frombuffer(x, np.int64) for x in batch.column("counts").to_pylist())
+        got, sums = _summed(own, counts)
+        for a in range(0, len(got), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(got[a : a + 100_000]), pa.array(sums[a : a + 100_000])], ["node", "shared"])
+
+    partial = postings.repartition(buckets, "bucket").mapInArrow(count, "bucket int, own binary, counts binary")
+    return partial.repartition(buckets, "bucket").mapInArrow(add, "node long, shared long").groupBy("node").agg(F.sum("shared").alias("shared"))
 
-    return postings.repartition(buckets, "bucket").mapInArrow(run, "node long, shared long").groupBy("node").agg(F.sum("shared").alias("shared"))
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    got, place = np.unique(np.concatenate(keys), return_inverse=True)
+    return got, np.bincount(place, weights=np.concatenate(counts), minlength=len(got)).astype(np.int64)
 
 
 def _full_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
@@ -169,30 +186,45 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "node long, n long, hashes binary")
 
 
-def _blocks(sets: DataFrame, percent: int) -> DataFrame:
-    """(node, component): which sets may be linked, directly or through others."""
+def _blocks(sets: DataFrame, percent: int, whole: bool) -> DataFrame:
+    """(node, component): which sets may be linked, directly or through others.
+
+    Of each set's bounded prefix (or the whole set) all but the most frequent hashes that the guaranteed overlap allows to leave out.
+    """
 
     def run(batches):
         for batch in batches:
             nodes, ranks, keys = [], [], []
             for node, n, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                s = np.frombuffer(h, np.int64)[: _prefix(n, percent)]
+                s = np.frombuffer(h, np.int64)[: None if whole else _prefix(n, percent)]
+                sure = -(-percent * n // 100) if whole else _needed(n, percent)
                 nodes.append(np.full(len(s), node, np.int64))
-                ranks.append(np.full(len(s), len(s) - _needed(n, percent) + 1, np.int64))
+                ranks.append(np.full(len(s), len(s) - sure + 1, np.int64))
                 keys.append(s)
             if nodes:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (nodes, ranks, keys)], ["node", "most", "key"])
 
-    least = sets.mapInArrow(run, "node long, most long, key long").distinct()
-    times = least.groupBy("key").agg(F.count("*").alias("times"), F.min("node").alias("centre"))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("times", "key"))
-    near = least.join(times, "key").select("node", "centre", "most", "times", rank.alias("at")).where("at <= most and times > 1 and node <> centre")
-    return components(near.select(F.col("node").alias("a"), F.col("centre").alias("b")))
+    least = sets.mapInArrow(run, "node long, most long, key long")
+    times = least.groupBy("key").agg(F.count("*").alias("times"), F.min("node").alias("centre")).where("times > 1")
+    seen = least.join(times, "key").groupBy("node", "most").agg(F.sort_array(F.collect_list(F.struct("times", "key", "centre"))).alias("seen"))
+    total = least.groupBy("node").agg(F.count("*").alias("held"))
+    near = seen.join(total, "node").select("node", F.explode(F.slice("seen", F.lit(1), F.greatest(F.lit(0), F.col("most") - F.col("held") + F.size("seen")).cast("int"))).alias("s"))
+    return components(near.select(F.col("node").alias("a"), F.col("s.centre").alias("b")))
+
+
+def _candidates(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, component, m): blocks and their sizes; blocks over the size of a part are looked at again with whole sets."""
+    sized = lambda blocks: blocks.join(blocks.groupBy("component").agg(F.count("*").alias("m")), "component")
+    first = written(sized(_blocks(sets, percent, False)), "blocks")
+    large = first.where(F.col("m") > PART)
+    if large.isEmpty():
+        return first
+    again = _blocks(sets.join(large.select("node"), "node", "left_semi"), percent, True)
+    return first.where(F.col("m") <= PART).unionByName(sized(again))
 
 
 def _links(sets: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
-    sizes = blocks.groupBy("component").agg(F.count("*").alias("m"))
-    placed = sets.join(blocks.join(sizes, "component").select("node", "component", "m"), "node")
+    placed = sets.join(blocks.select("node", "component", "m"), "node")
     parts = F.ceil(F.col("m") / PART).cast("int")
     part = F.pmod(F.xxhash64("node"), parts).cast("int")
     few = F.concat(F.lit("b"), F.pmod(F.xxhash64("component"), F.lit(shuffle_partitions(sets.sparkSession) * 4)).cast("string"))
@@ -230,8 +262,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     need = F.floor(F.ceil(F.col("n") * percent / 100) / 7) + 1
     alive = written(nodes.join(counts, nodes.s1 == counts.node).where(F.col("shared") >= need).select("node", "doc_id"), "alive")
     sets = written(_full_sets(docs, alive, words), "full")
-    blocks = _blocks(sets, percent)
-    linked = components(_links(sets, blocks, percent))
+    if sets.count() > alive.count():  # rows repeated with id and text
+        sets = written(sets.dropDuplicates(["node"]), "full")
+    linked = components(_links(sets, _candidates(sets, percent), percent))
     named = linked.join(nodes.select(F.col("s1").alias("node"), "doc_id"), "node")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     known = written(named.join(least, "component").select(F.col("node").alias("s1"), "component_id").distinct(), "known")

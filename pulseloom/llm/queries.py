@@ -14,6 +14,7 @@ from pulseloom.llm.ngram_join import ngram_jaccard_join
 from pulseloom.llm.packing import pack
 from pulseloom.llm.quality_rules import quality_rules
 from pulseloom.llm.secrets import scan_secrets
+from pulseloom.llm.toxicity import learn, toxicity
 from pulseloom.llm.url_filter import url_filter
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -48,6 +49,13 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity(docs, *learn(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic")))
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
     return url_filter(table(spark, sf_dir, "pages"), rules)
@@ -72,6 +80,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_secrets": op4_secrets,
     "op5_line_dedup": op5_line_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_url_filter": op7_url_filter,
     "op8_bpe": op8_bpe,
     "op9_exact_dedup": op9_exact_dedup,
