@@ -16,6 +16,9 @@ from pulseloom.llm.queries import tokenizer_spec
 from pulseloom.llm.secrets import redact_secrets
 from pulseloom.llm.toxicity import learn, toxicity
 
+#: Ids of copies up to which they are broadcast (8 bytes each); more are joined by shuffle.
+BROADCAST_IDS = 2_000_000
+
 
 def _recounted(before: DataFrame, after: DataFrame) -> DataFrame:
     """``after`` in the columns of ``before``; n_chars counts the text's code points (null stays null)."""
@@ -36,13 +39,20 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents the one of the least id; word-less documents stay.
+    """Of each component of similar documents the one of the least id; documents without words stay.
 
-    Rows with a null id stay; of rows repeated with id and text one stays.
+    Rows with a null id stay. An id that several rows have goes if all of them are others' copies; of rows that
+    repeat both id and text one stays.
     """
-    groups = ngram_jaccard_join(docs)
-    stay = groups.where("n_shingles = 0 or doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi").dropDuplicates(["doc_id", "text"])
+    rows = written(ngram_jaccard_join(docs), "groups")
+    ids = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.expr("bool_and(n_shingles > 0 and doc_id <> component_id)").alias("copy"))
+    copies = written(ids.where("copy").select("doc_id"), "copies")
+    kept = docs.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, "doc_id", "left_anti").select(*docs.columns)
+    repeated = written(ids.where("n > 1 and not copy").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
