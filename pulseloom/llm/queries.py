@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pulseloom.llm.bpe import bpe_decode, bpe_encode
 from pulseloom.llm.common import LOWER_AZ, UPPER_AZ, table
 from pulseloom.llm.exact_dedup import exact_dedup
+from pulseloom.llm.html_wrapper import extract_main_text
 from pulseloom.llm.line_dedup import line_dedup
 from pulseloom.llm.ngram_join import ngram_jaccard_join
 from pulseloom.llm.packing import pack
@@ -31,6 +32,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents"), tokenizer_spec())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -77,6 +82,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_main_text": op2_main_text,
     "op3_packing": op3_packing,
     "op4_secrets": op4_secrets,
     "op5_line_dedup": op5_line_dedup,
