@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 import json
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +21,11 @@ from tokenizers import Tokenizer
 from pulseloom.llm.common import byte_slices
 
 #: Entries that a worker's caches hold before they start anew; bytes of text taken at once.
-CACHED, SLICE = 250_000, 8 << 20
+CACHED, SLICE = 300_000, 8 << 20
 #: Characters on which every version of Unicode agrees, each a normal form whatever follows it among them.
 LATIN = regex.compile("[\x21-\x7e\xa1-\xac\xae-\xff]*")
-_BLANKS = str.maketrans("\n\t\r", "   ")
+#: A word and what follows it, where the rules of the file split between the two only.
+SIMPLE = regex.compile("([a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\\[-`{-~]*)")
 
 
 def byte_letters() -> list[str]:
@@ -33,57 +35,71 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
-def merge_ranks(symbols: list[int], merges: dict[int, int]) -> list[int]:
+def merge_ranks(symbols: list[int], merges: list[dict[int, int] | None]) -> list[int]:
     """Merge adjacent symbols, always the pair of least rank, leftmost first.
 
-    merges: ``left << 32 | right`` to ``rank << 32 | merged``. A queue entry is ``rank << 32 | place``; it is
+    merges: for each left symbol, right symbol to ``rank << 20 | merged``. A queue entry is ``rank << 40 | place``; it is
     stale if the pair that now begins at the place has another rank, or none.
     """
-    n = len(symbols)
-    look = merges.get
-    queue = [m >> 32 << 32 | i for i in range(n - 1) if (m := look(symbols[i] << 32 | symbols[i + 1]))]
+    queue = []
+    left = symbols[0]
+    for i, right in enumerate(symbols[1:]):
+        if (of := merges[left]) is not None and (m := of.get(right)) is not None:
+            queue.append(m >> 20 << 40 | i)
+        left = right
     if not queue:
         return symbols
-    symbols = symbols + [-1]
+    n = len(symbols)
+    symbols = [*symbols, -1]
     before, after = list(range(-1, n)), list(range(1, n + 2))
     heapq.heapify(queue)
     pop, push = heapq.heappop, heapq.heappush
     while queue:
         entry = pop(queue)
-        i = entry & 0xFFFFFFFF
-        if (left := symbols[i]) < 0:
+        i = entry & 0xFFFFFFFFFF
+        if (left := symbols[i]) < 0 or (of := merges[left]) is None:
             continue
         j = after[i]
-        m = look(left << 32 | symbols[j])
-        if m is None or m >> 32 != entry >> 32:
+        m = of.get(symbols[j])
+        if m is None or m >> 20 != entry >> 40:
             continue
-        symbols[i] = merged = m & 0xFFFFFFFF
+        symbols[i] = merged = m & 0xFFFFF
         symbols[j] = -1
         after[i] = k = after[j]
         before[k] = i
-        if (m := look(merged << 32 | symbols[k])) is not None:
-            push(queue, m >> 32 << 32 | i)
-        if (h := before[i]) >= 0 and (m := look(symbols[h] << 32 | merged)) is not None:
-            push(queue, m >> 32 << 32 | h)
+        if (of := merges[merged]) is not None and (m := of.get(symbols[k])) is not None:
+            push(queue, m >> 20 << 40 | i)
+        if (h := before[i]) >= 0 and (of := merges[symbols[h]]) is not None and (m := of.get(merged)) is not None:
+            push(queue, m >> 20 << 40 | h)
     return [s for s in symbols if s >= 0]
 
 
 class Remembered(dict):
-    """A dict that works out missing values and starts anew when full."""
+    """A dict that works out missing values and forgets those not asked for while as many others came."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.before = make, {}
 
     def __missing__(self, key):
+        if (value := self.before.get(key)) is None:
+            value = self.make(key)
         if len(self) >= CACHED:
+            self.before = dict(self)
             self.clear()
-        value = self.make(key)
         if len(key) < 64:
             self[key] = value
         return value
 
 
+def blank_split(text: str) -> list[str]:
+    """Parts of a text between blanks and line ends."""
+    text = text.replace("\n", " ")
+    if "\t" in text or "\r" in text:
+        text = text.replace("\t", " ").replace("\r", " ")
+    return text.split(" ")
+
+
 class WordBpe:
     """Encoder and decoder of a BPE tokenizer file with NFC, white-space and lower-case normalisers and word-end suffix."""
 
@@ -96,7 +112,12 @@ class WordBpe:
             raise ValueError("not a tokenizer file of the supported kind")
         self.end = model["end_of_word_suffix"] or ""
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.merges = {vocab[a] << 32 | vocab[b]: rank + 1 << 32 | vocab[a + b] for rank, (a, b) in reversed(list(enumerate(pairs)))}
+        if max(vocab.values()) >= 1 << 20:
+            raise ValueError("a vocabulary of more than 2**20 strings")
+        self.merges: list[dict[int, int] | None] = [None] * (max(vocab.values()) + 1)
+        for rank, (a, b) in enumerate(pairs):
+            own = self.merges[vocab[a]] = self.merges[vocab[a]] or {}
+            own.setdefault(vocab[b], rank << 20 | vocab[a + b])
         self.letters = {c: b for b, c in enumerate(byte_letters())}
         self.inner = [vocab[c] for c in byte_letters()]
         self.last = [vocab[c + self.end] for c in byte_letters()]
@@ -104,7 +125,8 @@ class WordBpe:
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
         self.strings = {i: s for s, i in (vocab | self.special).items()}
-        self.words, self.chunks = Remembered(self._word), Remembered(self._chunk)
+        self.packed = Remembered(lambda word: array("i", self._word(word)).tobytes())
+        self.chunks = Remembered(self._chunk)
 
     def _word(self, word: str | bytes) -> list[int]:
         raw = word.encode() if isinstance(word, str) else word
@@ -112,6 +134,11 @@ class WordBpe:
 
     def _chunk(self, chunk: str) -> bytes:
         """Ids of a text between two blanks: no rule of the file reaches across one."""
+        if m := SIMPLE.fullmatch(chunk):
+            return self.packed[m[1].lower()] + (self.packed[m[2]] if m[2] else b"")
+        return self._general(chunk)
+
+    def _general(self, chunk: str) -> bytes:
         ids: list[int] = []
         for part in self.marks.split(chunk) if self.marks and "<" in chunk else (chunk,):
             if part in self.special:
@@ -119,17 +146,20 @@ class WordBpe:
                 continue
             if LATIN.fullmatch(part):
                 for word in self.pieces.findall(part.lower()):
-                    ids.extend(self.words[word])
+                    ids.extend(self._word(word))
             else:  # the library's own tables of normal forms, cases and classes
                 for word, _ in self.pre.pre_tokenize_str(self.normal.normalize_str(part)):
-                    ids.extend(self.words[bytes(map(self.letters.__getitem__, word))])
-        return np.array(ids, np.int32).tobytes()
+                    ids.extend(self._word(bytes(map(self.letters.__getitem__, word))))
+        return array("i", ids).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.chunks.__getitem__, text.translate(_BLANKS).split(" "))), np.int32)
+        return np.frombuffer(b"".join(map(self.chunks.__getitem__, blank_split(text))), np.int32)
+
+    def tokens(self, ids) -> list[str]:
+        return list(map(self.strings.__getitem__, ids))
 
     def decode(self, ids) -> str:
-        return " ".join(map(self.strings.__getitem__, ids))
+        return " ".join(self.tokens(ids))
 
 
 def _list_array(values: list[np.ndarray]) -> pa.ListArray:
@@ -168,7 +198,9 @@ def bpe_decode(encoded: DataFrame, spec: str) -> DataFrame:
             ids = batch.column(1)
             for a, b in byte_slices([4 * (n or 0) for n in pa.compute.list_value_length(ids).to_pylist()], SLICE // 2):
                 part = ids.slice(a, b - a)
-                texts = [coder.decode(x or ()) for x in part.to_pylist()]
+                strings = coder.tokens(part.flatten().to_numpy().tolist())
+                ends = np.cumsum([0, *(n or 0 for n in pa.compute.list_value_length(part).to_pylist())]).tolist()
+                texts = [" ".join(strings[x:y]) for x, y in zip(ends, ends[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), part, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
