@@ -10,6 +10,8 @@ each queue, and the deficits carry over partitions as they do over windows.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -17,13 +19,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pulseloom.llm.bpe import _BLANKS, Remembered
+from pulseloom.llm.bpe import SIMPLE, Remembered, blank_split, byte_letters
 from pulseloom.llm.common import byte_slices, written
 
 #: Queues of their own; the sources beyond (those with the fewest tokens) share one more.
 QUEUES = 1024
 SLICE, SCALE = 8 << 20, 1 << 20
 NO_SOURCE = "\x00none"
+_LETTERS = dict(enumerate(byte_letters()))
 
 
 class LibraryTokens:
@@ -33,10 +36,23 @@ class LibraryTokens:
         self.coder = Tokenizer.from_str(spec)
         self.coder.no_padding()
         self.coder.no_truncation()
-        self.chunks = Remembered(lambda x: np.array(self.coder.encode(x, add_special_tokens=False).ids, np.uint32).tobytes())
+        self.model = self.coder.model
+        self.words, self.chunks = Remembered(self._word), Remembered(self._chunk)
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.coder.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        # a lower-case word or punctuation of Latin-1 is its own normal form and one pre-token: only the stand-ins of its bytes are missing
+        return array("I", [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS))]).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        if m := SIMPLE.fullmatch(chunk):
+            return self.words[m[1].lower()] + (self.words[m[2]] if m[2] else b"")
+        return self._ids(chunk)
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.chunks.__getitem__, text.translate(_BLANKS).split(" ")))
+        return b"".join(map(self.chunks.__getitem__, blank_split(text)))
 
 
 def _tokens(docs: DataFrame, spec: str, last_id: int) -> DataFrame:
