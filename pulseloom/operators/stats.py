@@ -130,18 +130,23 @@ def bad_ratio(peaks: DataFrame, *keys: str, most: float = 0.25) -> DataFrame:
     return peaks.groupBy(*keys).agg(r.alias("ratio"), (r <= most).alias("ok"))
 
 
+def running_sum(rows: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """Adds the sum of ``value`` up to each row in ascending ``order`` (distinct). Range-partitioned blocks are summed side by
+    side and then shifted by the blocks before; only one row a block meets in one task."""
+    blocks = rows.repartitionByRange(order).withColumn("_b", F.spark_partition_id())
+    part = blocks.withColumn("_part", F.sum(value).over(Window.partitionBy("_b").orderBy(order)))
+    shift = F.coalesce(F.sum("_t").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = blocks.groupBy("_b").agg(F.sum(value).alias("_t")).select("_b", shift.alias("_o"))
+    return part.join(F.broadcast(offsets), "_b").withColumn(name, F.col("_part") + F.col("_o")).drop("_b", "_part", "_o")
+
+
 def spearman(rows: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, rho) for a < b: correlation of average ranks. Ranks come from value counts, reduced before they are ordered."""
     ranked = rows.select(*columns).where(" and ".join(f"{c} is not null" for c in columns))
     for c in columns:
         counts = ranked.groupBy(c).agg(F.count("*").alias("_n"))
-        # an ordered running sum over distinct values: range-partitioned blocks, then offsets of the blocks
-        blocks = counts.repartitionByRange(c).withColumn("_b", F.spark_partition_id())
-        before = Window.partitionBy("_b").orderBy(c)
-        part = blocks.withColumn("_upto", F.sum("_n").over(before))
-        offsets = blocks.groupBy("_b").agg(F.sum("_n").alias("_t")).withColumn("_o", F.coalesce(F.sum("_t").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        ranks = part.join(F.broadcast(offsets.select("_b", "_o")), "_b").select(c, (F.col("_o") + F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(f"_r_{c}"))
-        ranked = ranked.join(ranks, c)
+        upto = running_sum(counts, c, "_n", "_upto")
+        ranked = ranked.join(upto.select(c, (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(f"_r_{c}")), c)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     one = ranked.agg(*[F.corr(f"_r_{a}", f"_r_{b}").alias(f"{a}|{b}") for a, b in pairs])
     return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("rho")) for a, b in pairs])).alias("_")).select("_.*")

@@ -1 +1,135 @@
-"""To come."""
+"""Queries of preparation, folds, neighbours, models and metrics over the driver tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pulseloom.operators import metrics as me
+from pulseloom.operators import models as mo
+from pulseloom.operators import prep
+from pulseloom.operators.neighbours import nearest, vote
+from pulseloom.plans.framing_queries import r6
+from pulseloom.plans.registry import query
+
+#: Predictions and scores in SQL that stand for a model's.
+PRED = "p AS (SELECT vec_id, label, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 WHEN vec_id % 11 = 0 THEN 0 ELSE label END AS prediction, (label = 3)::INT AS y, round(abs(cos(vec_id)) * CASE WHEN label = 3 THEN 1.0 ELSE 0.7 END, 2) AS score FROM embeddings)"
+
+
+def predictions(spark, sf) -> DataFrame:
+    k, l = F.col("vec_id"), F.col("label")
+    return spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "label", F.when(k % 7 == 0, (l + 1) % 10).when(k % 11 == 0, 0).otherwise(l).alias("prediction"), (l == 3).cast("int").alias("y"), F.round(F.abs(F.cos(k)) * F.when(l == 3, 1.0).otherwise(0.7), 2).alias("score"))
+
+
+def features(spark, sf) -> tuple[DataFrame, list[str]]:
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    return e.select("vec_id", F.col("label").cast("double").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(16)], prep.group_fold(F.col("vec_id"), 3).alias("fold")), [f"x{i}" for i in range(16)]
+
+
+@query("confusion_matrix", f"WITH {PRED} SELECT label, prediction, n, round(100.0 * n / sum(n) OVER (PARTITION BY label), 6) AS percent FROM (SELECT label, prediction, count(*) AS n FROM p GROUP BY ALL)")
+def q_confusion(spark, sf):
+    return me.confusion(predictions(spark, sf)).select("label", "prediction", "n", r6("percent"))
+
+
+_REPORT = PRED + ", c AS (SELECT DISTINCT label AS c FROM p UNION SELECT prediction FROM p), r AS (SELECT c, count(*) FILTER (WHERE label = c) AS support, count(*) FILTER (WHERE prediction = c) AS said, count(*) FILTER (WHERE label = c AND prediction = c) AS tp FROM c, p GROUP BY c), f AS (SELECT c AS label, coalesce(tp / nullif(said, 0), 0) AS precision, coalesce(tp / nullif(support, 0), 0) AS recall, support, coalesce(2.0 * tp / nullif(said + support, 0), 0) AS f1 FROM r)"
+
+
+@query("class_report", f"WITH {_REPORT} SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, support, round(f1, 6) AS f1 FROM f")
+def q_report(spark, sf):
+    return me.class_report(predictions(spark, sf)).select("label", r6("precision"), r6("recall"), "support", r6("f1"))
+
+
+@query("model_summary", f"WITH {_REPORT}, o AS (SELECT count(*) AS s, count(*) FILTER (WHERE label = prediction) AS c FROM p), t AS (SELECT sum(t * t) AS tt FROM (SELECT count(*) AS t FROM p GROUP BY label)), q AS (SELECT sum(t * t) AS pp FROM (SELECT count(*) AS t FROM p GROUP BY prediction)), x AS (SELECT sum(support * said) AS tp FROM r) SELECT round(c / s, 6) AS accuracy, round((SELECT avg(recall) FROM f WHERE support > 0), 6) AS balanced_accuracy, round((SELECT avg(f1) FROM f), 6) AS f1_macro, round((SELECT sum(f1 * support) / sum(support) FROM f), 6) AS f1_weighted, round((c * s - tp) / (sqrt(s * s - pp) * sqrt(s * s - tt)), 6) AS mcc FROM o, t, q, x")
+def q_summary(spark, sf):
+    return me.summary(predictions(spark, sf)).select(*map(r6, ("accuracy", "balanced_accuracy", "f1_macro", "f1_weighted", "mcc")))
+
+
+@query("log_loss", f"WITH {PRED} SELECT round(-avg(CASE WHEN y = 1 THEN ln(greatest(1e-15, least(1 - 1e-15, score))) ELSE ln(1 - greatest(1e-15, least(1 - 1e-15, score))) END), 6) AS log_loss FROM p")
+def q_log_loss(spark, sf):
+    return me.log_loss(predictions(spark, sf), "y").select(r6("log_loss"))
+
+
+@query("roc_auc", f"WITH {PRED}, r AS (SELECT y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS k FROM p) SELECT round((sum(k) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0) / (count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 0)), 6) AS auc FROM r")
+def q_auc(spark, sf):
+    return me.roc_auc(predictions(spark, sf), "y").select(r6("auc"))
+
+
+@query("roc_points", f"WITH {PRED}, c AS (SELECT score, count(*) FILTER (WHERE y = 1) AS a, count(*) FILTER (WHERE y = 0) AS b FROM p GROUP BY 1) SELECT score AS threshold, round(sum(b) OVER (ORDER BY score DESC) / sum(b) OVER (), 6) AS fpr, round(sum(a) OVER (ORDER BY score DESC) / sum(a) OVER (), 6) AS tpr FROM c")
+def q_roc(spark, sf):
+    return me.roc_points(predictions(spark, sf), "y").select("threshold", r6("fpr"), r6("tpr"))
+
+
+@query("subject_normalise", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events), b AS (SELECT *, coalesce(avg(value) FILTER (WHERE event_type = 'view') OVER (PARTITION BY user_id), avg(value) FILTER (WHERE k <= greatest(1, n // 10)) OVER (PARTITION BY user_id)) AS b FROM r) SELECT event_id, round((value - b) / (abs(b) + 1e-6), 6) + 0.0 AS value FROM b")
+def q_subject(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    return prep.subject_normalised(e, ["value"], "user_id", F.col("event_type") == "view", "event_id").select("event_id", r6("value"))
+
+
+for _how, _sql in {"zscore": "(value - avg(value) OVER ()) / stddev_pop(value) OVER ()", "minmax": "(value - min(value) OVER ()) / (max(value) OVER () - min(value) OVER ())", "robust": "(value - quantile_cont(value, 0.5) OVER ()) / (quantile_cont(value, 0.75) OVER () - quantile_cont(value, 0.25) OVER ())"}.items():
+
+    @query(f"{_how}_scale", f"SELECT event_id, round({_sql}, 6) + 0.0 AS value FROM events")
+    def q_scale(spark, sf, how=_how):
+        e = spark.read.parquet(f"{sf}/events.parquet")
+        return prep.scaled(e, ["value"], "standard" if how == "zscore" else how).select("event_id", r6("value"))
+
+
+for _how, _sql in {"log": "CASE WHEN value > 0 THEN ln(value) END", "reciprocal": "CASE WHEN value <> 0 THEN 1 / value END", "sqrt": "CASE WHEN value >= 0 THEN sqrt(value) END"}.items():
+
+    @query(f"transform_{_how}", f"SELECT event_id, round({_sql}, 6) + 0.0 AS value FROM events")
+    def q_transform(spark, sf, how=_how):
+        return prep.transformed(spark.read.parquet(f"{sf}/events.parquet"), "value", how).select("event_id", r6("value"))
+
+
+@query("class_weights", "SELECT event_type, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6) AS weight FROM events GROUP BY 1")
+def q_weights(spark, sf):
+    return prep.class_weights(spark.read.parquet(f"{sf}/events.parquet"), "event_type").select("event_type", r6("weight"))
+
+
+@query("group_folds")
+def q_folds(spark, sf):
+    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", prep.group_fold(F.col("user_id"), 5).alias("fold"))
+
+
+_KNN = "WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id % 50 = 0), a AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), d AS (SELECT q.vec_id AS query, a.vec_id AS id, a.label, list_distance(q.e, a.e) AS distance FROM q JOIN a ON q.vec_id <> a.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, id) AS place FROM d) "
+
+
+@query("knn_search", _KNN + "SELECT query, id, label::BIGINT AS label, round(distance, 5) AS distance, place::INT AS place FROM k WHERE place <= 5")
+def q_knn(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    return nearest(e.where("vec_id % 50 = 0"), e).select("query", "id", "label", F.round("distance", 5).alias("distance"), "place")
+
+
+@query("knn_vote", _KNN + "SELECT query, label FROM (SELECT query, label::BIGINT AS label, row_number() OVER (PARTITION BY query ORDER BY sum(1.0 / greatest(distance, 1e-12)) DESC, label) AS r FROM k WHERE place <= 5 GROUP BY query, label) WHERE r = 1")
+def q_knn_vote(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    return vote(nearest(e.where("vec_id % 50 = 0"), e))
+
+
+@query("soft_vote", "SELECT vec_id, CASE WHEN (embedding[1]::DOUBLE + embedding[2]) >= (embedding[3]::DOUBLE + embedding[4]) THEN 0 ELSE 1 END AS prediction FROM embeddings")
+def q_soft_vote(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").withColumn("e", F.col("embedding").cast("array<double>"))
+    parts = [e.select("vec_id", F.array(F.col("e")[i], F.col("e")[i + 2]).alias("probability")) for i in (0, 1)]
+    return mo.soft_vote(parts, "vec_id")
+
+
+@query("vif")
+def q_vif(spark, sf):
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet")
+    return spark.createDataFrame([(c, round(v, 6)) for c, v in prep.vif(rows, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])], "column string, vif double")
+
+
+@query("power_transform")
+def q_power(spark, sf):
+    return prep.transformed(spark.read.parquet(f"{sf}/events.parquet"), "value", "yeojohnson").select("event_id", r6("value"))
+
+
+@query("forest_out_of_fold")
+def q_forest(spark, sf):
+    rows, columns = features(spark, sf)
+    return mo.out_of_fold(rows, columns, "forest", numTrees=20).select("vec_id", "label", "prediction", "fold")
+
+
+@query("isolation_forest")
+def q_isolation(spark, sf):
+    rows, columns = features(spark, sf)
+    return mo.isolation_forest(rows, columns, trees=30).select("vec_id", r6("anomaly"))
