@@ -1 +1,41 @@
-"""To come."""
+"""Queries of the matrix-profile family over the driver's events and embeddings."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pulseloom.operators import framing as fr
+from pulseloom.operators import waveforms as wf
+from pulseloom.plans.framing_queries import r6
+from pulseloom.plans.registry import query
+from pulseloom.plans.waveform_queries import arrays, vectors
+
+K = fr.KEYS
+
+
+@query("matrix_profile", """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), w AS (SELECT vec_id, i, e[i + 1:i + 8] AS x FROM e, range(57) AS r(i)), z AS (SELECT vec_id, i, list_transform(x, lambda v: (v - list_avg(x)) / list_stddev_pop(x)) AS z FROM w),
+d AS (SELECT a.vec_id, a.i, min(list_distance(a.z, b.z)) AS distance FROM z a JOIN z b ON a.vec_id = b.vec_id AND abs(a.i - b.i) > 2 GROUP BY ALL) SELECT 'v' || vec_id AS record_id, i::INT AS i, round(distance, 4) AS distance FROM d""")
+def q_profile(spark, sf):
+    return wf.profiles(vectors(spark, sf), 8).select("record_id", "i", F.round("distance", 4).alias("distance"))
+
+
+@query("section_profile")
+def q_section_profile(spark, sf):
+    return wf.profiles(arrays(spark, sf), 10).select(*K, "i", r6("distance"))
+
+
+@query("section_discords")
+def q_discords(spark, sf):
+    p = wf.profiles(arrays(spark, sf), 10)
+    return p.groupBy(*K).agg(F.max(F.struct("distance", (-F.col("i")).alias("i"))).alias("b")).select(*K, (-F.col("b.i")).alias("at"), F.round("b.distance", 6).alias("score"))
+
+
+@query("fluss_arcs")
+def q_fluss(spark, sf):
+    return wf.regime_changes(vectors(spark, sf), 4, 3)
+
+
+@query("pattern_match")
+def q_match(spark, sf):
+    pattern = [0.0, 1.0, 3.0, 6.0, 3.0, 1.0, 0.0, -1.0, 0.0, 0.0]
+    return wf.pattern_matches(arrays(spark, sf), pattern).select(*K, "at", r6("distance"))

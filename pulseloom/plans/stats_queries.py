@@ -257,9 +257,9 @@ def q_fold_names(spark, sf):
     return t(spark, sf, "documents").where("lang = 'de'").select("doc_id", sc.fold_name(F.col("text")).alias("name"))
 
 
-@query("fail_reasons", "SELECT doc_id, list_filter(list_transform(string_split(text, '|'), lambda x: trim(x)), lambda x: x <> '') AS reasons FROM documents WHERE contains(text, '|')")
+@query("fail_reasons", "SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, '|'), lambda x: trim(x)), lambda x: x <> ''), ';') AS reasons FROM documents WHERE contains(text, '|')")
 def q_reasons(spark, sf):
-    return t(spark, sf, "documents").where(F.contains("text", F.lit("|"))).select("doc_id", sc.reasons(F.col("text")).alias("reasons"))
+    return t(spark, sf, "documents").where(F.contains("text", F.lit("|"))).select("doc_id", F.array_join(sc.reasons(F.col("text")), ";").alias("reasons"))
 
 
 @query("lead_rank_levenshtein", "SELECT name, round(ratio, 6) AS ratio, row_number() OVER (ORDER BY ratio DESC, name)::INT AS place FROM (SELECT n_name AS name, CASE WHEN contains(lower(n_name), 'india') THEN 1.0 ELSE (greatest(length(n_name), 5) - levenshtein(lower(n_name), 'india')) / greatest(length(n_name), 5) END AS ratio FROM nation) ORDER BY ratio DESC, name LIMIT 6")

@@ -1 +1,119 @@
-"""To come."""
+"""Queries of the waveform operators over the driver's events and embeddings."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pulseloom.operators import framing as fr
+from pulseloom.operators import waveforms as wf
+from pulseloom.plans.framing_queries import FS, OVERLAP, SEC, r6, sectioned, signal
+from pulseloom.plans.registry import query
+
+K = fr.KEYS
+#: The same kernels written out in SQL: Savitzky-Golay weights of 15 samples, order 3, in the middle of a section.
+_W = ", ".join(f"({x}, {(167 - 5 * x * x) / 1105})" for x in range(-7, 8))
+
+
+def arrays(spark, sf) -> DataFrame:
+    return wf.section_arrays(sectioned(spark, sf))
+
+
+def medians(spark, sf) -> DataFrame:
+    med = fr.rolling_median(signal(spark, sf)).select("record_id", "idx", F.col("rolling_med").alias("m"))
+    return wf.section_arrays(sectioned(spark, sf).join(med, ["record_id", "idx"]), "m")
+
+
+def vectors(spark, sf) -> DataFrame:
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    return e.select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("record_id"), F.lit(0).alias("wave_section"), F.lit(0).cast("long").alias("start"), F.col("embedding").cast("array<double>").alias("wave"))
+
+
+@query("section_arrays", f"WITH {SEC} SELECT record_id, wave_section, min(idx) AS start, count(*)::INT AS n, arg_min(v, idx) AS first, arg_max(v, idx) AS last FROM sec GROUP BY ALL")
+def q_arrays(spark, sf):
+    return arrays(spark, sf).select(*K, "start", F.size("wave").alias("n"), F.col("wave")[0].alias("first"), F.element_at("wave", -1).alias("last"))
+
+
+@query("savgol", f"WITH {SEC}, w(o, c) AS (VALUES {_W}) SELECT a.record_id, a.wave_section, a.idx, round(sum(b.v * c), 5) + 0.0 AS y FROM sec a JOIN w ON true JOIN sec b ON b.record_id = a.record_id AND b.wave_section = a.wave_section AND b.idx = a.idx + o WHERE a.idx - a.wave_section * 80 BETWEEN 7 AND 92 GROUP BY ALL")
+def q_savgol(spark, sf):
+    out = wf.smoothed(arrays(spark, sf), FS, "savgol", window=15, order=3)
+    return out.where((F.col("idx") - F.col("wave_section") * 80).between(7, 92)).select(*K, "idx", (F.round("y", 5) + 0.0).alias("y"))
+
+
+@query("lowpass")
+def q_lowpass(spark, sf):
+    return wf.smoothed(arrays(spark, sf), FS, "low", cut=2.0).select(*K, "idx", r6("y"))
+
+
+@query("bandpass")
+def q_bandpass(spark, sf):
+    return wf.smoothed(arrays(spark, sf), FS, "band", cut=(0.5, 2.0)).select(*K, "idx", r6("y"))
+
+
+@query("derivative")
+def q_derivative(spark, sf):
+    return wf.smoothed(arrays(spark, sf), FS, "d1").select(*K, "idx", r6("y"))
+
+
+@query("find_peaks")
+def q_find_peaks(spark, sf):
+    return wf.find_peaks(arrays(spark, sf), FS, "systolic").select(*K, "r_idx", r6("height"), r6("prominence"))
+
+
+_DFT = "WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS n FROM embeddings), m AS (SELECT vec_id, n, (x - avg(x) OVER (PARTITION BY vec_id)) * (0.5 - 0.5 * cos(2 * pi() * n / 64)) AS x FROM e), f AS (SELECT vec_id, k, pow(sum(x * cos(2 * pi() * k * n / 64)), 2) + pow(sum(x * sin(2 * pi() * k * n / 64)), 2) AS p FROM m, range(33) AS r(k) GROUP BY ALL), w AS (SELECT vec_id, k, p * CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END AS p FROM f), q AS (SELECT *, p / sum(p) OVER (PARTITION BY vec_id) AS s FROM w) "
+
+
+@query("dft_band_ratio", _DFT + "SELECT 'v' || vec_id AS record_id, round(sum(s) FILTER (WHERE k BETWEEN 1 AND 30), 5) AS in_band FROM q GROUP BY ALL")
+def q_band_ratio(spark, sf):
+    return wf.spectra(vectors(spark, sf), 32.0).select("record_id", F.round("in_band", 5).alias("in_band"))
+
+
+@query("spectral_entropy_norm", _DFT + "SELECT 'v' || vec_id AS record_id, round(-sum(CASE WHEN s > 0 THEN s * log2(s) END) / log2(33), 5) AS entropy_share FROM q GROUP BY ALL")
+def q_entropy_norm(spark, sf):
+    return wf.spectra(vectors(spark, sf), 32.0).select("record_id", F.round("entropy_share", 5).alias("entropy_share"))
+
+
+@query("pre_sqi_spectra")
+def q_spectra(spark, sf):
+    return wf.spectra(arrays(spark, sf), FS).select(*K, *map(r6, ("ratio", "entropy", "in_band", "entropy_share", "slow", "hjorth")))
+
+
+@query("top4_harmonics")
+def q_harmonics(spark, sf):
+    return wf.strongest_harmonics(arrays(spark, sf), FS).select(*K, "place", r6("f"), r6("p"))
+
+
+@query("cwt_phase")
+def q_phase(spark, sf):
+    return wf.phase_variance(arrays(spark, sf), FS).select(*K, r6("variance"))
+
+
+@query("phase_stream")
+def q_phase_stream(spark, sf):
+    return wf.phase_stream(arrays(spark, sf), FS).select(*K, "r_idx", r6("variance"))
+
+
+@query("wasserstein_shift")
+def q_shift(spark, sf):
+    return wf.shift_of_spectra(arrays(spark, sf), FS).select(*K, r6("distance"), "valid")
+
+
+@query("history_fold")
+def q_fold(spark, sf):
+    rows = wf.quality_rows(arrays(spark, sf), medians(spark, sf), FS)
+    return wf.history_fold(rows, FS).select(*K, "start", "valid", "reason", F.size("r_idx").alias("peaks"), r6("kurtosis"), r6("hjorth"), r6("spectral"), r6("spec_entropy"), r6("wdist"))
+
+
+@query("pqrst")
+def q_pqrst(spark, sf):
+    a, m = arrays(spark, sf), medians(spark, sf)
+    peaks = wf.find_peaks(a, FS, "systolic").groupBy(*K).agg(F.array_sort(F.collect_list("r_idx")).alias("r_idx"), F.avg("prominence").alias("prominence"), F.lit(1).alias("valid"))
+    return wf.extract_beats(a, m, peaks, FS).drop("isoelectric")
+
+
+@query("hemo_features")
+def q_hemo(spark, sf):
+    # the events' samples stand for pressure in windows of 60 s at a nominal 200 samples a second, shifted copies for flow
+    long = fr.section_join(signal(spark, sf), FS, 60.0, OVERLAP).select("record_id", "wave_section", "idx", "v")
+    a = wf.section_arrays(long).withColumn("lad", F.transform("wave", lambda v: v / 10 - 1)).withColumn("carotid", F.transform("wave", lambda v: v / 20))
+    return wf.pressure_sections(wf.pressure_beats(a, 200.0)).select(*K, "beats", r6("SBP"), r6("DBP"), r6("true_MAP"))
