@@ -157,7 +157,7 @@ def read_rr(spark: SparkSession, path: str) -> DataFrame:
 
     Dates may run year first or day first.
     """
-    text = spark.read.option("wholetext", "true").text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]*?)(\.\w+)?$", 1).alias("record_id"), F.col("value"))
+    text = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]*?)(\.\w+)?$", 1).alias("record_id"), F.col("value"))
     parts = text.select("record_id", F.regexp_extract("value", r"(?s)\A(.*?)\n-[^\n]*\n(.*)\z", 1).alias("head"), F.regexp_extract("value", r"(?s)\A(.*?)\n-[^\n]*\n(.*)\z", 2).alias("body"))
     lines = F.split("head", "\r?\n")
     value = lambda i: F.trim(F.split_part(lines[i], F.lit("="), F.lit(2)))
