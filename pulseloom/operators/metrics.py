@@ -50,7 +50,7 @@ def roc_points(rows: DataFrame, label: str = "label", score: str = "score") -> D
     counts = rows.groupBy((-F.col(score)).alias("_s")).agg(F.sum((F.col(label) == 1).cast("long")).alias("pos"), F.sum((F.col(label) != 1).cast("long")).alias("neg"))
     both = running_sum(running_sum(counts, "_s", "pos", "tp"), "_s", "neg", "fp")
     total = counts.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    return both.join(F.broadcast(total)).select((-F.col("_s")).alias("threshold"), F.try_divide("fp", "N").alias("fpr"), F.try_divide("tp", "P").alias("tpr"))
+    return both.join(F.broadcast(total)).select((F.lit(0.0) - F.col("_s")).alias("threshold"), F.try_divide("fp", "N").alias("fpr"), F.try_divide("tp", "P").alias("tpr"))
 
 
 def roc_auc(rows: DataFrame, label: str = "label", score: str = "score") -> DataFrame:

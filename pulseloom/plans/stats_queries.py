@@ -231,7 +231,7 @@ def q_spearman(spark, sf):
     return st.spearman(t(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_tax"]).select("a", "b", r6("rho"))
 
 
-@query("time_labels", "SELECT event_id, CASE WHEN s < 60 THEN format('{:.1f} s', s) WHEN s < 3600 THEN format('{:.1f} m', s / 60) ELSE format('{:.1f} h', s / 3600) END AS label FROM (SELECT event_id, (event_id * 7 + 0.25)::DOUBLE AS s FROM events)")
+@query("time_labels", "SELECT event_id, CASE WHEN s < 60 THEN format('{:.1f} s', round(s, 1)) WHEN s < 3600 THEN format('{:.1f} m', round(s / 60, 1)) ELSE format('{:.1f} h', round(s / 3600, 1)) END AS label FROM (SELECT event_id, (event_id * 7 + 0.25)::DOUBLE AS s FROM events)")
 def q_time_labels(spark, sf):
     return t(spark, sf, "events").select("event_id", sc.time_label(F.col("event_id") * 7 + F.lit(0.25)).alias("label"))
 
