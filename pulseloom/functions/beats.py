@@ -137,8 +137,7 @@ def template(x, fs: float) -> dict:
         out["t_peak"] = out["s_peak"] + t
     if all(out[k] is not None for k in ECG_FIELDS[:5]):
         _onsets(x, np.full(len(x), np.median(x)), out, fs)
-        slope = np.gradient(x[out["s_peak"] : out["t_peak"]])
-        flat = np.flatnonzero(np.abs(slope) <= 0.005)
+        flat = np.flatnonzero(np.abs(np.diff(x[out["s_peak"] : out["t_peak"]])) <= 0.005)
         if len(flat):
             out["j_point"] = out["s_peak"] + int(flat[0])
         turn = out["j_point"] if out["j_point"] is not None else out["s_peak"]

@@ -12,6 +12,12 @@ from pulseloom.functions import kernels as kn
 KEEP, STORED, HISTORY = 6, 20, 400
 #: Gates of the first stage: kurtosis below, Hjorth above, QRS share below, entropy above, shift from here on.
 KURTOSIS, HJORTH, QRS, ENTROPY, SHIFT = 4.0, 3.0, 0.25, 6.5, 3.0
+#: Bounds against history (low, high) by generation of the engine: separation, height, slope, and whether they are around the median or the mean.
+LIMITS = {
+    "v4": {"sep": (0.4, 4.0), "height": (0.4, 4.0), "slope": (0.1, 5.0), "centre": np.median},
+    "v3.1": {"sep": (0.5, 2.0), "height": (0.51, 3.0), "slope": (0.2, 3.0), "centre": np.mean},
+    "v3": {"sep": (0.5, 2.0), "height": (0.51, 3.0), "slope": (0.3, 3.0), "centre": np.mean},
+}
 
 
 def start() -> dict:
@@ -94,18 +100,20 @@ def lookback(peaks: list, samples: float) -> list:
     return []
 
 
-def history_gate(state: dict, x, med, peaks, keys: list, fs: float) -> tuple[bool, list[int], list[str]]:
+def history_gate(state: dict, x, med, peaks, keys: list, fs: float, limits: str = "v4") -> tuple[bool, list[int], list[str]]:
     """(valid, mask, reasons) against the last valid run: distances, heights, wander of the rolling median, upstroke slopes."""
     x, med, peaks = np.asarray(x, float), np.asarray(med, float), np.asarray(peaks, int)
+    bound = LIMITS[limits]
+    centre = bound["centre"]
     ok, reasons = np.ones(len(peaks), int), []
-    usual = float(np.median(np.diff([k[0] for k in keys])))
+    usual = float(centre(np.diff([k[0] for k in keys])))
     gaps = np.diff(peaks)
-    short = np.flatnonzero(gaps < 0.4 * usual)
+    short = np.flatnonzero(gaps < bound["sep"][0] * usual)
     ok[short], ok[short + 1] = 0, 0
-    reasons += ["short_sep"] * bool(len(short)) + ["long_sep"] * bool((gaps > 4 * usual).any())
-    tall = float(np.median([k[2] for k in keys]))
+    reasons += ["short_sep"] * bool(len(short)) + ["long_sep"] * bool((gaps > bound["sep"][1] * usual).any())
+    tall = float(centre([k[2] for k in keys]))
     height = x[peaks] - med[peaks]
-    off = (height < 0.4 * tall) | (height > 4 * tall)
+    off = (height < bound["height"][0] * tall) | (height > bound["height"][1] * tall)
     ok[off] = 0
     reasons += ["height"] * bool(off.any())
     low, high = np.quantile(med, [0.2, 0.8])
@@ -131,14 +139,14 @@ def history_gate(state: dict, x, med, peaks, keys: list, fs: float) -> tuple[boo
             turns = np.flatnonzero(np.isin(np.roll(steps, 1) - steps, (-2, -1)))
             base = a + int(turns[-1]) if len(turns) else a
             slopes.append(float(np.polyfit(np.arange(base, p), x[base:p], 1)[0]) if p - base > 3 else 0.0)
-        mid = float(np.median(slopes))
-        steep = (np.array(slopes) < 0.1 * mid) | (np.array(slopes) > 5 * mid)
+        mid = float(centre(slopes))
+        steep = (np.array(slopes) < bound["slope"][0] * mid) | (np.array(slopes) > bound["slope"][1] * mid)
         ok[steep] = 0
         reasons += ["slope"] * bool(steep.any())
     return not reasons, ok.tolist(), reasons
 
 
-def step(state: dict, section: dict, fs: float) -> tuple[dict, dict]:
+def step(state: dict, section: dict, fs: float, limits: str = "v4") -> tuple[dict, dict]:
     """One section: {start, wave, med, features}. Returns the new state and {valid, reasons, peaks, mask, new, wdist, bad_ratio}."""
     state = {k: list(v) if isinstance(v, list) else v for k, v in state.items()}
     own, first = section["features"], section["start"]
@@ -155,7 +163,7 @@ def step(state: dict, section: dict, fs: float) -> tuple[dict, dict]:
         good, mask, _, out["bad_ratio"] = beat_gate(state, section["wave"], own["peaks"], fs)
         out["reasons"] += [] if good else ["Bad Beat"]
     if good and not stale:
-        good, more, why = history_gate(state, section["wave"], section["med"], own["peaks"], keys, fs)
+        good, more, why = history_gate(state, section["wave"], section["med"], own["peaks"], keys, fs, limits)
         mask, out["reasons"] = [a & b for a, b in zip(mask, more)], out["reasons"] + why
     out |= {"valid": int(good), "mask": mask}
     known = {p[0] for p in state["peaks"][-STORED:]}
@@ -163,3 +171,14 @@ def step(state: dict, section: dict, fs: float) -> tuple[dict, dict]:
     out["new"] = [p[0] for p in fresh]
     state["peaks"] = [*state["peaks"], *fresh][-HISTORY:]
     return state, out
+
+
+def noisy_beats(x, peaks, fs: float) -> tuple[list[int], bool]:
+    """Older gate: beats with two or more bins above 18 Hz over the mean of the bins below, and whether fewer than a quarter are such."""
+    bad = []
+    for a, b in zip(peaks[:-1], peaks[1:]):
+        part = np.asarray(x[a:b], float)
+        power, f = np.abs(np.fft.rfft(part - part.mean())), np.fft.rfftfreq(len(part), 1 / fs)
+        low = power[(f > 0) & (f <= 18)]
+        bad.append(int(len(low) > 0 and (power[f > 18] > low.mean()).sum() >= 2))
+    return bad, not bad or sum(bad) / len(bad) < 0.25

@@ -96,6 +96,41 @@ def spectra(sections: DataFrame, fs: float) -> DataFrame:
     return per_section(sections, kernel, "ratio double, entropy double, in_band double, entropy_share double, slow double, hjorth double")
 
 
+def power_density(sections: DataFrame, fs: float, seconds: float = 2.0, detrend: str = "constant") -> DataFrame:
+    """(keys, k, f, p): Welch's estimate over windows of ``seconds``."""
+
+    def kernel(x, start):
+        f, p = kn.welch(x, fs, min(len(x), int(seconds * fs)), detrend)
+        return [(k, float(a), float(b)) for k, (a, b) in enumerate(zip(f, p))]
+
+    return per_section(sections, kernel, "k int, f double, p double")
+
+
+def beat_gates(sections: DataFrame, peaks: DataFrame, fs: float) -> DataFrame:
+    """(keys, valid, bad_ratio, mp, hjh, stft, noisy): second-stage gates of each section without history. peaks: (keys, r_idx ARRAY)."""
+
+    def kernel(x, start, at):
+        at = [p - start for p in at]
+        ok, _, reasons, bad = qu.beat_gate(qu.start(), x, at, fs)
+        count = lambda r: sum(v == r for v in reasons)
+        return [(int(ok), float(bad), count("MP"), count("HJH"), count("STFT"), sum(qu.noisy_beats(x, at, fs)[0]))]
+
+    return per_section(sections.join(peaks.select(*fr.KEYS, "r_idx"), list(fr.KEYS)), kernel, "valid int, bad_ratio double, mp int, hjh int, stft int, noisy int", ("r_idx",))
+
+
+def templates(sections: DataFrame, fs: float) -> DataFrame:
+    """(keys, fiducials and intervals) of sections that hold one averaged beat each."""
+    fields = (*be.ECG_FIELDS, *be.INTERVALS)
+    return per_section(sections, lambda x, start: [[b[k] for k in fields]] if len(x) > 10 and (b := be.template(x, fs)) else [], ", ".join(f"{k} long" for k in fields))
+
+
+def average_beats(samples: DataFrame, peaks: DataFrame, before: int, after: int) -> DataFrame:
+    """(record_id, wave_section, start, wave): beats of a section laid over each other at R and averaged. Meets samples by section, not by range."""
+    both = samples.join(peaks.select(*fr.KEYS, "r_idx"), list(fr.KEYS)).withColumn("off", F.col("idx") - F.col("r_idx")).where(F.col("off").between(-before, after))
+    mean = both.groupBy(*fr.KEYS, "off").agg(F.avg("v").alias("v"))
+    return section_arrays(mean.withColumnRenamed("off", "idx"))
+
+
 def strongest_harmonics(sections: DataFrame, fs: float, most: int = 4) -> DataFrame:
     """(keys, place, f, p): the strongest peaks of the mean spectrum of single beats (systolic peaks)."""
 

@@ -10,8 +10,9 @@ from pulseloom.operators import framing as fr
 from pulseloom.operators import relational as rel
 from pulseloom.operators import stats as st
 from pulseloom.operators.prep import drop_any_null, drop_zeros, impute, outliers
-from pulseloom.plans.framing_queries import FS, PEAKS, SEC, peaks, r6, sectioned
+from pulseloom.plans.framing_queries import FS, PEAKS, SEC, peaks, r6, sectioned, signal
 from pulseloom.plans.registry import query
+from pulseloom.sources.writers import pad_channels, run_summary, warp_clock
 
 K = fr.KEYS
 #: Beats in SQL: neighbouring local maxima with stand-ins for the fiducials, at whole samples.
@@ -309,3 +310,56 @@ def q_lowest_k(spark, sf):
     bad = F.count_if(F.col("valid") == 0).over(Window.partitionBy(*K))
     ranked = p.withColumns({"k": F.row_number().over(Window.partitionBy(*K).orderBy("v", "r_idx")), "bad": bad})
     return ranked.where("k <= bad").select(*K, "r_idx")
+
+
+@query("snr", f"WITH {SEC} SELECT record_id, wave_section, round(avg(v) / stddev_pop(v), 6) AS snr FROM sec GROUP BY ALL")
+def q_snr(spark, sf):
+    return st.shape(sectioned(spark, sf), *K).select(*K, r6("snr"))
+
+
+@query("ptp", f"WITH {SEC} SELECT record_id, wave_section, round(max(v) - min(v), 6) AS ptp FROM sec GROUP BY ALL")
+def q_ptp(spark, sf):
+    return st.shape(sectioned(spark, sf), *K).select(*K, r6("ptp"))
+
+
+@query("run_summary", f"WITH {PEAKS}, s AS (SELECT record_id, wave_section, (avg((valid = 0)::INT) <= 0.5)::INT AS valid FROM peaks GROUP BY ALL), r AS (SELECT *, CASE WHEN valid = 1 THEN '' ELSE 'Bad Beat' END AS fail_reason FROM s) SELECT 'valid' AS kind, valid::VARCHAR AS value, count(*) AS n FROM r GROUP BY ALL UNION ALL SELECT 'fail_reason', fail_reason, count(*) FROM r GROUP BY ALL")
+def q_run_summary(spark, sf):
+    s = st.bad_ratio(peaks(spark, sf), *K, most=0.5).withColumn("valid", F.col("ok").cast("int")).withColumn("fail_reason", F.when(F.col("ok"), "").otherwise("Bad Beat"))
+    return run_summary(s)
+
+
+@query("valid_section_runs", f"WITH {PEAKS}, s AS (SELECT record_id, wave_section FROM peaks GROUP BY ALL HAVING avg((valid = 0)::INT) <= 0.5), g AS (SELECT *, wave_section - row_number() OVER (PARTITION BY record_id ORDER BY wave_section) AS g FROM s) SELECT record_id, min(wave_section) AS first, max(wave_section) AS last, count(*) AS n FROM g GROUP BY record_id, g")
+def q_valid_runs(spark, sf):
+    s = st.bad_ratio(peaks(spark, sf), *K, most=0.5).where("ok")
+    return fr.runs(s, "record_id", by="wave_section")
+
+
+@query("top_sections_rmssd", f"WITH {RR}, r AS (SELECT record_id, wave_section, round(sqrt(avg(d * d)), 5) AS rmssd FROM rd GROUP BY ALL HAVING count(*) >= 2) SELECT record_id, wave_section, rmssd, row_number() OVER (ORDER BY rmssd DESC, record_id, wave_section)::INT AS place FROM r ORDER BY rmssd DESC, record_id, wave_section LIMIT 20")
+def q_top_sections(spark, sf):
+    r = st.hrv(rr_rows(spark, sf), *K).select(*K, F.col("RMSSD").alias("rmssd"), F.struct("record_id", "wave_section").alias("tie"))
+    return rel.top_k(r, 20, "rmssd", "tie").select(*K, "rmssd", "place")
+
+
+@query("block_clock", f"WITH {PEAKS} SELECT record_id, wave_section, r_idx, (r_idx // 300) AS block, round(r_idx - (r_idx - (r_idx // 300) * 300) * 0.02)::BIGINT AS corrected FROM peaks")
+def q_block_clock(spark, sf):
+    # the block of a position follows from the position: no range join
+    block = F.floor(F.col("r_idx") / 300)
+    return peaks(spark, sf).select(*K, "r_idx", block.alias("block"), sc.clock_corrected(F.col("r_idx").cast("double"), block * 300, F.lit(0.02)).alias("corrected"))
+
+
+@query("pad_channels", f"WITH {SEC} SELECT s.record_id AS channel, g AS idx, coalesce(v, 0) AS v FROM (SELECT record_id, unnest(range((SELECT max(n) FROM num))) AS g FROM num) s LEFT JOIN sig ON sig.record_id = s.record_id AND sig.idx = s.g")
+def q_pad(spark, sf):
+    s = signal(spark, sf).select(F.lit("all").alias("record_id"), F.col("record_id").alias("channel"), "idx", "v")
+    return pad_channels(s).select("channel", "idx", "v")
+
+
+@query("warp_clock", f"WITH {SEC}, m AS (SELECT record_id, idx * 0.98 AS p, lead(idx) OVER w * 0.98 AS q, v, lead(v) OVER w AS v1 FROM sig WINDOW w AS (PARTITION BY record_id ORDER BY idx)) SELECT record_id, ceil(p)::BIGINT AS idx, round(v + (v1 - v) * (ceil(p) - p) / (q - p), 5) + 0.0 AS v FROM m WHERE q IS NOT NULL AND ceil(p) < q")
+def q_warp(spark, sf):
+    return warp_clock(signal(spark, sf), 0.02).select("record_id", "idx", (F.round("v", 5) + 0.0).alias("v"))
+
+
+@query("interval_backfill", f'WITH {PEAKS}, s AS (SELECT record_id, wave_section, min(idx) AS a FROM sec GROUP BY ALL), b AS (SELECT DISTINCT record_id, r_idx, (r_idx % 4) * 20.0 AS "QT" FROM peaks) SELECT s.record_id, s.wave_section, round(avg(nullif("QT", 0)), 1) AS "QT" FROM s JOIN b ON b.record_id = s.record_id AND b.r_idx > s.a AND b.r_idx < s.a + 100 GROUP BY ALL')
+def q_backfill(spark, sf):
+    b = peaks(spark, sf).select("record_id", "r_idx").distinct().withColumn("QT", (F.col("r_idx") % 4) * 20.0).join(fr.lengths(signal(spark, sf)), "record_id")
+    placed = fr.section_join(b, FS, 10.0, 0.2, position="r_idx", closed="none")
+    return st.interval_means(placed, *K, columns=("QT",))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pulseloom.operators import framing as fr
 from pulseloom.operators import waveforms as wf
-from pulseloom.plans.framing_queries import FS, OVERLAP, SEC, r6, sectioned, signal
+from pulseloom.plans.framing_queries import FS, OVERLAP, PEAKS, SEC, peaks, r6, sectioned, signal
 from pulseloom.plans.registry import query
 
 K = fr.KEYS
@@ -117,3 +117,28 @@ def q_hemo(spark, sf):
     long = fr.section_join(signal(spark, sf), FS, 60.0, OVERLAP).select("record_id", "wave_section", "idx", "v")
     a = wf.section_arrays(long).withColumn("lad", F.transform("wave", lambda v: v / 10 - 1)).withColumn("carotid", F.transform("wave", lambda v: v / 20))
     return wf.pressure_sections(wf.pressure_beats(a, 200.0)).select(*K, "beats", r6("SBP"), r6("DBP"), r6("true_MAP"))
+
+
+@query("welch", _DFT + "SELECT 'v' || vec_id AS record_id, k::INT AS k, k * 0.5 AS f, round(p / (32 * 24.0), 8) + 0.0 AS p FROM w")
+def q_welch(spark, sf):
+    return wf.power_density(vectors(spark, sf), 32.0).select("record_id", "k", "f", (F.round("p", 8) + 0.0).alias("p"))
+
+
+def _systolic(spark, sf) -> DataFrame:
+    return wf.find_peaks(arrays(spark, sf), FS, "systolic").groupBy(*K).agg(F.array_sort(F.collect_list("r_idx")).alias("r_idx"))
+
+
+@query("post_sqi")
+def q_post_sqi(spark, sf):
+    return wf.beat_gates(arrays(spark, sf), _systolic(spark, sf), FS).select(*K, "valid", r6("bad_ratio"), "mp", "hjh", "stft", "noisy")
+
+
+@query("average_beats", f"WITH {PEAKS} SELECT p.record_id, p.wave_section, s.idx - p.r_idx AS off, round(avg(s.v), 6) + 0.0 AS v FROM peaks p JOIN sec s ON s.record_id = p.record_id AND s.wave_section = p.wave_section AND s.idx BETWEEN p.r_idx - 3 AND p.r_idx + 5 GROUP BY ALL")
+def q_average_beats(spark, sf):
+    a = wf.average_beats(sectioned(spark, sf), peaks(spark, sf), 3, 5)
+    return a.select(*K, F.posexplode("wave").alias("i", "v"), "start").select(*K, (F.col("i") + F.col("start")).alias("off"), r6("v"))
+
+
+@query("template_beat")
+def q_template(spark, sf):
+    return wf.templates(wf.average_beats(sectioned(spark, sf), peaks(spark, sf), 20, 40), 60.0)
