@@ -1,7 +1,7 @@
 """Quality rules as weak supervision, in DataFrame functions: rules vote or abstain, EM weighs them.
 
 Each rule votes +1 (good), -1 (bad) or 0 (abstains). Expectation-maximisation over the counts of vote patterns of
-all documents estimates for each rule how often it votes either way on good and on bad documents; the posterior
+all documents that the base rules leave open estimates for each rule how often it votes either way on good and on bad documents; the posterior
 probability of being good decides.
 """
 
@@ -24,10 +24,13 @@ RULES = (
     ("dup_lines", "n_dup_lines = 0", "10 * n_dup_lines >= 3 * n_lines"),
     ("repeats", "20 * n_repeat_words <= n_words", "5 * n_repeat_words >= n_words"),
     ("upper", "50 * n_upper <= 10 * word_chars", "50 * n_upper >= 20 * word_chars"),
-    ("stops", "10 * n_ends >= n_lines", "n_ends = 0"),
+    ("ends", "10 * n_ends >= n_lines", "n_ends = 0"),
+    ("plain", "10 * n_plain >= 8 * n_words", "10 * n_plain < 6 * n_words"),
 )
 #: EM: rounds at most, change of the log-likelihood per row at which it ends, pseudo-counts.
 ROUNDS, TOLERANCE, PRIOR = 200, 1e-10, 1.0
+#: Share of votes for good at the start, on good and on bad documents.
+START_GOOD, START_BAD = 0.99, 0.6
 
 
 def _once(value: Column, use) -> Column:
@@ -54,7 +57,7 @@ def _repeat_words(words: Column) -> Column:
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_ends) of whole texts."""
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_ends, n_plain) of whole texts."""
     text = F.coalesce(F.col("_t"), F.lit(""))
     words = F.filter(F.split(text, _WS + "+", -1), lambda w: w != "")
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -69,7 +72,8 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         dup.alias("_d"),
         F.regexp_count(text, F.lit(r"[A-Z]")).cast("long").alias("n_upper"),
         F.regexp_count(text, F.lit(r"[.!?][\x20\x09-\x0D]*(?:\n|\z)")).cast("long").alias("n_ends"),
-    ).select("doc_id", F.col("_w.n").cast("long").alias("n_words"), "word_chars", "n_symbols", F.col("_d.d").cast("long").alias("n_dup_lines"), F.col("_w.r").alias("n_repeat_words"), F.col("_d.n").cast("long").alias("n_lines"), "n_upper", "n_ends")
+        F.regexp_count(text, F.lit(r"(?<!\S)\p{L}++[.,;:!?]?(?!\S)")).cast("long").alias("n_plain"),
+    ).select("doc_id", F.col("_w.n").cast("long").alias("n_words"), "word_chars", "n_symbols", F.col("_d.d").cast("long").alias("n_dup_lines"), F.col("_w.r").alias("n_repeat_words"), F.col("_d.n").cast("long").alias("n_lines"), "n_upper", "n_ends", "n_plain")
 
 
 def _vote(good: str, bad: str) -> Column:
@@ -77,30 +81,37 @@ def _vote(good: str, bad: str) -> Column:
 
 
 def fit(patterns: dict[tuple[int, ...], int], rules: int) -> tuple[float, list[dict[int, float]]]:
-    """EM over counts of vote patterns (at most 3**rules): the log-odds of good a priori, and for each rule the log-ratio of each vote."""
-    share = 0.7
-    given = [[{1: 0.7, 0: 0.2, -1: 0.1} for _ in range(rules)], [{1: 0.1, 0: 0.2, -1: 0.7} for _ in range(rules)]]
+    """EM over counts of vote patterns (at most 3**rules): the log-odds of good a priori, and for each rule the log-ratio of each vote.
+
+    A rule that abstains says nothing. One that votes says "good" with its own probability on good and on bad
+    documents; at the start a vote for bad is rare on good documents and frequent on bad ones.
+    """
+    share, on_good, on_bad = 0.8, [START_GOOD] * rules, [START_BAD] * rules
     total, last = sum(patterns.values()), -math.inf
     for _ in range(ROUNDS if total else 0):
-        sums = [[dict.fromkeys((1, 0, -1), PRIOR) for _ in range(rules)] for _ in range(2)]
+        sums = [[[PRIOR, PRIOR] for _ in range(rules)] for _ in range(2)]
         mass, seen = 0.0, 0.0
         for votes, n in sorted(patterns.items()):
-            a = math.log(share) + sum(math.log(given[0][j][v]) for j, v in enumerate(votes))
-            b = math.log(1 - share) + sum(math.log(given[1][j][v]) for j, v in enumerate(votes))
+            a = math.log(share) + sum(math.log(on_good[j] if v > 0 else 1 - on_good[j]) for j, v in enumerate(votes) if v)
+            b = math.log(1 - share) + sum(math.log(on_bad[j] if v > 0 else 1 - on_bad[j]) for j, v in enumerate(votes) if v)
             top = max(a, b)
             whole = top + math.log(math.exp(a - top) + math.exp(b - top))
             seen += n * whole
             p = math.exp(a - whole)
             mass += n * p
             for j, v in enumerate(votes):
-                sums[0][j][v] += n * p
-                sums[1][j][v] += n * (1 - p)
+                if v:
+                    sums[0][j][v < 0] += n * p
+                    sums[1][j][v < 0] += n * (1 - p)
         share = (mass + PRIOR) / (total + 2 * PRIOR)
-        given = [[{v: x / sum(own.values()) for v, x in own.items()} for own in side] for side in sums]
+        for good, bad in zip(*sums):  # a rule is no worse than chance: else its votes say nothing
+            if good[0] * bad[1] < bad[0] * good[1]:
+                good[:] = bad[:] = [good[0] + bad[0], good[1] + bad[1]]
+        on_good, on_bad = ([x / (x + y) for x, y in side] for side in sums)
         if seen - last < TOLERANCE * total:
             break
         last = seen
-    return math.log(share / (1 - share)), [{v: math.log(given[0][j][v] / given[1][j][v]) for v in (1, 0, -1)} for j in range(rules)]
+    return math.log(share / (1 - share)), [{1: math.log(g / b), 0: 0.0, -1: math.log((1 - g) / (1 - b))} for g, b in zip(on_good, on_bad)]
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -113,14 +124,15 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     not read, an empty table gives an empty result.
     """
     rows = measures(docs, id_col, text_col)
-    rows = written(rows.withColumns({f"v_{name}": _vote(good, bad) for name, good, bad in RULES}), "votes")
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    rows = written(rows.withColumns({f"v_{name}": _vote(good, bad) for name, good, bad in RULES}).withColumn("base_failed", failed), "votes")
     names = [f"v_{r[0]}" for r in RULES]
-    patterns = {tuple(r[n] for n in names): r["n"] for r in rows.groupBy(*names).agg(F.count("*").alias("n")).collect()}
+    # what the base has failed is decided: the rules are weighed on all documents that it leaves open
+    patterns = {tuple(r[n] for n in names): r["n"] for r in rows.where("not base_failed").groupBy(*names).agg(F.count("*").alias("n")).collect()}
     prior, ratios = fit(patterns, len(RULES))
     odds = F.lit(prior)
     for name, ratio in zip(names, ratios):
         odds = odds + F.when(F.col(name) == 1, ratio[1]).when(F.col(name) == -1, ratio[-1]).otherwise(ratio[0])
     posterior = 1 / (1 + F.exp(-odds))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = rows.withColumn("posterior", posterior).withColumn("base_failed", failed)
+    out = rows.withColumn("posterior", posterior)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("posterior") >= threshold)).alias("kept"), "posterior")
