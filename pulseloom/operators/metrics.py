@@ -60,3 +60,20 @@ def roc_auc(rows: DataFrame, label: str = "label", score: str = "score") -> Data
     rank = F.col("upto") - (F.col("n") - 1) / 2.0
     one = ranked.agg(F.sum(F.col("pos") * rank).alias("r"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
     return one.select(F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2.0, F.col("p") * F.col("q")).alias("auc"))
+
+
+def mean_roc(rows: DataFrame, fold: str = "fold", label: str = "label", score: str = "score", points: int = 100) -> DataFrame:
+    """(fpr, tpr, std): the folds' curves read at evenly spaced false-positive rates (highest tpr so far, by steps), mean and sample deviation.
+
+    Scores meet the grid on the cell of their rate, so only a row for each fold and cell is left before curves are read.
+    """
+    cell = F.ceil(F.col("fpr") * (points - 1) - 1e-12).cast("int")
+    folds = [r[0] for r in rows.select(fold).distinct().orderBy(fold).collect()]
+    every = None
+    for f in folds:
+        part = roc_points(rows.where(F.col(fold) == f), label, score).groupBy(cell.alias("cell")).agg(F.max("tpr").alias("tpr")).withColumn("fold", F.lit(f))
+        every = part if every is None else every.unionByName(part)
+    grid = rows.sparkSession.range(points).select(F.col("id").cast("int").alias("cell")).crossJoin(F.broadcast(every.select("fold").distinct()))
+    upto = Window.partitionBy("fold").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+    read = grid.join(every, ["fold", "cell"], "left").withColumn("tpr", F.coalesce(F.max("tpr").over(upto), F.lit(0.0)))
+    return read.groupBy("cell").agg(F.avg("tpr").alias("tpr"), F.stddev_samp("tpr").alias("std")).select((F.col("cell") / (points - 1)).alias("fpr"), "tpr", "std")

@@ -289,3 +289,33 @@ def pattern_matches(sections: DataFrame, query: list[float], deviations: float =
         return [(start + k, d) for k, d in kn.matches(query, x, deviations)] if len(x) >= len(query) else []
 
     return per_section(sections, kernel, "at long, distance double")
+
+
+def pick_lead(sections: DataFrame, names: DataFrame, target: str, fs: float, most: int = 3) -> DataFrame:
+    """(channel, ratio, in_band, place): of the channels named most like ``target`` (one more than ``most``), best signal first.
+
+    sections: as section_arrays gives, record_id being the channel.
+    """
+    from pulseloom.operators.relational import rank_names
+
+    near = rank_names(names, target, most + 1).select(F.col("name").alias("channel"), "ratio")
+    quality = spectra(sections, fs).groupBy(F.col("record_id").alias("channel")).agg(F.avg("in_band").alias("in_band"))
+    ranked = quality.join(F.broadcast(near), "channel").orderBy(F.desc("in_band"), "channel")
+    return ranked.select("channel", "ratio", "in_band", (F.row_number().over(_whole("in_band", "channel"))).alias("place"))
+
+
+def _whole(score: str, tie: str):
+    from pyspark.sql import Window
+
+    return Window.orderBy(F.desc(score), tie)
+
+
+def top_frequencies(sections: DataFrame, fs: float, most: int = 10) -> DataFrame:
+    """(keys, place, f, p): the strongest bins of each section's spectrum, ties to the lower."""
+
+    def kernel(x, start):
+        power, f = np.abs(np.fft.rfft(x - x.mean())), np.fft.rfftfreq(len(x), 1 / fs)
+        order = np.lexsort((f, -power))[:most]
+        return [(i + 1, float(f[k]), float(power[k])) for i, k in enumerate(order)]
+
+    return per_section(sections, kernel, "place int, f double, p double")

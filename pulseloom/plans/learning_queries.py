@@ -59,6 +59,11 @@ def q_roc(spark, sf):
     return me.roc_points(predictions(spark, sf), "y").select("threshold", r6("fpr"), r6("tpr"))
 
 
+@query("mean_roc")
+def q_mean_roc(spark, sf):
+    return me.mean_roc(predictions(spark, sf).withColumn("fold", prep.group_fold(F.col("vec_id"), 3)), label="y").select(r6("fpr"), r6("tpr"), r6("std"))
+
+
 @query("subject_normalise", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events), b AS (SELECT *, coalesce(avg(value) FILTER (WHERE event_type = 'view') OVER (PARTITION BY user_id), avg(value) FILTER (WHERE k <= greatest(1, n // 10)) OVER (PARTITION BY user_id)) AS b FROM r) SELECT event_id, round((value - b) / (abs(b) + 1e-6), 6) + 0.0 AS value FROM b")
 def q_subject(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet")

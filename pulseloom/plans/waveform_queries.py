@@ -142,3 +142,14 @@ def q_average_beats(spark, sf):
 @query("template_beat")
 def q_template(spark, sf):
     return wf.templates(wf.average_beats(sectioned(spark, sf), peaks(spark, sf), 20, 40), 60.0)
+
+
+@query("top_frequencies", "WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS n FROM embeddings), f AS (SELECT vec_id, k, sqrt(pow(sum(x * cos(2 * pi() * k * n / 64)), 2) + pow(sum(x * sin(2 * pi() * k * n / 64)), 2)) AS p FROM e, range(1, 33) AS r(k) GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, k) AS place FROM f) SELECT 'v' || vec_id AS record_id, place::INT AS place, k * 0.5 AS f, round(p, 4) AS p FROM t WHERE place <= 10")
+def q_top_frequencies(spark, sf):
+    return wf.top_frequencies(vectors(spark, sf), 32.0).select("record_id", "place", "f", F.round("p", 4).alias("p"))
+
+
+@query("pick_lead")
+def q_pick_lead(spark, sf):
+    names = arrays(spark, sf).select(F.col("record_id").alias("name")).distinct()
+    return wf.pick_lead(arrays(spark, sf), names, "view", FS).select("channel", r6("ratio"), r6("in_band"), "place")

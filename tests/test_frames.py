@@ -41,6 +41,16 @@ def test_segment_stretched(spark):
     assert [(r.start_point, r.end_point) for r in got.orderBy("wave_section").collect()] == [(0, 100), (80, 250)]
 
 
+def test_segment_in_sql(spark):
+    from pulseloom.functions.tables import register
+
+    register(spark)
+    for n, least in ((260, 2.0), (261, 2.0), (60, 5.0), (250, -1.0)):
+        got = spark.sql(f"SELECT start_point, end_point FROM segment({n}, 10.0, 10.0, 0.2, {least})")
+        want = fr.segment(spark.createDataFrame([("a", n)], "record_id string, n long"), 10.0, 10.0, 0.2, least)
+        assert rows(got) == rows(want.select("start_point", "end_point"))
+
+
 def test_rolling_median(spark):
     x = np.random.default_rng(0).normal(size=120)
     got = {r.idx: r.rolling_med for r in fr.rolling_median(samples(spark, x)).collect()}
