@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pulseloom.llm.common import byte_slices
+from pulseloom.llm.common import byte_slices, small_batches
 
 #: Entries that a worker's caches hold before they start anew; bytes of text taken at once.
 CACHED, SLICE = 300_000, 8 << 20
@@ -172,6 +172,7 @@ def bpe_encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str
     The ids are those of the file's own library without special tokens added, truncation or padding. Null and
     empty texts give an empty array; repeated rows and null ids each give a row; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(spec)
 
     def run(batches):

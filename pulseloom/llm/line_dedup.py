@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulseloom.llm.common import LOWER_BYTES, SPACE, byte_slices, written
+from pulseloom.llm.common import LOWER_BYTES, SPACE, byte_slices, small_batches, written
 from pulseloom.llm.perfect_hash import PerfectHash, U
 
 #: Keys of a shard about; distinct lines a task counts at once; bytes of index to broadcast; bytes of text taken at once.
@@ -134,6 +134,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text_col
     columns come through as they are, but columns named n_lines and n_dropped are replaced. An empty table
     gives an empty result.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop("n_lines", "n_dropped")
     index = line_index(docs, min_docs, min_chars, text_col)
     size = index.agg(F.sum(F.expr("length(levels) + length(bits) + length(marks) + length(counts)"))).first()[0] or 0

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseloom.llm.common import byte_slices, shuffle_partitions, written
+from pulseloom.llm.common import byte_slices, shuffle_partitions, small_batches, written
 from pulseloom.llm.components import components
 from pulseloom.llm.shingles import U, mix, shingle_sets, signature
 from pulseloom.llm.toccurrence import spanning_links
@@ -254,6 +254,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     minimum: a group of none but null ids has a null component_id.  Repeated rows each give a row.  Other
     columns are not read.  An empty table gives an empty result.  Hashes have 64 bits and sets 128.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     buckets = shuffle_partitions(docs.sparkSession)
     every = written(document_sets(docs, words), "sets")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pulseloom.llm.bpe import SIMPLE, Remembered, blank_split, byte_letters
-from pulseloom.llm.common import byte_slices, written
+from pulseloom.llm.common import byte_slices, small_batches, written
 
 #: Queues of their own; the sources beyond (those with the fewest tokens) share one more.
 QUEUES = 1024
@@ -57,6 +57,7 @@ class LibraryTokens:
 
 def _tokens(docs: DataFrame, spec: str, last_id: int) -> DataFrame:
     """(task, doc_id, queue, before, tokens, ids): a task's documents in order, with what it has of the queue before each."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(spec)
 
     def run(batches):

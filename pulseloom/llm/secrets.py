@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseloom.llm.common import byte_slices
+from pulseloom.llm.common import byte_slices, small_batches
 
 SLICE = 8 << 20
 #: Kinds in the order in which spans of one start are listed.
@@ -159,6 +159,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null and empty texts have no spans; repeated rows and null ids each give a row; other columns are not
     read; an empty table gives an empty result. Spans of different kinds may overlap.
     """
+    small_batches(docs.sparkSession)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
     def run(batches):
@@ -176,6 +177,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Nulls stay null, all other columns come through as they are, an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def cut(text: str | None) -> str | None:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulseloom.llm.bpe import Remembered
-from pulseloom.llm.common import byte_slices, written
+from pulseloom.llm.common import byte_slices, small_batches, written
 from pulseloom.llm.transducer import Transducer
 
 #: Labelled rows learned from at most, those of the least hash of their id.
@@ -179,6 +179,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dic
     docs: (doc_id, text); labels: (doc_id, toxic). Rows with a null id or label, or without a document, teach nothing; of
     documents with the same text one is taken. Without labels the seed words and START decide.
     """
+    small_batches(docs.sparkSession)
     usable = labels.where("doc_id is not null and toxic in (0, 1)").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0)
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     text = F.coalesce("text", F.lit(""))
@@ -208,6 +209,7 @@ def toxicity(docs: DataFrame, lexicon: dict[str, float], coefficients: list[floa
     Null and empty texts match nothing and have the base score. All columns come through, one named as ``score`` is
     replaced; repeated rows each give a row; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop(score)
     at, sent = docs.columns.index(text_col), docs.sparkSession.sparkContext.broadcast((lexicon, coefficients))
 
