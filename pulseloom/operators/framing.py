@@ -42,19 +42,26 @@ def lengths(samples: DataFrame) -> DataFrame:
 def section_join(samples: DataFrame, fs: float, seconds: float, overlap: float = 0.2, min_size: float | None = None, position: str = "idx", closed: str = "left") -> DataFrame:
     """Rows with the sections that cover them: start <= position < end ("left"), both ends out ("none") or in ("both").
 
-    The section numbers that may cover a position follow from it, so no range is compared across rows: a hash join on
-    (record_id, wave_section) with the small table of sections does the rest.
+    The sections that cover a position follow from it and from the recording's length n, so there is no join at all:
+    each row is repeated for its one or two sections. Rows without n get it from their recording's greatest position.
+    min_size None: full sections only.
     """
     size, step = seconds * fs, (1.0 - overlap) * seconds * fs
-    p = F.col(position)
-    low = F.greatest(F.floor((p - size) / step), F.lit(0)).cast("int")
-    near = samples.withColumn("wave_section", F.explode(F.sequence(low, F.floor(p / step).cast("int"))))
-    bounds = segment(lengths(samples) if position == "idx" else samples.select("record_id", "n").distinct(), fs, seconds, overlap, 0.0 if min_size is None else min_size)
-    if min_size is None:
-        bounds = bounds.where(F.col("end_point") - F.col("start_point") >= int(size))
+    if "n" not in samples.columns:
+        samples = samples.join(samples.groupBy("record_id").agg((F.max(position) + 1).alias("n")), "record_id")
+    p, n, k = F.col(position), F.col("n"), F.col("wave_section")
+    full = F.greatest(F.ceil((n - size) / step), F.lit(0))
+    low = F.greatest(F.floor((p - size) / step), F.lit(0))
+    low = F.greatest(F.least(low, full - 1), F.lit(0)) if min_size == -1 else low
+    near = samples.withColumn("wave_section", F.explode(F.sequence(low.cast("int"), F.floor(p / step).cast("int"))))
+    end = F.when(k < full, F.floor(k * step + size))
+    if min_size == -1:
+        end = F.when(k == full - 1, n).when(k < full, F.floor(k * step + size))
+    elif min_size is not None:
+        end = end.when((k == full) & (n - k * step >= min_size * fs), n)
+    bounded = near.withColumns({"start_point": (k * step).cast("long"), "end_point": end.cast("long")})
     a, b = F.col("start_point"), F.col("end_point")
-    inside = {"left": (p >= a) & (p < b), "none": (p > a) & (p < b), "both": (p >= a) & (p <= b)}[closed]
-    return near.join(bounds, list(KEYS)).where(inside)
+    return bounded.where({"left": (p >= a) & (p < b), "none": (p > a) & (p < b), "both": (p >= a) & (p <= b)}[closed])
 
 
 def rolling_median(samples: DataFrame, size: int = 41) -> DataFrame:

@@ -31,6 +31,17 @@ def shape(samples: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def shape_and_hjorth(samples: DataFrame, *keys: str) -> DataFrame:
+    """shape and hjorth together: one shuffle by the keys serves the differences and the aggregate."""
+    w, sd = ordered(*keys), F.stddev_pop("v")
+    d = samples.withColumn("_d", F.col("v") - F.lag("v").over(w)).withColumn("_dd", F.col("_d") - F.lag("_d").over(w))
+    z, a, b = F.var_pop("v"), F.var_pop("_d"), F.var_pop("_dd")
+    return d.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.avg("v").alias("mean"), F.kurtosis("v").alias("kurtosis"), (F.max("v") - F.min("v")).alias("ptp"), F.percentile("v", F.array(F.lit(0.35), F.lit(0.95))).alias("_p"),
+        F.when(sd == 0, 0.0).otherwise(F.avg("v") / sd).alias("snr"), F.when((z == 0) | (a == 0), 0.0).otherwise(F.sqrt(b / a) / F.sqrt(a / z)).alias("hjorth"),
+    ).withColumns({"p35": F.col("_p")[0], "p95": F.col("_p")[1]}).drop("_p")
+
+
 def median_mad(samples: DataFrame, *keys: str) -> DataFrame:
     med = F.percentile("v", F.lit(0.5)).over(Window.partitionBy(*keys))
     return samples.withColumn("_m", med).groupBy(*keys).agg(F.first("_m").alias("median"), F.percentile(F.abs(F.col("v") - F.col("_m")), F.lit(0.5)).alias("mad"))

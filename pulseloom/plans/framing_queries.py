@@ -22,13 +22,15 @@ def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("record_id"), (F.row_number().over(w) - 1).cast("long").alias("idx"), F.col("value").alias("v"))
 
 
+def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The signal with its recording's length n, from the shuffle that numbers the samples."""
+    w = Window.partitionBy("event_type")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "value", (F.row_number().over(w.orderBy("ts", "event_id")) - 1).cast("long").alias("idx"), F.count("*").over(w).alias("n"))
+    return rows.select(F.col("event_type").alias("record_id"), "idx", F.col("value").alias("v"), "n")
+
+
 def sectioned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    full = signal(spark, sf_dir)
-    step = (1 - OVERLAP) * SECONDS * FS
-    n = F.count("*").over(Window.partitionBy("record_id"))
-    # all full sections end before their recording does
-    out = fr.section_join(full, FS, SECONDS, OVERLAP).withColumn("n", n)
-    return out.select("record_id", "wave_section", "idx", "v")
+    return fr.section_join(measured(spark, sf_dir), FS, SECONDS, OVERLAP).select("record_id", "wave_section", "idx", "v")
 
 
 def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +110,7 @@ def q_asof(spark, sf):
 
 @query("section_finder", f"WITH {SEC} SELECT record_id, idx, min(wave_section)::INT AS wave_section FROM (SELECT s.record_id, s.idx, k.k AS wave_section FROM sig s JOIN num USING (record_id), unnest(range(greatest(0, ceil((n - 100) / 80.0))::BIGINT)) AS k(k) WHERE s.idx >= k.k * 80 AND s.idx <= k.k * 80 + 100) GROUP BY ALL")
 def q_section_finder(spark, sf):
-    return fr.section_join(signal(spark, sf), FS, SECONDS, OVERLAP, closed="both").groupBy("record_id", "idx").agg(F.min("wave_section").alias("wave_section"))
+    return fr.section_join(measured(spark, sf), FS, SECONDS, OVERLAP, closed="both").groupBy("record_id", "idx").agg(F.min("wave_section").alias("wave_section"))
 
 
 @query("downsample", f"WITH {SIG} SELECT record_id, idx, v FROM sig JOIN num USING (record_id) WHERE idx % greatest(1, n // 100) = 0")

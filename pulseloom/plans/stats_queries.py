@@ -37,9 +37,7 @@ _D = ", d AS (SELECT *, v - lag(v) OVER w AS d1 FROM sec WINDOW w AS (PARTITION
 
 @query("section_stats", f"WITH {SEC}{_D} SELECT record_id, wave_section, count(*) AS n, round(avg(v), 6) + 0.0 AS mean, round(kurtosis_pop(v), 6) + 0.0 AS kurtosis, round(max(v) - min(v), 6) AS ptp, round(quantile_cont(v, 0.35), 6) AS p35, round(quantile_cont(v, 0.95), 6) AS p95, round(avg(v) / stddev_pop(v), 6) AS snr, round(sqrt(var_pop(d2) / var_pop(d1)) / sqrt(var_pop(d1) / var_pop(v)), 6) AS hjorth FROM dd GROUP BY ALL")
 def q_section_stats(spark, sf):
-    s = sectioned(spark, sf)
-    both = st.shape(s, *K).join(st.hjorth(s, *K), list(K))
-    return both.select(*K, "n", *[r6(c) for c in ("mean", "kurtosis", "ptp", "p35", "p95", "snr", "hjorth")])
+    return st.shape_and_hjorth(sectioned(spark, sf), *K).select(*K, "n", *[r6(c) for c in ("mean", "kurtosis", "ptp", "p35", "p95", "snr", "hjorth")])
 
 
 @query("hjorth", f"WITH {SEC}{_D} SELECT record_id, wave_section, round(sqrt(var_pop(d2) / var_pop(d1)) / sqrt(var_pop(d1) / var_pop(v)), 6) AS hjorth FROM dd GROUP BY ALL")

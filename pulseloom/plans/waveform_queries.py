@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pulseloom.operators import framing as fr
 from pulseloom.operators import waveforms as wf
-from pulseloom.plans.framing_queries import FS, OVERLAP, PEAKS, SEC, peaks, r6, sectioned, signal
+from pulseloom.plans.framing_queries import FS, OVERLAP, PEAKS, SECONDS, SEC, measured, peaks, r6, sectioned, signal
 from pulseloom.plans.registry import query
 
 K = fr.KEYS
@@ -20,8 +20,8 @@ def arrays(spark, sf) -> DataFrame:
 
 
 def medians(spark, sf) -> DataFrame:
-    med = fr.rolling_median(signal(spark, sf)).select("record_id", "idx", F.col("rolling_med").alias("m"))
-    return wf.section_arrays(sectioned(spark, sf).join(med, ["record_id", "idx"]), "m")
+    med = fr.rolling_median(measured(spark, sf)).withColumnRenamed("rolling_med", "m")
+    return wf.section_arrays(fr.section_join(med, FS, SECONDS, OVERLAP), "m")
 
 
 def vectors(spark, sf) -> DataFrame:
@@ -114,12 +114,12 @@ def q_pqrst(spark, sf):
 @query("hemo_features")
 def q_hemo(spark, sf):
     # the events' samples stand for pressure in windows of 60 s at a nominal 200 samples a second, shifted copies for flow
-    long = fr.section_join(signal(spark, sf), FS, 60.0, OVERLAP).select("record_id", "wave_section", "idx", "v")
+    long = fr.section_join(measured(spark, sf), FS, 60.0, OVERLAP).select("record_id", "wave_section", "idx", "v")
     a = wf.section_arrays(long).withColumn("lad", F.transform("wave", lambda v: v / 10 - 1)).withColumn("carotid", F.transform("wave", lambda v: v / 20))
     return wf.pressure_sections(wf.pressure_beats(a, 200.0)).select(*K, "beats", r6("SBP"), r6("DBP"), r6("true_MAP"))
 
 
-@query("welch", _DFT + "SELECT 'v' || vec_id AS record_id, k::INT AS k, k * 0.5 AS f, round(p / (32 * 24.0), 8) + 0.0 AS p FROM w")
+@query("welch", _DFT + "SELECT 'v' || vec_id AS record_id, k::INT AS k, (k * 0.5)::DOUBLE AS f, round(p / (32 * 24.0), 8) + 0.0 AS p FROM w")
 def q_welch(spark, sf):
     return wf.power_density(vectors(spark, sf), 32.0).select("record_id", "k", "f", (F.round("p", 8) + 0.0).alias("p"))
 
@@ -144,7 +144,7 @@ def q_template(spark, sf):
     return wf.templates(wf.average_beats(sectioned(spark, sf), peaks(spark, sf), 20, 40), 60.0)
 
 
-@query("top_frequencies", "WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS n FROM embeddings), f AS (SELECT vec_id, k, sqrt(pow(sum(x * cos(2 * pi() * k * n / 64)), 2) + pow(sum(x * sin(2 * pi() * k * n / 64)), 2)) AS p FROM e, range(1, 33) AS r(k) GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, k) AS place FROM f) SELECT 'v' || vec_id AS record_id, place::INT AS place, k * 0.5 AS f, round(p, 4) AS p FROM t WHERE place <= 10")
+@query("top_frequencies", "WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS n FROM embeddings), f AS (SELECT vec_id, k, sqrt(pow(sum(x * cos(2 * pi() * k * n / 64)), 2) + pow(sum(x * sin(2 * pi() * k * n / 64)), 2)) AS p FROM e, range(1, 33) AS r(k) GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, k) AS place FROM f) SELECT 'v' || vec_id AS record_id, place::INT AS place, (k * 0.5)::DOUBLE AS f, round(p, 4) AS p FROM t WHERE place <= 10")
 def q_top_frequencies(spark, sf):
     return wf.top_frequencies(vectors(spark, sf), 32.0).select("record_id", "place", "f", F.round("p", 4).alias("p"))
 
