@@ -270,6 +270,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     known = written(named.join(least, "component").select(F.col("node").alias("s1"), "component_id").distinct(), "known")
     copies = nodes.select("s1", "s2", F.col("doc_id").alias("least"))
-    grouped = copies.join(known, "s1", "left").select("s1", "s2", F.coalesce("component_id", "least").alias("component_id"))
+    # written, so that the last join has two plain shuffles, which can be split where one node stands for many copies
+    grouped = written(copies.join(known, "s1", "left").select("s1", "s2", F.coalesce("component_id", "least").alias("component_id")), "grouped")
     out = every.join(grouped, ["s1", "s2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
