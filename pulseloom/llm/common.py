@@ -7,6 +7,7 @@ driver and every executor); a private temporary folder is set only where the ses
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -42,9 +43,26 @@ def work_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_folders: set[str] = set()
+
+
+def _forget(spark: SparkSession, folder: str) -> None:
+    """Delete an application's working tables when its driver ends in good order."""
+    with contextlib.suppress(Exception):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Write a working table to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = f"{work_dir(df.sparkSession)}/work-{label}-{uuid.uuid4().hex}"
+    """Write a working table to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    The tables of an application lie in one folder, which goes when the driver ends.
+    """
+    folder = f"{work_dir(df.sparkSession)}/pulseloom-{df.sparkSession.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_forget, df.sparkSession, folder)
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
