@@ -47,6 +47,11 @@ class LibraryTokens:
         return array("I", [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS))]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
+        if chunk.isascii():  # most parts are a word, or a word and a mark
+            if chunk.isalpha():
+                return self.words[chunk.lower()]
+            if chunk[:-1].isalpha() and chunk[-1] in ",.;:!?":
+                return self.words[chunk[:-1].lower()] + self.words[chunk[-1]]
         if m := SIMPLE.fullmatch(chunk):
             return self.words[m[1].lower()] + (self.words[m[2]] if m[2] else b"")
         return self._ids(chunk)
