@@ -414,6 +414,24 @@ def test_wrapper_has_optional_and_repeated_groups():
     assert html_wrapper.expression(html_wrapper.merged(a, b)) == "<ul>(<li>#PCDATA</li>)+</ul>(<h2>text</h2>)?<p>#PCDATA</p>"
 
 
+def test_constant_texts_go_by_place(spark):
+    """A constant byline takes no other paragraph along, wherever it stands, and still goes itself."""
+    page = "<html><body><div class=post><p>By staff</p><h2>Title {i}</h2><p>Body {i}</p><div><p>Share this</p></div><p>End {i}</p></div></body></html>"
+    df = spark.createDataFrame([(i, f"http://h.org/{i}", page.format(i=i)) for i in range(5)], "page_id long, url string, html string")
+    for r in html_wrapper.extract_main_text(df).collect():
+        assert r.text == f"Title {r.page_id}\nBody {r.page_id}\nEnd {r.page_id}", r
+
+
+@pytest.mark.parametrize("others", [1, 2, 9, 60])
+def test_copies_of_a_page_make_nothing_constant(spark, others):
+    copy = "<div class=post><h2>Own</h2><blockquote>Said once</blockquote><p>Own body</p></div>"
+    pages = [copy] * 3 + [copy.replace("<div", "<nav>n</nav><div")] + [f"<div class=post><h2>Title {i}</h2><p>Body {i}</p></div>" for i in range(others)]
+    df = spark.createDataFrame([(i, "http://h.org/" + str(i), p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_wrapper.extract_main_text(df).collect()}
+    assert [got[i] for i in range(4)] == ["Own\nSaid once\nOwn body"] * 4
+    assert all(got[4 + i] == f"Title {i}\nBody {i}" for i in range(others))
+
+
 def test_odd_pages(spark):
     pages = [None, "", "plain", "<", "<p", "<!-- open", "<script>never closed", "</p></div>", "<p>a" * 3000, "<div>" * 400 + "deep", "&bogus; &#x41;"]
     df = spark.createDataFrame([(i, None if i % 2 else "http://o.org/", p) for i, p in enumerate(pages)] + [(2, None, "plain")], "page_id long, url string, html string")
