@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -14,14 +16,22 @@ BLOCK = 1024
 def nearest(queries: DataFrame, rows: DataFrame, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", label: str = "label", most_queries: int = 200_000) -> DataFrame:
     """(query, id, label, distance, place): for each query its k nearest other rows by Euclidean distance, ties by id.
 
-    The query set is sent to the tasks, so its number is checked; a larger one is to be asked in parts.
+    The query set is sent to the tasks, in parts of about ``most_queries`` by the hash of their ids: each part is a pass over the rows.
     """
-    if queries.count() > most_queries:
-        raise ValueError(f"more than {most_queries} queries; ask in parts")
-    got = queries.select(F.col(id_col).cast("long"), F.col(vector).cast("array<double>")).collect()
-    ids = np.array([r[0] for r in got], np.int64)
-    asked = np.array([r[1] for r in got], float).reshape(len(ids), -1)
-    sent = rows.sparkSession.sparkContext.broadcast((ids, asked))
+    asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"))
+    parts = max(1, -(-asked.count() // most_queries))
+    flat = rows.select(F.col(id_col).cast("long"), F.col(label).cast("long"), F.col(vector).cast("array<double>"))
+    found = [_nearest_of(asked.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == i) if parts > 1 else asked, flat, k) for i in range(parts)]
+    w = Window.partitionBy("query").orderBy("distance", "id")
+    return reduce(DataFrame.unionAll, found).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
+def _nearest_of(queries: DataFrame, flat: DataFrame, k: int) -> DataFrame:
+    """(query, id, label, distance): each task's k nearest rows for each of one part of the queries."""
+    got = queries.toArrow()
+    ids = got.column(0).to_numpy()
+    asked = got.column(1).combine_chunks().flatten().to_numpy().reshape(len(ids), -1) if len(ids) else np.empty((0, 0))
+    sent = flat.sparkSession.sparkContext.broadcast((ids, asked))
 
     def run(batches):
         own, points = sent.value
@@ -47,10 +57,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 5, id_col: str = "vec_
                 keep = np.isfinite(d).ravel()
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own[b * BLOCK : (b + 1) * BLOCK], d.shape[1])[keep]), pa.array(names.ravel()[keep]), pa.array(kinds.ravel()[keep]), pa.array(np.sqrt(d).ravel()[keep])], ["query", "id", "label", "distance"])
 
-    flat = rows.select(F.col(id_col).cast("long"), F.col(label).cast("long"), F.col(vector).cast("array<double>"))
-    near = flat.mapInArrow(run, "query long, id long, label long, distance double")
-    w = Window.partitionBy("query").orderBy("distance", "id")
-    return near.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    return flat.mapInArrow(run, "query long, id long, label long, distance double")
 
 
 def vote(neighbours: DataFrame) -> DataFrame:

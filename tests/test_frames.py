@@ -17,6 +17,7 @@ from pulseloom.operators import prep
 from pulseloom.operators import relational as rel
 from pulseloom.operators import stats as st
 from pulseloom.operators import waveforms as wf
+from pulseloom.operators.neighbours import nearest
 from pulseloom.sources import readers, writers
 from pulseloom.streaming.sections import stream_fold, windowed_counts
 from tests.test_kernels import ecg
@@ -224,3 +225,12 @@ def test_empty_tables(spark):
     none = samples(spark, [])
     assert fr.section_join(none, 10.0, 10.0).isEmpty() and st.hjorth(none, "record_id").isEmpty() and fr.rolling_median(none).isEmpty()
     assert wf.find_peaks(wf.section_arrays(none.withColumn("wave_section", F.lit(0))), 10.0).isEmpty()
+
+
+def test_queries_beyond_one_part_are_answered(spark):
+    r = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, r.normal(size=4).tolist(), i % 3) for i in range(90)], "vec_id long, embedding array<double>, label int")
+    asked = df.where("vec_id % 2 = 0")
+    got = [sorted(map(tuple, nearest(asked, df, 3, most_queries=n).collect())) for n in (200_000, 10, 1)]
+    assert len(got[0]) == 45 * 3 and got[0] == got[1] == got[2]
+    assert nearest(asked.limit(0), df, 3).collect() == []
