@@ -25,14 +25,22 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _NAMES = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+#: What a brace and a quote, blank, tab or line break encode to; a token's three parts.
+_BRACE = re.compile(r"ey[JA]|ew[k0o]")
+_JWT = re.compile(r"(?:ey[JA]|ew[k0o])[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*KEY)-----([A-Za-z0-9+/=\s:,-]*?)-----END \1-----")
-_B64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+#: Letters of base64, over line breaks; what a DER sequence, an OpenSSH field of 7 to 43 bytes and the OpenSSH magic begin with.
+_B64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)*={0,2}")
+_BREAK = re.compile(r"[ \t]*\r?\n[ \t]*")
+_START64 = re.compile(r"M[A-I]|(?=AAAA[B-K])|b3BlbnNz")
 _ANYHEX = re.compile(r"[0-9A-Fa-f]{48,}")
+_START_HEX = re.compile(r"(?=30[0-8]|000000[0-2]|6[fF]70656[eE])")
 #: OpenSSH key algorithms; sizes in bytes of signatures of signed tokens (None: any that is not empty).
 _SSH = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521", b"sk-ssh-ed25519@openssh.com", b"sk-ecdsa-sha2-nistp256@openssh.com")
 _SIGNED = {"HS256": 32, "HS384": 48, "HS512": 64, "ES256": 64, "ES384": 96, "ES512": 132, "EdDSA": 64, "RS256": None, "RS384": None, "RS512": None, "PS256": None, "PS384": None, "PS512": None}
 _OPENSSH = b"openssh-key-v1\x00"
+#: Fields of the wire form of each algorithm's public key.
+_FIELDS = dict(zip(_SSH, (3, 5, 2, 3, 3, 3, 3, 4)))
 
 
 def _decode64(text: str) -> bytes | None:
@@ -115,6 +123,76 @@ def is_key(raw: bytes | None) -> bool:
     return bool(raw) and len(raw) >= 24 and (is_ssh_key(raw) or is_der_key(raw))
 
 
+def _der_size(head: bytes) -> int:
+    """The bytes of the DER sequence that begins so, 0 if no key does."""
+    at, n = 2, head[1]
+    if n & 0x80:
+        at += n & 0x7F
+        n = int.from_bytes(head[2:at], "big") if 3 <= at <= 6 else 0
+    return at + n if n and head[at] in (0x02, 0x30) else 0
+
+
+def _ssh_size(raw: bytes) -> int:
+    """The bytes of the OpenSSH key that ``raw`` begins with, 0 if it does not hold all of it."""
+    own = raw.startswith(_OPENSSH)
+    at, left, first = len(_OPENSSH) if own else 0, 3 if own else 1, True
+    while left:
+        n = int.from_bytes(raw[at : at + 4], "big")
+        if at + 4 + n > len(raw):
+            return 0
+        if first and not own:
+            left = _FIELDS.get(raw[4 : 4 + n], 0)
+            if not left:
+                return 0
+        at, left = at + 4 + n, left - 1
+        if own and first and not left:
+            left, at = int.from_bytes(raw[at : at + 4], "big") + 1, at + 4
+            first = False
+        first = first and own
+    return at
+
+
+def _keys(code: str, starts, decode, letters) -> list[tuple[int, int]]:
+    """(start, end) of the keys in a run of letters of one code. What a key says of its size tells where it ends."""
+    out, end = [], 0
+    for a in starts:
+        if a < end or not (head := decode(code[a : a + letters(12)])) or len(head) < 12:
+            continue
+        b = 0
+        if head[0] == 0x30:
+            size = _der_size(head)
+            at = a + letters(size)
+            if size >= 24 and at <= len(code) and (raw := decode(code[a:at])) and is_key(raw):
+                b = at
+        elif head[4:7] in (b"ssh", b"ecd", b"sk-") or _OPENSSH.startswith(head):
+            rest = code[a:]
+            raw = decode(rest) or decode(rest[:-1]) or b""
+            size = _ssh_size(raw)
+            if size and is_key(raw[:size]):
+                b = a + letters(size)
+            elif is_key(raw):
+                b = len(code)
+        if b:
+            out.append((a, b))
+            end = b
+    return out
+
+
+def _keys64(block: str) -> list[tuple[int, int]]:
+    """(start, end) of the keys in base64 of a block that may be wrapped over lines."""
+    joined = _BREAK.sub("", block) if "\n" in block else block
+    code = joined.rstrip("=")
+    found = _keys(code, (m.start() for m in _START64.finditer(code)), _decode64, lambda n: -(-4 * n // 3))
+    if not found:
+        return []
+    place = [i for i in range(len(block)) if block[i] not in " \t\r\n"] if joined is not block else range(len(block))
+    return [(place[a], len(block) if b == len(code) else place[b - 1] + 1) for a, b in found if b - a >= 40]
+
+
+def _decode_hex(text: str) -> bytes:
+    return bytes.fromhex(text[: len(text) & ~1])
+
+
 def is_signed_token(text: str) -> bool:
     head, body, sign = text.split(".")
     try:
@@ -134,8 +212,11 @@ def find_secrets(text: str) -> list[tuple[int, int, str]]:
         found += [(m.start(), m.end(), 0) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     found += [(m.start(), m.end(), 1) for m in _ACCESS.finditer(text)]
     found += [(m.start(), m.end(), 2) for m in _HEX.finditer(text)]
-    if "eyJ" in text:
-        found += [(m.start(), m.end(), 3) for m in _JWT.finditer(text) if is_signed_token(m[0])]
+    for m in _JWT.finditer(text):
+        for start in _BRACE.finditer(text, m.start(), text.index(".", m.start())):
+            if is_signed_token(text[start.start() : m.end()]):
+                found.append((start.start(), m.end(), 3))
+                break
     armour = []
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):
@@ -145,11 +226,10 @@ def find_secrets(text: str) -> list[tuple[int, int, str]]:
                 armour.append((m.start(), m.end(), 4))
     found += armour
     taken = lambda a, b: any(x <= a and b <= y for x, y, _ in armour)
-    # the first letters of what a key's first bytes encode to: 0x30 of a DER sequence, three zero bytes, the OpenSSH magic
-    found += [(m.start(), m.end(), 5) for m in _B64.finditer(text) if m[0][0] in "MAb" and not taken(m.start(), m.end()) and is_key(_decode64(m[0]))]
+    for m in _B64.finditer(text):
+        found += [(m.start() + a, m.start() + b, 5) for a, b in _keys64(m[0]) if not taken(m.start() + a, m.start() + b)]
     for m in _ANYHEX.finditer(text):
-        if m[0][:2] in ("30", "00", "6f", "6F") and len(m[0]) % 2 == 0 and is_key(bytes.fromhex(m[0])):
-            found.append((m.start(), m.end(), 6))
+        found += [(m.start() + a, m.start() + b, 6) for a, b in _keys(m[0], (x.start() for x in _START_HEX.finditer(m[0])), _decode_hex, lambda n: 2 * n)]
     return [(a, b, KINDS[k]) for a, b, k in sorted(found, key=lambda x: (x[0], x[2], x[1]))]
 
 

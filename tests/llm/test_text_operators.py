@@ -311,6 +311,23 @@ def test_unconfirmed_are_not_reported(fake):
     assert not [k for _, _, k in secrets.find_secrets(f"a {fake} b") if k not in ("assign", "access", "hex")]
 
 
+def wrapped(text, n=64):
+    return "\n".join(text[i : i + n] for i in range(0, len(text), n))
+
+
+@pytest.mark.parametrize("kind,code,before,after", [("key_b64", B64(RSA), "id_", ""), ("key_b64", B64(RSA), "key-MA", " x"), ("key_b64", B64(SSH), "/", ""), ("key_b64", B64(RSA).rstrip("="), "", "-x"), ("key_b64", wrapped(B64(RSA)), "key: ", "\nRegards\n"), ("key_b64", wrapped(B64(RSA), 32), "path/to/\n", "\n\nend"), ("key_b64", wrapped(B64(SSH), 32), "x ", ""), ("key_hex", RSA.hex(), "0", ""), ("key_hex", RSA.hex().upper(), "3030", "0"), ("key_hex", SSH.hex(), "a", "")])
+def test_keys_inside_longer_runs(kind, code, before, after):
+    text = f"é {before}{code}{after}"
+    assert [text[a:b] for a, b, k in secrets.find_secrets(text) if k == kind] == [code]
+
+
+def test_token_headers_with_blanks():
+    for head in ('{ "alg": "HS256"}', '{\n"alg": "HS256"}', '{"alg":"HS256"}'):
+        token = ".".join(map(URL, (head.encode(), b"{}", b"x" * 32)))
+        text = f"a keyA{token} b"
+        assert [text[a:b] for a, b, k in secrets.find_secrets(text) if k == "jwt"] == [token]
+
+
 def brute_secrets(t):
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 6]
     out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
