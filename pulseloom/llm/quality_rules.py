@@ -1,8 +1,8 @@
 """Quality rules as weak supervision, in DataFrame functions: rules vote or abstain, EM weighs them.
 
 Each rule votes +1 (good), -1 (bad) or 0 (abstains). Expectation-maximisation over the counts of vote patterns of
-all documents that the base rules leave open estimates for each rule how often it votes either way on good and on bad documents; the posterior
-probability of being good decides.
+all documents estimates for each rule how often it votes either way on good and on bad documents; the posterior
+probability of being good decides on those that the base rules leave open.
 """
 
 from __future__ import annotations
@@ -127,8 +127,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = written(rows.withColumns({f"v_{name}": _vote(good, bad) for name, good, bad in RULES}).withColumn("base_failed", failed), "votes")
     names = [f"v_{r[0]}" for r in RULES]
-    # what the base has failed is decided: the rules are weighed on all documents that it leaves open
-    patterns = {tuple(r[n] for n in names): r["n"] for r in rows.where("not base_failed").groupBy(*names).agg(F.count("*").alias("n")).collect()}
+    patterns = {tuple(r[n] for n in names): r["n"] for r in rows.groupBy(*names).agg(F.count("*").alias("n")).collect()}
     prior, ratios = fit(patterns, len(RULES))
     odds = F.lit(prior)
     for name, ratio in zip(names, ratios):

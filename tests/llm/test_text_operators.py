@@ -201,6 +201,17 @@ def test_quality_measures(spark):
     assert quality_rules.quality_rules(df.limit(0)).collect() == []
 
 
+def test_rules_are_weighed_on_all_documents(spark):
+    texts = [sentence(60 + i, i) + "." for i in range(40)] + ["| # $ " * 30] * 5 + ["BUY NOW 123 " * 2] * 30 + ["a", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    votes = quality_rules.measures(df, "doc_id", "text").select("doc_id", *[quality_rules._vote(good, bad) for _, good, bad in quality_rules.RULES]).collect()
+    prior, ratios = quality_rules.fit(Counter(tuple(v[1:]) for v in votes), len(quality_rules.RULES))
+    want = {v[0]: 1 / (1 + np.exp(-prior - sum(r[x] for r, x in zip(ratios, v[1:])))) for v in votes}
+    got = quality_rules.quality_rules(df).collect()
+    assert len(got) == len(texts) and any(r.base_failed for r in got) and not all(r.base_failed for r in got)
+    assert all(np.isclose(r.posterior, want[r.doc_id], rtol=1e-9, atol=0) for r in got)
+
+
 def test_em_recovers_accuracies():
     r = np.random.default_rng(0)
     good = r.random(20000) < 0.7
