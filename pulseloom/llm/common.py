@@ -8,11 +8,15 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII A-Z to a-z on bytes, everything else untouched.
 LOWER_BYTES = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -79,6 +83,29 @@ def byte_slices(lengths, most: int):
         yield start, len(lengths)
 
 
+def tidy(run):
+    """A function over Arrow batches whose worker gives its memory back when the task ends: workers live on, and what
+    earlier stages left in them (caches in reference cycles, freed but unreturned blocks) would add up over a session."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
+def release(spark: SparkSession) -> None:
+    """Collect the garbage of all JVMs before a large stage: their heaps grow over a session and are only given back then."""
+    spark._jvm.System.gc()
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 #: Rows of text that go to a Python worker at once.
 BATCH_ROWS = 1000
 
