@@ -6,9 +6,11 @@
    one posting for each hash and task, however many documents hold it.
 3. Candidate blocks: of those hashes the most frequent ``l - 1`` may be left out as well; nodes that share
    one of the others are in one block.  Blocks over a part's size are formed again from whole sets; what is still
-   larger is cut into parts and all pairs of parts searched.
-4. In each part (or pair of parts) a DivideSkip T-occurrence search over the full sets finds the links;
-   links between sets already connected are not looked up again.
+   larger is cut into parts.
+4. In each part a DivideSkip T-occurrence search over the full sets finds the links; links between sets already
+   connected are not looked up again.  Of a block of several parts, one set stands for all that its part linked, and
+   those are searched again among themselves.  A link that is still missing joins two of the block's groups, so one of
+   its ends is outside the largest group: those sets alone are searched against the whole block.
 5. Components of the links; every document takes its node's.
 """
 
@@ -19,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseloom.llm.common import byte_slices, shuffle_partitions, small_batches, written
+from pulseloom.llm.common import byte_slices, shuffle_partitions, small_batches, tidy, written
 from pulseloom.llm.components import components
 from pulseloom.llm.shingles import U, mix, shingle_sets, signature
-from pulseloom.llm.toccurrence import spanning_links
+from pulseloom.llm.toccurrence import roots, spanning_links
 
 #: Bytes of text shingled at once; postings a task holds before it sends them; sets in a part of a block.
-SLICE, FLUSH, PART = 4 << 20, 1_500_000, 512
+SLICE, FLUSH, PART = 2 << 20, 1_000_000, 512
 #: Documents up to which the list of wanted ids is broadcast (8 bytes each); beyond, the texts are joined to it.
 WANTED = 2_000_000
 
@@ -65,7 +67,7 @@ def document_sets(docs: DataFrame, words: int) -> DataFrame:
             signs = np.array([signature(s) for s in sets], np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(signs[:, 0]), pa.array(signs[:, 1])], ["doc_id", "n", "s1", "s2"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long")
+    return docs.mapInArrow(tidy(run), "doc_id long, n long, s1 long, s2 long")
 
 
 def _postings(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFrame:
@@ -97,10 +99,10 @@ def _postings(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFr
         keys, nodes, held, total = [], [], set(), 0
         for _, texts in _batches(batches):
             for s in shingle_sets(texts, words):
-                if len(s) and (sign := signature(s)[0]) not in held:
+                if len(s) and (sign := signature(s)) not in held:
                     held.add(sign)
                     keys.append(s[: _prefix(len(s), percent)])
-                    nodes.append(np.full(len(keys[-1]), sign, np.int64))
+                    nodes.append(np.full(len(keys[-1]), sign[0], np.int64))
                     total += len(keys[-1])
             if total > FLUSH:
                 yield flush(keys, nodes)
@@ -108,7 +110,7 @@ def _postings(docs: DataFrame, words: int, percent: int, buckets: int) -> DataFr
         if total:
             yield flush(keys, nodes)
 
-    return docs.mapInArrow(run, "bucket int, keys binary, nodes binary, own binary, counts binary")
+    return docs.mapInArrow(tidy(run), "bucket int, keys binary, nodes binary, own binary, counts binary")
 
 
 def _shared_counts(postings: DataFrame, buckets: int) -> DataFrame:
@@ -147,8 +149,8 @@ def _shared_counts(postings: DataFrame, buckets: int) -> DataFrame:
         for a in range(0, len(got), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(got[a : a + 100_000]), pa.array(sums[a : a + 100_000])], ["node", "shared"])
 
-    partial = postings.repartition(buckets, "bucket").mapInArrow(count, "bucket int, own binary, counts binary")
-    return partial.repartition(buckets, "bucket").mapInArrow(add, "node long, shared long").groupBy("node").agg(F.sum("shared").alias("shared"))
+    partial = postings.repartition(buckets, "bucket").mapInArrow(tidy(count), "bucket int, own binary, counts binary")
+    return partial.repartition(buckets, "bucket").mapInArrow(tidy(add), "node long, shared long").groupBy("node").agg(F.sum("shared").alias("shared"))
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -157,33 +159,46 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def _full_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, n, hashes) of the documents that stand for the given nodes."""
-    count = nodes.count()
-    if count <= WANTED and nodes.where("doc_id is null").isEmpty():
-        ids = np.sort(np.array([r[0] for r in nodes.select("doc_id").toLocalIterator()], np.int64))
-        sent = docs.sparkSession.sparkContext.broadcast(ids)
-
-        def wanted(batches):
-            for batch in batches:
-                x = batch.column(0).to_numpy(zero_copy_only=False)
-                x = np.where(np.isnan(x), -1, x).astype(np.int64) if x.dtype.kind == "f" else x
-                at = np.minimum(np.searchsorted(sent.value, x), max(len(sent.value) - 1, 0))
-                keep = (sent.value[at] == x) if len(sent.value) else np.zeros(len(x), bool)
-                if batch.column(0).null_count:
-                    keep &= ~batch.column(0).is_null().to_numpy(zero_copy_only=False)
-                yield batch.filter(pa.array(keep))
-
-        picked = wanted
-    else:
-        docs = docs.join(nodes.select(F.col("doc_id").alias("_want")), F.col("doc_id").eqNullSafe(F.col("_want")), "left_semi")
-        picked = iter
+    """(node, n, hashes) of the documents that stand for the given nodes (node, doc_id, s1, s2): a node is known by all 128 bits of its set."""
+    shape = "node long, n long, hashes binary"
 
-    def run(batches):
-        for _, texts in _batches(picked(batches)):
-            sets = shingle_sets(texts, words)
-            yield pa.RecordBatch.from_arrays([pa.array([signature(s)[0] for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n", "hashes"])
+    def rows(found):
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([len(x[1]) for x in found], pa.int64()), pa.array([x[1].tobytes() for x in found], pa.binary())], ["node", "n", "hashes"])
+
+    if nodes.count() <= WANTED and nodes.where("doc_id is null").isEmpty():
+        table = np.array([tuple(r) for r in nodes.select("doc_id", "s1", "s2", "node").toLocalIterator()], np.int64).reshape(-1, 4)
+        sent = docs.sparkSession.sparkContext.broadcast(table[np.argsort(table[:, 0], kind="stable")])
+
+        def few(batches):
+            wanted = sent.value
 
-    return docs.mapInArrow(run, "node long, n long, hashes binary")
+            def picked():
+                for batch in batches:
+                    keep = pa.compute.is_in(batch.column(0), value_set=pa.array(wanted[:, 0]))
+                    yield batch.filter(pa.compute.fill_null(keep, False))
+
+            for ids, texts in _batches(picked()):
+                found = []
+                for own, s in zip(ids.to_pylist(), shingle_sets(texts, words)):
+                    sign = signature(s)
+                    for at in range(*np.searchsorted(wanted[:, 0], [own, own + 1])):
+                        if sign == (int(wanted[at, 1]), int(wanted[at, 2])):
+                            found.append((int(wanted[at, 3]), s))
+                yield rows(found)
+
+        return docs.mapInArrow(tidy(few), shape)
+    met = docs.join(nodes.select(F.col("doc_id").alias("_want"), "s1", "s2", "node"), F.col("doc_id").eqNullSafe(F.col("_want")))
+
+    def many(batches):
+        for batch in batches:
+            text = batch.column(0).cast(pa.large_binary())
+            sizes = pa.compute.fill_null(pa.compute.binary_length(text), 0).to_pylist()
+            for a, b in byte_slices(sizes, SLICE):
+                part = batch.slice(a, b - a)
+                sets = shingle_sets([t or b"" for t in text.slice(a, b - a).to_pylist()], words)
+                yield rows([(node, s) for s, one, two, node in zip(sets, *(part.column(c).to_pylist() for c in ("s1", "s2", "node"))) if signature(s) == (one, two)])
+
+    return met.select("text", "s1", "s2", "node").mapInArrow(tidy(many), shape)
 
 
 def _blocks(sets: DataFrame, percent: int, whole: bool) -> DataFrame:
@@ -204,7 +219,7 @@ def _blocks(sets: DataFrame, percent: int, whole: bool) -> DataFrame:
             if nodes:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (nodes, ranks, keys)], ["node", "most", "key"])
 
-    least = sets.mapInArrow(run, "node long, most long, key long")
+    least = sets.mapInArrow(tidy(run), "node long, most long, key long")
     times = least.groupBy("key").agg(F.count("*").alias("times"), F.min("node").alias("centre")).where("times > 1")
     seen = least.join(times, "key").groupBy("node", "most").agg(F.sort_array(F.collect_list(F.struct("times", "key", "centre"))).alias("seen"))
     total = least.groupBy("node").agg(F.count("*").alias("held"))
@@ -223,25 +238,64 @@ def _candidates(sets: DataFrame, percent: int) -> DataFrame:
     return first.where(F.col("m") <= PART).unionByName(sized(again))
 
 
-def _links(sets: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
-    placed = sets.join(blocks.select("node", "component", "m"), "node")
-    parts = F.ceil(F.col("m") / PART).cast("int")
-    part = F.pmod(F.xxhash64("node"), parts).cast("int")
-    few = F.concat(F.lit("b"), F.pmod(F.xxhash64("component"), F.lit(shuffle_partitions(sets.sparkSession) * 4)).cast("string"))
-    pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda q: F.struct(F.concat_ws(":", "component", F.least(q, part), F.greatest(q, part)).alias("work"), F.when(q < part, 1).otherwise(0).alias("side"), (q == part).alias("own")))
-    one = F.array(F.struct(few.alias("work"), F.lit(0).alias("side"), F.lit(True).alias("own")))
-    sent = placed.select("node", "hashes", F.explode(F.when(parts > 1, pairs).otherwise(one)).alias("w")).select("node", "hashes", "w.work", "w.side", "w.own")
+def _searched(work: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links in each group ``work`` of rows (work, node, hashes, side, label), labels null or what is known to be connected."""
 
     def run(rows: pa.Table) -> pa.Table:
-        nodes = rows.column("node").to_pylist()
+        nodes, side, labels = (rows.column(c).to_pylist() for c in ("node", "side", "label"))
         sets = [np.frombuffer(h, U) for h in rows.column("hashes").to_pylist()]
-        own = rows.column("own").to_pylist()
-        side = [0] * len(nodes) if all(own) else rows.column("side").to_pylist()
         order = sorted(range(len(nodes)), key=lambda i: (len(sets[i]), nodes[i]))
-        got = spanning_links([sets[i] for i in order], [side[i] for i in order], percent)
+        got = spanning_links([sets[i] for i in order], [side[i] for i in order], percent, None if None in labels else [labels[i] for i in order])
         return pa.table([pa.array([nodes[order[i]] for i, _ in got], pa.int64()), pa.array([nodes[order[j]] for _, j in got], pa.int64())], ["a", "b"])
 
-    return sent.groupBy("work").applyInArrow(run, "a long, b long")
+    return work.groupBy("work").applyInArrow(run, "a long, b long")
+
+
+def _grouped(work: DataFrame, percent: int) -> DataFrame:
+    """(node, component, root) of rows (work, node, hashes, component): the sets of a part with the one that stands for all it links."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        nodes = rows.column("node").to_pylist()
+        sets = [np.frombuffer(h, U) for h in rows.column("hashes").to_pylist()]
+        order = sorted(range(len(nodes)), key=lambda i: (len(sets[i]), nodes[i]))
+        root = roots(len(nodes), spanning_links([sets[i] for i in order], [0] * len(order), percent))
+        return pa.table([pa.array([nodes[i] for i in order], pa.int64()), rows.column("component").take(pa.array(order, pa.int64())), pa.array([nodes[order[r]] for r in root], pa.int64())], ["node", "component", "root"])
+
+    return work.groupBy("work").applyInArrow(run, "node long, component long, root long")
+
+
+def _part(node: str, size, salt: int):
+    """The part of a block of ``size`` sets that a set is in."""
+    return F.pmod(F.xxhash64(node, F.lit(salt)), F.ceil(size / PART)).cast("int")
+
+
+def _links(sets: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that connect what all links connect."""
+    small, large = blocks.where(F.col("m") <= PART), blocks.where(F.col("m") > PART)
+    bucket = F.pmod(F.xxhash64("component"), F.lit(shuffle_partitions(sets.sparkSession) * 4)).cast("string")
+    found = _searched(sets.join(small.select("node", "component"), "node").select("node", "hashes", bucket.alias("work"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("label")), percent)
+    if large.isEmpty():
+        return found
+    placed = sets.join(large, "node").withColumn("work", F.concat_ws(":", "component", _part("node", F.col("m"), 1)))
+    first = written(_grouped(placed.select("work", "node", "hashes", "component"), percent), "first-groups")
+    heads = first.where("node = root")
+    sized = heads.join(heads.groupBy("component").agg(F.count("*").alias("heads")), "component")
+    again = sets.join(sized.select("node", "component", "heads"), "node").withColumn("work", F.concat_ws(":", "component", _part("node", F.col("heads"), 2)))
+    second = written(_grouped(again.select("work", "node", "hashes", "component"), percent), "second-groups")
+    labels = written(first.join(second.select(F.col("node").alias("root"), F.col("root").alias("label")), "root").select("node", "component", "root", "label"), "labels")
+    counts = labels.groupBy("component", "label").agg(F.count("*").alias("k"))
+    main = counts.groupBy("component").agg(F.max(F.struct("k", "label"))["label"].alias("main"), F.sum("k").alias("m"), (F.sum("k") - F.max("k")).alias("minors"))
+    open_ = written(main.where("minors > 0"), "open")
+    known = first.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    found = found.unionByName(known)
+    if open_.isEmpty():
+        return found
+    rest = sets.join(labels.select("node", "component", "label").join(open_, "component"), "node")
+    ask = rest.where("label <> main").withColumns({"side": F.lit(0), "own": _part("node", F.col("minors"), 3), "others": F.sequence(F.lit(0), F.ceil(F.col("m") / PART).cast("int") - 1)})
+    held = rest.withColumns({"side": F.lit(1), "own": _part("node", F.col("m"), 4), "others": F.sequence(F.lit(0), F.ceil(F.col("minors") / PART).cast("int") - 1)})
+    name = lambda asked, kept: F.concat_ws(":", "component", asked, kept)
+    pairs = ask.withColumn("o", F.explode("others")).withColumn("work", name("own", "o")).unionByName(held.withColumn("o", F.explode("others")).withColumn("work", name("o", "own")))
+    return found.unionByName(_searched(pairs.select("work", "node", "hashes", "side", "label"), percent))
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -252,7 +306,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Null, empty and word-less texts have n_shingles 0 and their own id as component_id.  Null ids count in no
     minimum: a group of none but null ids has a null component_id.  Repeated rows each give a row.  Other
-    columns are not read.  An empty table gives an empty result.  Hashes have 64 bits and sets 128.
+    columns are not read.  An empty table gives an empty result.  Hashes have 64 bits; sets are told apart by 128.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -261,16 +315,18 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = every.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     counts = _shared_counts(_postings(docs, words, percent, buckets), buckets)
     need = F.floor(F.ceil(F.col("n") * percent / 100) / 7) + 1
-    alive = written(nodes.join(counts, nodes.s1 == counts.node).where(F.col("shared") >= need).select("node", "doc_id"), "alive")
+    alive = nodes.join(counts, nodes.s1 == counts.node).where(F.col("shared") >= need).select("doc_id", "s1", "s2")
+    # a number of its own for each node; hashed (one to one), so that ids say nothing of the order of documents
+    alive = written(alive.withColumn("node", F.xxhash64(F.monotonically_increasing_id())), "alive")
     sets = written(_full_sets(docs, alive, words), "full")
     if sets.count() > alive.count():  # rows repeated with id and text
         sets = written(sets.dropDuplicates(["node"]), "full")
     linked = components(_links(sets, _candidates(sets, percent), percent))
-    named = linked.join(nodes.select(F.col("s1").alias("node"), "doc_id"), "node")
+    named = linked.join(alive, "node")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    known = written(named.join(least, "component").select(F.col("node").alias("s1"), "component_id").distinct(), "known")
+    known = written(named.join(least, "component").select("s1", "s2", "component_id"), "known")
     copies = nodes.select("s1", "s2", F.col("doc_id").alias("least"))
     # written, so that the last join has two plain shuffles, which can be split where one node stands for many copies
-    grouped = written(copies.join(known, "s1", "left").select("s1", "s2", F.coalesce("component_id", "least").alias("component_id")), "grouped")
+    grouped = written(copies.join(known, ["s1", "s2"], "left").select("s1", "s2", F.coalesce("component_id", "least").alias("component_id")), "grouped")
     out = every.join(grouped, ["s1", "s2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -74,13 +74,16 @@ def search(index: Lists, sizes: list[int], query: np.ndarray, percent: int, skip
             yield doc, count
 
 
-def spanning_links(sets: list[np.ndarray], side: list[int], percent: int) -> list[tuple[int, int]]:
+def spanning_links(sets: list[np.ndarray], side: list[int], percent: int, labels: list | None = None) -> list[tuple[int, int]]:
     """Links that connect what all links at the threshold connect (a spanning forest).
 
     side: 0 or 1 for each set. If both occur, only pairs across the sides are asked for, else all pairs.
-    A pair already connected by found links is not looked up again.
+    labels: sets of one label are known to be connected. A pair already connected is not looked up again.
     """
     up = list(range(len(sets)))
+    if labels is not None:
+        first: dict = {}
+        up = [first.setdefault(label, i) for i, label in enumerate(labels)]
 
     def root(x: int) -> int:
         while up[x] != x:
@@ -92,7 +95,6 @@ def spanning_links(sets: list[np.ndarray], side: list[int], percent: int) -> lis
     asks = [i for i in range(len(sets)) if side[i] == 0] if len(set(side)) == 2 else held
     index, sizes, found = Lists([sets[i] for i in held]), [len(sets[i]) for i in held], []
     for i in asks:
-        mine = root(i)
 
         def joined(p: int) -> bool:
             return root(held[p]) == root(i)
@@ -103,3 +105,19 @@ def spanning_links(sets: list[np.ndarray], side: list[int], percent: int) -> lis
                 up[max(mine, other)] = min(mine, other)
                 found.append((i, j))
     return found
+
+
+def roots(n: int, links: list[tuple[int, int]]) -> list[int]:
+    """For each of n sets the least position that the links connect it with."""
+    up = list(range(n))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for i, j in links:
+        a, b = root(i), root(j)
+        up[max(a, b)] = min(a, b)
+    return [root(i) for i in range(n)]

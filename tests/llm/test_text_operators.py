@@ -87,6 +87,22 @@ def test_join_in_parts(docs, monkeypatch):
     assert sorted(map(tuple, ngram_join.ngram_jaccard_join(docs).collect()), key=repr) == brute_components(corpus())
 
 
+def test_family_of_several_parts(spark, monkeypatch):
+    """Chains of edits, whose ends are not similar, in parts of six: links between parts are found through the sets that stand for
+    them, and those still missing by the search of what is outside the largest group."""
+    monkeypatch.setattr(ngram_join, "PART", 6)
+    rows, base = [], sentence(70, 1).split()
+    for chain in range(3):
+        words = [*base[: 62 - 4 * chain], *sentence(8 + 4 * chain, 50 + chain).split()]
+        for i in range(45):
+            words[(7 * i) % len(words)] = f"x{chain}-{i // (1 + chain)}"
+            rows.append((1000 * chain + i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows)
+    assert sorted(map(tuple, ngram_join.ngram_jaccard_join(df).collect()), key=repr) == want
+    assert len({r[2] for r in want}) == 3
+
+
 def test_join_of_an_empty_table(docs):
     assert ngram_join.ngram_jaccard_join(docs.limit(0)).collect() == []
 
@@ -115,6 +131,19 @@ def test_components_of_a_long_chain(spark):
     assert len({got[i] for i in range(61)}) == 1 and got[100] == got[101] != got[0] and len(got) == 63
 
 
+def test_rounds_of_components_are_bounded(spark, monkeypatch):
+    """Every round contracts at least half of the nodes: 300 in ascending order take no more than log2(300) rounds."""
+    from pulseloom.llm import components as co
+
+    tables = []
+    monkeypatch.setattr(co, "written", lambda df, label: tables.append(label) or co_written(df, label))
+    co_written = __import__("pulseloom.llm.common", fromlist=["written"]).written
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 2000 + i) for i in range(50)] + [(9000, 8000 + i) for i in range(50)], "a long, b long")
+    got = {r.node: r.component for r in co.components(edges).collect()}
+    assert len({got[i] for i in range(301)}) == 1 and len({got[2000 + i] for i in range(50)}) == 1 == len({got[8000 + i] for i in range(50)}) and len(set(got.values())) == 3
+    assert tables.count("low") <= 8
+
+
 # ---------------------------------------------------------------- line dedup
 
 
