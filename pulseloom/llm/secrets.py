@@ -11,12 +11,13 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseloom.llm.common import byte_slices, small_batches
+from pulseloom.llm.common import byte_slices, small_batches, tidy
 
 SLICE = 8 << 20
 #: Kinds in the order in which spans of one start are listed.
@@ -25,10 +26,13 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _NAMES = re.compile(r"passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-#: What a brace and a quote, blank, tab or line break encode to; a token's three parts.
+#: What a brace and a quote, blank, tab or line break encode to; runs of three parts or more with dots between them.
 _BRACE = re.compile(r"ey[JA]|ew[k0o]")
-_JWT = re.compile(r"(?:ey[JA]|ew[k0o])[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*KEY)-----([A-Za-z0-9+/=\s:,-]*?)-----END \1-----")
+_DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]*+){2,}+")
+#: Marks of PEM armour, what may stand between them, and the header of an encrypted key with its initialisation vector.
+_MARK = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*KEY)-----")
+_INSIDE = re.compile(r"[A-Za-z0-9+/=\s:,-]*+")
+_DEK = re.compile(r"DEK-Info:[ \t]*(?:DES-CBC|DES-EDE3-CBC|AES-(?:128|192|256)-CBC),([0-9A-Fa-f]{16}|[0-9A-Fa-f]{32})\s")
 #: Letters of base64, over line breaks; what a DER sequence, an OpenSSH field of 7 to 43 bytes and the OpenSSH magic begin with.
 _B64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)*={0,2}")
 _BREAK = re.compile(r"[ \t]*\r?\n[ \t]*")
@@ -39,6 +43,8 @@ _START_HEX = re.compile(r"(?=30[0-8]|000000[0-2]|6[fF]70656[eE])")
 _SSH = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521", b"sk-ssh-ed25519@openssh.com", b"sk-ecdsa-sha2-nistp256@openssh.com")
 _SIGNED = {"HS256": 32, "HS384": 48, "HS512": 64, "ES256": 64, "ES384": 96, "ES512": 132, "EdDSA": 64, "RS256": None, "RS384": None, "RS512": None, "PS256": None, "PS384": None, "PS512": None}
 _OPENSSH = b"openssh-key-v1\x00"
+#: Tags of the values that a DER key consists of (fixed values); the most that one has (RSA: 9, and other primes or attributes).
+_INNER, MOST_PARTS = frozenset((0x02, 0x03, 0x04, 0x30, 0x31, 0xA0, 0xA1)), 64
 #: Fields of the wire form of each algorithm's public key.
 _FIELDS = dict(zip(_SSH, (3, 5, 2, 3, 3, 3, 3, 4)))
 
@@ -123,86 +129,163 @@ def is_key(raw: bytes | None) -> bool:
     return bool(raw) and len(raw) >= 24 and (is_ssh_key(raw) or is_der_key(raw))
 
 
-def _der_size(head: bytes) -> int:
-    """The bytes of the DER sequence that begins so, 0 if no key does."""
-    at, n = 2, head[1]
-    if n & 0x80:
-        at += n & 0x7F
-        n = int.from_bytes(head[2:at], "big") if 3 <= at <= 6 else 0
-    return at + n if n and head[at] in (0x02, 0x30) else 0
+def _der_size(peek) -> int:
+    """The bytes of the DER key that begins so, 0 if none does: the lengths of its parts, which are read alone, must add up to its own."""
 
-
-def _ssh_size(raw: bytes) -> int:
-    """The bytes of the OpenSSH key that ``raw`` begins with, 0 if it does not hold all of it."""
-    own = raw.startswith(_OPENSSH)
-    at, left, first = len(_OPENSSH) if own else 0, 3 if own else 1, True
-    while left:
-        n = int.from_bytes(raw[at : at + 4], "big")
-        if at + 4 + n > len(raw):
+    def head(at: int) -> tuple[int, int, int]:
+        """(tag, where the content begins, where it ends) of the value at a byte."""
+        raw = peek(at, 6)
+        if len(raw) < 2:
+            return 0, 0, 0
+        n, begin = raw[1], at + 2
+        if n & 0x80:
+            begin += n & 0x7F
+            n = int.from_bytes(raw[2 : begin - at], "big") if 3 <= begin - at <= 6 else 0
+        return raw[0], begin, begin + n
+
+    tag, at, size = head(0)
+    parts = 0
+    while 0 < at < size:
+        tag, _, end = head(at)
+        parts += 1
+        if tag not in _INNER or parts > MOST_PARTS or not at < end <= size:
             return 0
-        if first and not own:
-            left = _FIELDS.get(raw[4 : 4 + n], 0)
-            if not left:
+        at = end
+    return size if parts > 1 else 0
+
+
+def _ssh_size(peek, limit: int) -> int:
+    """The bytes of the OpenSSH key that begins so, 0 if there is none; of a private key that is cut short, all of the ``limit`` there are."""
+
+    def after(at: int) -> int:
+        raw = peek(at, 4)
+        return at + 4 + int.from_bytes(raw, "big") if len(raw) == 4 else limit + 1
+
+    if peek(0, len(_OPENSSH)) == _OPENSSH:
+        at = len(_OPENSSH)
+        for _ in range(3):
+            at = after(at)
+            if at > limit:
                 return 0
-        at, left = at + 4 + n, left - 1
-        if own and first and not left:
-            left, at = int.from_bytes(raw[at : at + 4], "big") + 1, at + 4
-            first = False
-        first = first and own
-    return at
+        keys, at = int.from_bytes(peek(at, 4), "big"), at + 4
+        for _ in range(keys + 1 if keys <= MOST_PARTS else 0):
+            at = after(at)
+            if at > limit:
+                return limit
+        return at if keys else 0
+    at = after(0)
+    fields = _FIELDS.get(peek(4, at - 4), 0) if 4 < at <= 64 else 0
+    for _ in range(fields - 1):
+        at = after(at)
+        if at > limit:
+            return 0
+    return at if fields else 0
 
 
-def _keys(code: str, starts, decode, letters) -> list[tuple[int, int]]:
-    """(start, end) of the keys in a run of letters of one code. What a key says of its size tells where it ends."""
+def _keys(code: str, starts, reader) -> list[tuple[int, int]]:
+    """(start, end) of the keys in a run of letters of one code. What a key says of its size tells where it ends, and only keys whose
+    lengths add up are decoded as a whole."""
     out, end = [], 0
     for a in starts:
-        if a < end or not (head := decode(code[a : a + letters(12)])) or len(head) < 12:
+        if a < end:
             continue
-        b = 0
-        if head[0] == 0x30:
-            size = _der_size(head)
-            at = a + letters(size)
-            if size >= 24 and at <= len(code) and (raw := decode(code[a:at])) and is_key(raw):
-                b = at
-        elif head[4:7] in (b"ssh", b"ecd", b"sk-") or _OPENSSH.startswith(head):
-            rest = code[a:]
-            raw = decode(rest) or decode(rest[:-1]) or b""
-            size = _ssh_size(raw)
-            if size and is_key(raw[:size]):
-                b = a + letters(size)
-            elif is_key(raw):
-                b = len(code)
-        if b:
-            out.append((a, b))
-            end = b
+        peek, limit, letters = reader(code, a)
+        head = peek(0, 12)
+        size = _der_size(peek) if head[:1] == b"\x30" else _ssh_size(peek, limit) if head[4:7] in (b"ssh", b"ecd", b"sk-") or _OPENSSH.startswith(head) else 0
+        if 24 <= size <= limit and is_key(peek(0, size)):
+            end = min(len(code), a + letters(size))
+            out.append((a, end))
     return out
 
 
+def _reader64(code: str, a: int):
+    """(bytes of a part, how many there are, letters of so many) of base64 from letter a on."""
+
+    def peek(at: int, n: int) -> bytes:
+        first = a + 4 * (at // 3)
+        return (_decode64(code[first : a + 4 * -(-(at + n) // 3)]) or b"")[at % 3 : at % 3 + n]
+
+    return peek, (len(code) - a) * 3 // 4, lambda n: -(-4 * n // 3)
+
+
+def _reader_hex(code: str, a: int):
+    def peek(at: int, n: int) -> bytes:
+        part = code[a + 2 * at : a + 2 * (at + n)]
+        return bytes.fromhex(part[: len(part) & ~1])
+
+    return peek, (len(code) - a) // 2, lambda n: 2 * n
+
+
 def _keys64(block: str) -> list[tuple[int, int]]:
     """(start, end) of the keys in base64 of a block that may be wrapped over lines."""
     joined = _BREAK.sub("", block) if "\n" in block else block
     code = joined.rstrip("=")
-    found = _keys(code, (m.start() for m in _START64.finditer(code)), _decode64, lambda n: -(-4 * n // 3))
+    found = _keys(code, (m.start() for m in _START64.finditer(code)), _reader64)
     if not found:
         return []
     place = [i for i in range(len(block)) if block[i] not in " \t\r\n"] if joined is not block else range(len(block))
     return [(place[a], len(block) if b == len(code) else place[b - 1] + 1) for a, b in found if b - a >= 40]
 
 
-def _decode_hex(text: str) -> bytes:
-    return bytes.fromhex(text[: len(text) & ~1])
+_JSON = json.JSONDecoder()
 
 
-def is_signed_token(text: str) -> bool:
-    head, body, sign = text.split(".")
+def _object(raw: bytes | None) -> dict | None:
     try:
-        header, payload = json.loads(_decode64(head) or b""), json.loads(_decode64(body) or b"")
+        found = json.loads(raw or b"")
     except (ValueError, RecursionError):
-        return False
-    signature = _decode64(sign)
-    if not isinstance(header, dict) or not isinstance(payload, dict) or header.get("alg") not in _SIGNED or not signature:
-        return False
-    return (size := _SIGNED[header["alg"]]) is None and len(signature) >= 64 or len(signature) == size
+        return None
+    return found if isinstance(found, dict) else None
+
+
+def _header(head: str) -> tuple[int, str] | None:
+    """(letter at which it begins, algorithm) of a signed token's header that ends a run: the first place from which the rest is one object."""
+    decoded: dict[int, tuple[int, str]] = {}
+    for m in _BRACE.finditer(head):
+        phase = (len(head) - m.start()) % 4
+        if phase == 1:
+            continue
+        if phase not in decoded:  # starts of one phase share a decoding
+            raw = _decode64(head[m.start() :])
+            decoded[phase] = (m.start(), (raw or b"").decode("latin-1"))
+        first, text = decoded[phase]
+        at = (m.start() - first) // 4 * 3
+        try:
+            _, end = _JSON.raw_decode(text, at)
+        except (ValueError, RecursionError):
+            continue
+        if end == len(text.rstrip()) and (found := _object(text[at:].encode("latin-1"))) and found.get("alg") in _SIGNED:
+            return m.start(), found["alg"]
+    return None
+
+
+def signed_tokens(text: str) -> list[tuple[int, int]]:
+    """(start, end) of signed tokens: a header that names an algorithm, a payload and a signature of the algorithm's size."""
+    out = []
+    for m in _DOTTED.finditer(text):
+        parts, at, skip = m[0].split("."), m.start(), 0
+        for i, (head, body, sign) in enumerate(zip(parts, parts[1:], parts[2:])):
+            if i >= skip and body and sign and _BRACE.search(head) and (found := _header(head)) and _object(_decode64(body)) is not None:
+                size, signature = _SIGNED[found[1]], _decode64(sign) or b""
+                if size is None and len(signature) >= 64 or len(signature) == size:
+                    out.append((at + found[0], at + len(head) + len(body) + len(sign) + 2))
+                    skip = i + 3
+            at += len(head) + 1
+    return out
+
+
+def armoured_keys(text: str) -> list[tuple[int, int]]:
+    """(start, end) of PEM blocks that hold a key. An END mark closes the BEGIN mark right before it if both name the same kind."""
+    out, opened = [], None
+    for m in _MARK.finditer(text) if "-----BEGIN " in text else ():
+        if m[1] == "END" and opened and opened[2] == m[2]:
+            body = text[opened[1] : m.start()]
+            raw = _decode64("".join("".join(x for x in body.split("\n") if ":" not in x).split()))
+            iv = _DEK.search(body) if "ENCRYPTED" in body else None
+            if raw and _INSIDE.fullmatch(body) and (is_key(raw) or iv and len(raw) % (len(iv[1]) // 2) == 0):
+                out.append((opened[0], m.end()))
+        opened = (m.start(), m.end(), m[2]) if m[1] == "BEGIN" else None
+    return out
 
 
 def find_secrets(text: str) -> list[tuple[int, int, str]]:
@@ -212,24 +295,14 @@ def find_secrets(text: str) -> list[tuple[int, int, str]]:
         found += [(m.start(), m.end(), 0) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     found += [(m.start(), m.end(), 1) for m in _ACCESS.finditer(text)]
     found += [(m.start(), m.end(), 2) for m in _HEX.finditer(text)]
-    for m in _JWT.finditer(text):
-        for start in _BRACE.finditer(text, m.start(), text.index(".", m.start())):
-            if is_signed_token(text[start.start() : m.end()]):
-                found.append((start.start(), m.end(), 3))
-                break
-    armour = []
-    if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            inside = "".join(x for x in m[2].split("\n") if ":" not in x)
-            raw = _decode64("".join(inside.split()))
-            if raw and (is_key(raw) or "ENCRYPTED" in m[2] and len(raw) % 8 == 0):
-                armour.append((m.start(), m.end(), 4))
+    found += [(a, b, 3) for a, b in signed_tokens(text)]
+    armour = [(a, b, 4) for a, b in armoured_keys(text)]
     found += armour
-    taken = lambda a, b: any(x <= a and b <= y for x, y, _ in armour)
+    taken = lambda a, b: (i := bisect_right(armour, (a, len(text) + 1))) > 0 and b <= armour[i - 1][1]
     for m in _B64.finditer(text):
         found += [(m.start() + a, m.start() + b, 5) for a, b in _keys64(m[0]) if not taken(m.start() + a, m.start() + b)]
     for m in _ANYHEX.finditer(text):
-        found += [(m.start() + a, m.start() + b, 6) for a, b in _keys(m[0], (x.start() for x in _START_HEX.finditer(m[0])), _decode_hex, lambda n: 2 * n)]
+        found += [(m.start() + a, m.start() + b, 6) for a, b in _keys(m[0], (x.start() for x in _START_HEX.finditer(m[0])), _reader_hex)]
     return [(a, b, KINDS[k]) for a, b, k in sorted(found, key=lambda x: (x[0], x[2], x[1]))]
 
 
@@ -249,7 +322,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 spans = [[{"start": x, "end": y, "kind": k} for x, y, k in find_secrets(t or "")] for t in texts.slice(a, b - a).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(spans, kind)], ["doc_id", "spans"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, spans array<struct<start:long,end:long,kind:string>>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, spans array<struct<start:long,end:long,kind:string>>")
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -280,4 +353,4 @@ def redact_secrets(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 columns[at] = pa.array([cut(t) for t in texts.slice(a, b - a).to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return docs.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(run, docs.withColumn(text_col, F.col(text_col).cast("string")).schema)
+    return docs.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(tidy(run), docs.withColumn(text_col, F.col(text_col).cast("string")).schema)
