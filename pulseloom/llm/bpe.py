@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pulseloom.llm.common import byte_slices, small_batches
+from pulseloom.llm.common import byte_slices, small_batches, tidy
 
-#: Entries that a worker's caches hold before they start anew; bytes of text taken at once.
-CACHED, SLICE = 300_000, 8 << 20
+#: Bytes about that each cache of a worker holds before it starts anew; bytes of text taken at once.
+CACHED, SLICE = 24 << 20, 4 << 20
+#: Bytes of an entry besides its text and value.
+ENTRY = 220
 #: Characters on which every version of Unicode agrees, each a normal form whatever follows it among them.
 LATIN = regex.compile("[\x21-\x7e\xa1-\xac\xae-\xff]*")
 #: A word and what follows it, where the rules of the file split between the two only.
@@ -79,16 +81,18 @@ class Remembered(dict):
 
     def __init__(self, make):
         super().__init__()
-        self.make, self.before = make, {}
+        self.make, self.before, self.left = make, {}, CACHED
 
     def __missing__(self, key):
         if (value := self.before.get(key)) is None:
             value = self.make(key)
-        if len(self) >= CACHED:
-            self.before = dict(self)
-            self.clear()
         if len(key) < 64:
+            if self.left <= 0:
+                self.before = dict(self)
+                self.clear()
+                self.left = CACHED
             self[key] = value
+            self.left -= ENTRY + len(key) + (len(value) if isinstance(value, bytes) else 0)
         return value
 
 
@@ -183,7 +187,7 @@ def bpe_encode(docs: DataFrame, spec: str, id_col: str = "doc_id", text_col: str
             for a, b in byte_slices(sizes, SLICE):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _list_array([coder.encode(t or "") for t in text.slice(a, b - a).to_pylist()])], ["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, ids array<int>")
 
 
 def bpe_decode(encoded: DataFrame, spec: str) -> DataFrame:
@@ -204,4 +208,4 @@ def bpe_decode(encoded: DataFrame, spec: str) -> DataFrame:
                 texts = [" ".join(strings[x:y]) for x, y in zip(ends, ends[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), part, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, ids array<int>, text string")

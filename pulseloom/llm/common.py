@@ -1,7 +1,7 @@
 """Shared plumbing of the training-data operators.
 
 Working tables live in the folder that the session names in ``spark.checkpoint.dir`` (shared by the
-driver and every executor); a private temporary folder is set only where the session names none.
+driver and every executor); a private temporary folder is set only where the session names none and all runs in one process.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ def work_dir(spark: SparkSession) -> str:
         found = sc._jsc.sc().getCheckpointDir()
         if found.isDefined():
             named = found.get()
+        elif not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         else:
             named = tempfile.mkdtemp(prefix="pulseloom-")
             atexit.register(shutil.rmtree, named, ignore_errors=True)
@@ -48,6 +50,20 @@ def work_dir(spark: SparkSession) -> str:
 
 
 _folders: set[str] = set()
+_tables: list[str] = []
+
+
+def table_mark() -> int:
+    """A mark for ``drop_tables``: how many working tables there have been."""
+    return len(_tables)
+
+
+def drop_tables(spark: SparkSession, mark: int, keep: DataFrame | None = None) -> None:
+    """Delete the working tables written since ``mark`` but those that ``keep`` reads. What else was made of them can't be read any more."""
+    held = keep.inputFiles() if keep is not None else []
+    for path in _tables[mark:]:
+        if not any(path.rsplit("/", 1)[1] in file for file in held):
+            _forget(spark, path)
 
 
 def _forget(spark: SparkSession, folder: str) -> None:
@@ -67,10 +83,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
         _folders.add(folder)
         atexit.register(_forget, df.sparkSession, folder)
     path = f"{folder}/{label}-{uuid.uuid4().hex}"
+    _tables.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spare(name: str, columns: list[str]) -> str:
+    """The name, lengthened until no column has it (in either case, as Spark compares them)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def byte_slices(lengths, most: int):
     """Cut consecutive rows into (start, end) runs of at most ``most`` bytes, one row at least."""
     start = total = 0

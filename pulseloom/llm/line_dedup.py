@@ -1,7 +1,8 @@
 """Line dedup: documents probe a sharded minimal perfect hash over line hashes instead of joining their lines.
 
 Tasks count the documents of each distinct line hash of theirs; the sums that reach the threshold are the keys
-of the index (any other line is dropped from no document, and its probe fails at the fingerprint). Each
+of the index. This departs from an index over all distinct lines: any other line is dropped from no document, and its
+probe fails at the fingerprint, so that the results are the same and the index is a small part of the size. Each
 shard is a minimal perfect hash with an array of fingerprints and one of counts. An index within a checked
 size is broadcast; a larger one stays where it is and packed probes go to its shards.
 """
@@ -15,11 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulseloom.llm.common import LOWER_BYTES, SPACE, byte_slices, small_batches, written
+from pulseloom.llm.common import LOWER_BYTES, SPACE, byte_slices, small_batches, spare, tidy, written
 from pulseloom.llm.perfect_hash import PerfectHash, U
 
 #: Keys of a shard about; distinct lines a task counts at once; bytes of index to broadcast; bytes of text taken at once.
-SHARD, COUNTED, BROADCAST, SLICE = 50_000, 500_000, 64 << 20, 8 << 20
+SHARD, COUNTED, BROADCAST, SLICE = 50_000, 200_000, 64 << 20, 4 << 20
+#: Packed probe rows (one a slice of text and shard) that meet a copy of their shard in one group.
+TOGETHER = 16
 _SPACE = SPACE.encode()
 
 
@@ -58,7 +61,7 @@ def _count(docs: DataFrame, least: int) -> DataFrame:
         if counts:
             yield rows(counts)
 
-    return docs.mapInArrow(run, "h long, mark long, documents long")
+    return docs.mapInArrow(tidy(run), "h long, mark long, documents long")
 
 
 def line_index(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text_col: str = "text") -> DataFrame:
@@ -175,9 +178,10 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text_col
             for batch, texts in slices(batches):
                 yield replaced(batch, batch.columns, *_kept(texts, drop_of))
 
-        return docs.mapInArrow(probe, schema)
+        return docs.mapInArrow(tidy(probe), schema)
 
-    kept = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    row_col, hit_col = spare("_row", docs.columns), spare("_hits", docs.columns)
+    kept = written(docs.withColumn(row_col, F.monotonically_increasing_id()), "rows")
     shards = index.first()["shards"]
 
     def ask(batches):
@@ -192,19 +196,25 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text_col
             found = [(s, order[cuts[s] : cuts[s + 1]]) for s in range(shards) if cuts[s] < cuts[s + 1]]
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int32()), *(pa.array([x[o].tobytes() for _, o in found], pa.binary()) for x in (h, mark, row.astype(np.int64), number.astype(np.int64)))], ["shard", "h", "m", "row", "line"])
 
-    def answer(batches):
-        for batch in batches:
-            got = []
-            for r in batch.to_pylist():
-                table = Probe([(r["shard"], shards, r["levels"], r["bits"], r["marks"], r["counts"])])
+    def answer(asks: pa.Table, tables: pa.Table) -> pa.Table:
+        got = []
+        for part in tables.slice(0, 1).to_pylist():
+            table = Probe([(part["shard"], shards, part["levels"], part["bits"], part["marks"], part["counts"])])
+            for r in asks.to_pylist():
                 h, mark = np.frombuffer(r["h"], U), np.frombuffer(r["m"], U)
                 hit = table(np.full(len(h), r["shard"]), h, mark) >= min_docs
                 got.append((np.frombuffer(r["row"], np.int64)[hit], np.frombuffer(r["line"], np.int64)[hit]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([g[i] for g in got] or [np.zeros(0, np.int64)])) for i in (0, 1)], ["_row", "line"])
-
-    asked = kept.mapInArrow(ask, "shard int, h binary, m binary, row binary, line binary").join(index, "shard")
-    hits = asked.mapInArrow(answer, "_row long, line long").groupBy("_row").agg(F.collect_list("line").alias("_hits"))
-    joined = kept.join(hits, "_row", "left").select(*docs.columns, "_row", "_hits")
+        return pa.table([pa.array(np.concatenate([g[i] for g in got] or [np.zeros(0, np.int64)])) for i in (0, 1)], [row_col, "line"])
+
+    # probes of a slice of text and a shard are one row; a few such rows meet one copy of the shard, so that a line that
+    # very many documents hold is looked up in as many groups as there are slices, and a shard is unpacked once a group
+    asked = written(kept.mapInArrow(tidy(ask), "shard int, h binary, m binary, row binary, line binary"), "probes")
+    copies = max(1, -(-asked.count() // (shards * TOGETHER)))
+    left = asked.withColumn("copy", F.pmod(F.xxhash64("row"), F.lit(copies)))
+    right = index.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))))
+    met = left.groupBy("shard", "copy").cogroup(right.groupBy("shard", "copy")).applyInArrow(answer, f"`{row_col}` long, line long")
+    hits = met.groupBy(row_col).agg(F.collect_list("line").alias(hit_col))
+    joined = kept.join(hits, row_col, "left").select(*docs.columns, row_col, hit_col)
 
     def cut(batches):
         for batch, texts in slices(batches):
@@ -212,7 +222,7 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, text_col
             drop = [n in own for own, t in zip(hits, texts) for n in range(t.count(b"\n") + 1)]
             yield replaced(batch, batch.columns, *_kept(texts, lambda keys: drop))
 
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(tidy(cut), schema)
 
 
 def _empty(shards: int):

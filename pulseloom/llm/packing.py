@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pulseloom.llm.bpe import SIMPLE, Remembered, blank_split, byte_letters
-from pulseloom.llm.common import byte_slices, small_batches, written
+from pulseloom.llm.common import byte_slices, small_batches, tidy, written
 
-#: Queues of their own; the sources beyond (those with the fewest tokens) share one more.
+#: Queues of their own, besides those of named shares; the sources beyond (those with the fewest tokens) share one more.
 QUEUES = 1024
-SLICE, SCALE = 8 << 20, 1 << 20
+SLICE, SCALE = 4 << 20, 1 << 20
 NO_SOURCE = "\x00none"
 _LETTERS = dict(enumerate(byte_letters()))
 
@@ -77,7 +77,7 @@ def _tokens(docs: DataFrame, spec: str, last_id: int) -> DataFrame:
                     so_far[queue] = before[-1] + len(x) // 4
                 yield pa.RecordBatch.from_arrays([pa.array([task] * (b - a), pa.int64()), batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(before, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["task", "doc_id", "queue", "before", "tokens", "ids"])
 
-    return docs.mapInArrow(run, "task long, doc_id long, queue string, before long, tokens long, ids binary")
+    return docs.mapInArrow(tidy(run), "task long, doc_id long, queue string, before long, tokens long, ids binary")
 
 
 class Schedule:
@@ -130,13 +130,15 @@ def pack(docs: DataFrame, spec: str, window: int = 2048, quantum: int = 128, las
     source (others: their share of the tokens); while all queues last, each window holds them to within a quantum.
 
     Null texts count as empty (one piece of one id), null sources are a queue of their own, repeated rows and
-    null ids each are packed, other columns are not read, an empty table gives an empty result. Sources
-    beyond the 1,024 with most tokens share a queue.
+    null ids each are packed, other columns are not read, an empty table gives an empty result. Sources named in
+    ``shares`` and the 1,024 with most tokens have queues of their own; the others share one more, in which they follow one
+    another. No token is lost there, but only the share of all of them together is held.
     """
     tokens = written(_tokens(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE)).alias("queue")), spec, last_id), "tokens")
     parts = written(tokens.groupBy("task", "queue").agg(F.sum("tokens").alias("tokens")), "queue-parts")
     sums = parts.groupBy("queue").agg(F.sum("tokens").alias("tokens"))
-    largest = sums.orderBy(F.desc("tokens"), "queue").limit(QUEUES).collect()
+    named = [q for q in shares or {}]
+    largest = sums.orderBy(F.col("queue").isin(named).desc(), F.desc("tokens"), "queue").limit(max(QUEUES, len(named))).collect()
     numbers = {r.queue: i for i, r in enumerate(sorted(largest, key=lambda r: r.queue))}
     totals = [r.tokens for r in sorted(largest, key=lambda r: r.queue)]
     totals.append((parts.agg(F.sum("tokens")).first()[0] or 0) - sum(totals))
@@ -145,8 +147,8 @@ def pack(docs: DataFrame, spec: str, window: int = 2048, quantum: int = 128, las
         whole = max(1, sum(totals))
         wanted = [shares.get(q, t / whole) for q, t in zip(numbers, totals)] + [totals[-1] / whole]
     plan = Schedule(totals, quantum, wanted)
-    named = docs.sparkSession.createDataFrame(list(numbers.items()), "queue string, number int") if numbers else docs.sparkSession.createDataFrame([], "queue string, number int")
-    numbered = parts.join(F.broadcast(named), "queue", "left").withColumn("number", F.coalesce("number", F.lit(QUEUES if len(numbers) == QUEUES else len(numbers))))
+    numbers_of = docs.sparkSession.createDataFrame(list(numbers.items()), "queue string, number int") if numbers else docs.sparkSession.createDataFrame([], "queue string, number int")
+    numbered = parts.join(F.broadcast(numbers_of), "queue", "left").withColumn("number", F.coalesce("number", F.lit(len(numbers))))
     earlier = Window.partitionBy("number").orderBy("task", "queue").rowsBetween(Window.unboundedPreceding, -1)
     base = written(numbered.select("task", "queue", "number", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("base")), "queue-bases")
 
@@ -162,4 +164,4 @@ def pack(docs: DataFrame, spec: str, window: int = 2048, quantum: int = 128, las
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a).take(of), pa.array(begin), pa.array(length), pa.array(cut, pa.binary()), pa.array(sizes[a:b][row]), names.slice(a, b - a).take(of), pa.array(at // window), pa.array(at % window)], ["doc_id", "start", "length", "ids", "doc_tokens", "queue", "sequence_id", "offset"])
 
     placed = tokens.join(base, ["task", "queue"]).select("doc_id", "queue", "number", "tokens", (F.col("before") + F.col("base")).alias("start"), "ids")
-    return placed.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, queue string, sequence_id long, offset long")
+    return placed.mapInArrow(tidy(run), "doc_id long, start long, length long, ids binary, doc_tokens long, queue string, sequence_id long, offset long")

@@ -22,20 +22,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulseloom.llm.bpe import Remembered
-from pulseloom.llm.common import byte_slices, small_batches, written
+from pulseloom.llm.common import byte_slices, small_batches, tidy, written
 from pulseloom.llm.transducer import Transducer
 
 #: Labelled rows learned from at most, those of the least hash of their id.
 SAMPLE = 60_000
-#: A learned entry: toxic documents with it at least, share of toxic ones at least, letters of a beginning, entries at most.
-SUPPORT, PRECISION, LETTERS, ENTRIES = 5, 0.8, range(3, 10), 5000
-SLICE = 8 << 20
-#: The seed words of each class.
-INSULTS = "idiot idiots moron morons stupid dumb fool fools loser losers clown clowns scum trash worthless pathetic disgusting imbecile cretin filth vermin parasite degenerate bastard bitch asshole jerk retard subhuman".split()
-THREATS = "kill hurt destroy burn beat shoot stab murder hang crush slaughter strangle".split()
-TARGETS = "you your yours yourself he him his she her they them their these those this that people everyone who i me we us".split()
-NEGATIONS = "not never no none neither nor without hardly".split()
-REPORTS = "said says say called calls told tells wrote writes quoted quotes claimed claims reported reports alleged according".split()
+#: A learned entry: toxic documents with it at least, share of toxic ones at least, letters of a beginning. Entries of the lexicon at
+#: most, and of those looked at to find them: the most frequent ones in toxic training documents.
+SUPPORT, PRECISION, LETTERS, ENTRIES, LOOKED_AT = 5, 0.8, range(3, 10), 5000, 100_000
+SLICE = 4 << 20
+#: The seed words of each class; targets, negations and verbs of reporting in English, German, French and Spanish.
+INSULTS = (
+    "idiot idiots moron morons stupid dumb fool fools loser losers clown clowns scum trash worthless pathetic disgusting imbecile cretin filth vermin parasite degenerate bastard bitch asshole jerk retard subhuman".split()
+    + "dummkopf trottel schwachkopf abschaum arschloch versager erbärmlich widerlich ungeziefer".split()
+    + "imbécile crétin connard salaud ordure minable abruti débile vermine".split()
+    + "idiota imbécil estúpido estúpida basura escoria cabrón gilipollas patético asqueroso".split()
+)
+THREATS = "kill hurt destroy burn beat shoot stab murder hang crush slaughter strangle".split() + "töten umbringen verprügeln erschießen vernichten".split() + "tuer frapper brûler égorger massacrer".split() + "matar matarte golpear quemar degollar".split()
+TARGETS = (
+    "you your yours yourself he him his she her they them their these those this that people everyone who i me we us".split()
+    + "du dich dir dein deine deinen deiner ihr euch euer eure sie ihn ihm ihnen er wir uns ich mich mir leute alle jeder".split()
+    + "tu te toi ton ta tes vous votre vos il elle ils elles lui leur leurs nous je moi gens tous".split()
+    + "tú ti tus usted ustedes vosotros él ella ellos ellas les nosotros yo mí gente todos".split()
+)
+NEGATIONS = "not never no none neither nor without hardly".split() + "nicht nie niemals kein keine keinen keiner weder ohne kaum".split() + "ne pas jamais aucun aucune ni sans guère".split() + "nunca jamás ningún ninguna tampoco sin apenas".split()
+REPORTS = (
+    "said says say called calls told tells wrote writes quoted quotes claimed claims reported reports alleged according".split()
+    + "sagt sagte sagten nannte nennt schrieb schreibt behauptete behauptet berichtete berichtet zitierte laut".split()
+    + "dit disait appelé appelle écrit raconte racontait prétend prétendait rapporte rapportait selon cite citait".split()
+    + "dijo dice decía llamó llama escribió escribe afirmó afirma contó cuenta informó según citó cita".split()
+)
 NEAR, BEFORE = 4, 3
 _WORD, _CLAUSE = regex.compile(r"[^\W\d_]+"), regex.compile(r"[.!?;:\n]+")
 CLASSES = ("insult", "threat", "target", "negation", "report", "other")
@@ -115,7 +131,7 @@ def held_out(doc_id: str) -> bool:
     return zlib.crc32(doc_id.encode()) % 5 == 0
 
 
-def _learned(train: DataFrame) -> dict[str, float]:
+def _learned(train: DataFrame, entries: int, looked_at: int) -> dict[str, float]:
     """Weights of insult entries from rows (text, toxic), by log-ratio of document frequencies."""
 
     def beginnings(text: str | None, known=None) -> set[str]:
@@ -139,11 +155,11 @@ def _learned(train: DataFrame) -> dict[str, float]:
             if counts:
                 yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["entry", "n"])
 
-        return train.where(F.col("toxic") == label).select("text").mapInArrow(run, "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+        return train.where(F.col("toxic") == label).select("text").mapInArrow(tidy(run), "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
 
     sizes = {r.toxic: r["count"] for r in train.groupBy("toxic").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
-    common = counted(None, 1).where(F.col("n") >= SUPPORT).orderBy(F.desc("n"), "entry").limit(20 * ENTRIES).collect() if toxic else []
+    common = counted(None, 1).where(F.col("n") >= SUPPORT).orderBy(F.desc("n"), "entry").limit(looked_at).collect() if toxic else []
     hits = {r.entry: r.n for r in common}
     known = frozenset(hits)
     misses = {r.entry: r.n for r in counted(known, 0).collect()} if hits and clean else {}
@@ -152,7 +168,7 @@ def _learned(train: DataFrame) -> dict[str, float]:
     longer = {e[:k] for e in hits for k in range(3, len(e)) if hits[e] >= 0.9 * hits.get(e[:k], math.inf)}
     good = sorted((e for e, p in hits.items() if e not in longer and p / (p + misses.get(e, 0)) >= PRECISION), key=lambda e: (-hits[e] + misses.get(e, 0), len(e), e))
     out = {w + "$": 2.0 for w in INSULTS}
-    out |= {e: max(0.0, min(8.0, ratio(hits[e], misses.get(e, 0)))) for e in good[:ENTRIES]}
+    out |= {e: max(0.0, min(8.0, ratio(hits[e], misses.get(e, 0)))) for e in good[:entries]}
     for w in INSULTS:  # a seed word that training documents contradict counts for less
         if (p := hits.get(w + "$", 0)) and (n := misses.get(w + "$", 0)):
             out[w + "$"] = max(0.0, ratio(p + 1, n))
@@ -173,9 +189,12 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], list[float]]:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, entries: int = ENTRIES, looked_at: int = LOOKED_AT) -> tuple[dict[str, float], list[float]]:
     """(lexicon, coefficients) from at most ``sample`` labelled rows whose crc32(doc_id as text) mod 5 is not 0.
 
+    The lexicon holds at most ``entries`` learned entries, those of the greatest surplus of toxic documents among the ``looked_at``
+    most frequent ones in toxic documents. All three bounds are of the classifier's training only; every row is scored.
+
     docs: (doc_id, text); labels: (doc_id, toxic). Rows with a null id or label, or without a document, teach nothing; of
     documents with the same text one is taken. Without labels the seed words and START decide.
     """
@@ -185,7 +204,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dic
     text = F.coalesce("text", F.lit(""))
     joined = docs.join(F.broadcast(chosen), "doc_id").select(text.alias("text"), "toxic", F.xxhash64(text, F.lit(1)).alias("h"), F.xxhash64(text, F.lit(2)).alias("g"))
     first = written(joined.groupBy("h", "g").agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).select("text", "toxic"), "train")
-    lexicon = _learned(first)
+    lexicon = _learned(first, entries, looked_at)
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches):
@@ -195,7 +214,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[dic
             yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.list_(pa.float64())), batch.column(1).cast(pa.int32())], ["x", "toxic"])
 
     # rows with equal features are one: their number is what is collected, at most ``sample`` rows
-    table = first.mapInArrow(run, "x array<double>, toxic int").groupBy("x", "toxic").count().collect()
+    table = first.mapInArrow(tidy(run), "x array<double>, toxic int").groupBy("x", "toxic").count().collect()
     if not table:
         return lexicon, START.tolist()
     x = np.repeat(np.array([r.x for r in table]), [r["count"] for r in table], axis=0)
@@ -222,4 +241,4 @@ def toxicity(docs: DataFrame, lexicon: dict[str, float], coefficients: list[floa
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(1 / (1 + np.exp(-np.clip(x @ weights, -30, 30))))], [*batch.schema.names, score])
 
     shape = docs.withColumn(text_col, F.col(text_col).cast("string"))
-    return shape.mapInArrow(run, shape.withColumn(score, F.lit(0.0)).schema)
+    return shape.mapInArrow(tidy(run), shape.withColumn(score, F.lit(0.0)).schema)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rules up to which their table is broadcast; more are joined by shuffle.
 BROADCAST_RULES = 100_000
+#: Distinct lengths of rules' paths up to which each is an expression of the plan; beyond, all prefixes up to the longest are tried.
+FEW_LENGTHS = 64
 _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -39,14 +41,20 @@ def url_filter(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     expression = F.concat(F.col("rule_host"), F.lit("\n"), F.col("rule_path"))
     keyed = clean.groupBy("rule_host", "rule_path").agg(F.min(F.struct((F.col("verdict") != "block").alias("k"), F.col("verdict").alias("verdict")))["verdict"].alias("rule_verdict"))
     keyed = keyed.withColumn("full", F.sha2(expression, 256)).withColumn("short", F.substring("full", 1, 8)).withColumn("rank", F.struct(F.length("rule_host") + F.length("rule_path"), F.length("rule_host")))
-    lengths = clean.select(F.length("rule_path").alias("n")).distinct().orderBy("n").limit(BROADCAST_RULES).collect()
+    bound = clean.agg(F.max(F.size(F.split("rule_host", r"\.", -1))).alias("labels"), F.max(F.length("rule_path")).alias("path"), F.count_distinct(F.length("rule_path")).alias("lengths")).first()
     few = keyed.count() <= BROADCAST_RULES
     host, path = url_parts(F.col("url"))
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url")).select("page_id", host.alias("host"), path.alias("path"))
+    # no rule has more labels or a longer path than the longest, so no longer suffix or prefix can meet one
     labels = F.split("host", r"\.", -1)
-    suffixes = F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
-    prefixes = F.array(*[F.when(F.length("path") >= r.n, F.substring("path", 1, r.n)) for r in lengths]) if lengths else F.array().cast("array<string>")
-    both = F.flatten(F.transform(suffixes, lambda h: F.transform(F.filter(prefixes, lambda p: p.isNotNull()), lambda p: F.concat(h, F.lit("\n"), p))))
+    most = F.least(F.size(labels), F.lit(bound["labels"] or 0))
+    suffixes = F.when((F.col("host") == "") | (most < 1), F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), lambda i: F.array_join(F.slice(labels, -i, i), ".")))
+    if bound["lengths"] <= FEW_LENGTHS:
+        lengths = [r.n for r in clean.select(F.length("rule_path").alias("n")).distinct().orderBy("n").limit(FEW_LENGTHS).collect()]
+        prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]), lambda p: p.isNotNull()) if lengths else F.array().cast("array<string>")
+    else:
+        prefixes = F.transform(F.sequence(F.lit(0), F.least(F.length("path"), F.lit(bound["path"]))), lambda n: F.substring(F.col("path"), F.lit(1), n))
+    both = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(h, F.lit("\n"), p))))
     distinct = base.groupBy("host", "path").agg(F.count("*").alias("_n")).select("host", "path", F.explode(both).alias("expression"))
     asked = distinct.withColumn("digest", F.sha2("expression", 256)).withColumn("short", F.substring("digest", 1, 8))
     met = asked.join(F.broadcast(keyed) if few else keyed, "short").where(F.col("digest") == F.col("full"))

@@ -169,6 +169,16 @@ def test_lines(spark, most):
     assert sorted(map(tuple, got.collect()), key=repr) == brute_lines(LINES)
 
 
+def test_lines_with_clashing_columns_and_many_groups(spark, monkeypatch):
+    """On the path of a large index: columns named as the operator's own, one probe row a group, a line that every document holds."""
+    monkeypatch.setattr(line_dedup, "TOGETHER", 1)
+    rows = LINES + [(1000 + i, f"everywhere\nown {i}\nEVERYWHERE ") for i in range(50)]
+    df = spark.createDataFrame([(*r, 7, "h") for r in rows], "doc_id long, text string, _row int, _hits string").repartition(5)
+    got = line_dedup.line_dedup(df, broadcast_bytes=0)
+    assert got.columns == ["doc_id", "text", "_row", "_hits", "n_lines", "n_dropped"] and {(r._row, r._hits) for r in got.collect()} == {(7, "h")}
+    assert sorted(map(tuple, got.select("doc_id", "text", "n_lines", "n_dropped").collect()), key=repr) == brute_lines(rows)
+
+
 @pytest.mark.parametrize("most", [1 << 20, 0])
 def test_no_lines(spark, most):
     df = spark.createDataFrame([], "doc_id long, text string")
@@ -320,6 +330,17 @@ def test_windows_hold_the_mixture():
             assert abs(length[mine & (row == q)].sum() - share * 2048) <= 256
 
 
+def test_named_shares_have_queues_of_their_own(spark, library, monkeypatch):
+    """With fewer queues than sources, a small source with a share is still scheduled by it, and no token is lost."""
+    monkeypatch.setattr(packing, "QUEUES", 2)
+    rows = [(i, sentence(90, i), f"s{i % 7}" if i % 10 else "rare") for i in range(140)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = packing.pack(df, SPEC, window=256, quantum=32, shares={"rare": 0.5}).collect()
+    first = [r for r in got if r.sequence_id < 3]
+    assert sum(r.length for r in first if r.queue == "rare") >= 0.4 * sum(r.length for r in first)
+    assert sum(r.length for r in got) == sum({r.doc_id: r.doc_tokens for r in got}.values())
+
+
 def test_packing_nothing(docs):
     assert packing.pack(docs.limit(0), SPEC).collect() == []
 
@@ -428,6 +449,19 @@ def test_clauses(text, want):
     assert sorts(text) == want
 
 
+@pytest.mark.parametrize("text,want", [("du bist ein trottel", {"insult-target"}), ("er ist kein trottel", {"insult-negated"}), ("sie sagte du bist ein trottel", {"insult-reported"}), ("tu es un crétin", {"insult-target"}), ("il a dit tu es un crétin", {"insult-reported"}), ("eres un idiota tú", {"insult-target"}), ("nunca un idiota", {"insult-negated"}), ("te voy a matar", {"threat-target"})])
+def test_clauses_of_other_languages(text, want):
+    assert sorts(text) == want
+
+
+def test_learned_entries_are_bounded(spark):
+    rows = [(i, " ".join(f"{chr(97 + i % 5) * 3}{chr(97 + k)}xyz" for k in range(20)) if i % 2 else "plain words here") for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    seeds = len(set(toxicity.INSULTS))
+    assert len(toxicity.learn(df, labels, entries=3)[0]) <= seeds + 3 < len(toxicity.learn(df, labels)[0])
+
+
 def test_learning_and_scores(spark):
     r = np.random.default_rng(0)
     toxic = [int(i % 6 == 0) for i in range(600)]
@@ -474,6 +508,15 @@ def test_urls(spark):
     assert url_filter.url_filter(pages.limit(0), none).collect() == []
 
 
+def test_urls_of_many_lengths_and_labels(spark):
+    """Rules of more path lengths than have expressions of their own, and hosts of thousands of labels, of which no more are tried than a rule has."""
+    rules = [("block" if i % 2 else "allow", "a.example.org", "/" + "p" * i) for i in range(120)] + [("block", "b.c.d.e.f", "/")]
+    urls = [f"http://{'x.' * 5000}a.example.org/{'p' * i}q" for i in (0, 1, 50, 118, 119, 200)] + ["http://b.c.d.e.f/", "http://c.d.e.f/", "http://a.example.org.", "http://.b.c.d.e.f/x"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for r in url_filter.url_filter(pages, spark.createDataFrame(rules, "verdict string, host string, path string")).collect():
+        assert (r.host, r.path, r.rule, r.verdict) == brute_verdict(urls[r.page_id], rules), r.page_id
+
+
 PAGE = '<html><head><title>t</title><script>var a="</p>";</script></head><body><nav><ul><li><a>Menu</a></li><li><a>B</a></li></ul></nav><div class="cookie-notice">We use cookies</div><{tag}><h1>Title {i}</h1><p>First <b>bold</b> {i} &amp; more<p>Second&nbsp;one<br>line {i}{extra}</{tag}><aside>Side</aside><form>Search <input></form><div id="comments"><p>nice {i}</p></div><footer>&copy; all</footer></body></html>'
 
 
