@@ -1,6 +1,8 @@
 """Corpus pipeline over documents: stages in order, each a function (spark, docs, sf_dir) -> DataFrame.
 
-All stages but the last return the columns of documents; n_chars follows the text.
+All stages but the last return the columns of documents; n_chars follows the text. For every stage: an empty table gives
+an empty result, repeated rows are worked on each for itself (near copies excepted, see there), and further columns come
+through as they are, whatever their names. The toxicity stage learns from the labelled rows of the corpus that it then scores.
 """
 
 from __future__ import annotations
@@ -8,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseloom.llm.common import table, written
+from pulseloom.llm.common import drop_tables, release, spare, table, table_mark, written
 from pulseloom.llm.line_dedup import line_dedup
 from pulseloom.llm.ngram_join import ngram_jaccard_join
 from pulseloom.llm.packing import pack
@@ -27,15 +29,28 @@ def _recounted(before: DataFrame, after: DataFrame) -> DataFrame:
     return after.select(*before.columns)
 
 
+def _aside(docs: DataFrame, names: tuple[str, ...], run) -> DataFrame:
+    """run(docs), with columns of ``docs`` that are named as those an operator adds out of its way."""
+    clashing = [c for c in docs.columns if c.lower() in names]
+    away = {}
+    for c in clashing:
+        away[c] = spare(f"_kept_{c}", [*docs.columns, *away.values()])
+    out = run(docs.withColumnsRenamed(away)).drop(*names)
+    return out.withColumnsRenamed({v: k for k, v in away.items()}).select(*docs.columns)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.5. Null and empty texts stay."""
+    release(spark)
     model = learn(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    return toxicity(docs, *model, score="_score").where("_score < 0.5").select(*docs.columns)
+    score = spare("_score", docs.columns)
+    return toxicity(docs, *model, score=score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the lines that ten documents or more share; null texts become empty."""
-    return _recounted(docs, line_dedup(docs))
+    release(spark)
+    return _aside(docs, ("n_lines", "n_dropped"), lambda rows: _recounted(rows, line_dedup(rows)))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,6 +59,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows with a null id stay. An id that several rows have goes if all of them are others' copies; of rows that
     repeat both id and text one stays.
     """
+    release(spark)
     rows = written(ngram_jaccard_join(docs), "groups")
     ids = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.expr("bool_and(n_shingles > 0 and doc_id <> component_id)").alias("copy"))
     copies = written(ids.where("copy").select("doc_id"), "copies")
@@ -56,12 +72,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, its secrets replaced by the name of their kind in angle brackets."""
+    """Every document, its secrets replaced by the name of their kind in angle brackets. Null texts stay null."""
+    release(spark)
     return _recounted(docs, redact_secrets(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens, mixed by source; ids as unsigned little-endian 32-bit numbers."""
+    """Pieces of sequences of 2048 tokens, mixed by source; ids as unsigned little-endian 32-bit numbers. Null texts are one piece of
+    one id, null sources a queue of their own; other columns than doc_id, text and source are not read."""
+    release(spark)
     return pack(docs, tokenizer_spec())
 
 
@@ -73,5 +92,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
+        mark = table_mark()
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        drop_tables(spark, mark, keep=docs)  # the stage's working tables; its result is written
     return docs
