@@ -455,7 +455,8 @@ def test_clauses_of_other_languages(text, want):
 
 
 def test_learned_entries_are_bounded(spark):
-    rows = [(i, " ".join(f"{chr(97 + i % 5) * 3}{chr(97 + k)}xyz" for k in range(20)) if i % 2 else "plain words here") for i in range(80)]
+    rows = [(i, " ".join(f"{chr(97 + i % 5) * 3}{chr(97 + k)}xyz" for k in range(20)) if i % 2 else f"plain words {i}") for i in range(400)]
+    rows = [(i, f"{t} {i}") for i, t in rows]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
     seeds = len(set(toxicity.INSULTS))
