@@ -50,7 +50,7 @@ def pqrst(x, med, r_peaks, fs: float, prominence: float, carried: dict | None =
     x, med = np.asarray(x, float), np.asarray(med, float)
     beats = [dict.fromkeys(ECG_FIELDS + INTERVALS) | {"r_peak": int(r), "prev": None} for r in r_peaks]
     if beats and carried:
-        beats[0] |= {k: carried[k] for k in ("p_peak", "q_peak")}
+        beats[0] |= {k: carried.get(k) for k in ("p_peak", "q_peak")}
     for beat, after in zip(beats, beats[1:]):
         r0, r1 = beat["r_peak"], after["r_peak"]
         turns = turning_points(x[r0 : r1 + 1])

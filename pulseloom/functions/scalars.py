@@ -11,9 +11,14 @@ def clean(x: Column) -> Column:
     return F.nanvl(x, F.lit(None).cast("double"))
 
 
+def half_even(x: Column, places: int) -> Column:
+    """A double with so many decimals as text; what lies exactly between two goes to the even one."""
+    return F.format_string(f"%.{places}f", F.bround(x.cast("decimal(38,18)"), places).cast("double"))
+
+
 def time_label(seconds: Column) -> Column:
     """Seconds below a minute, minutes below an hour, else hours, with one decimal."""
-    part = lambda x, unit: F.concat(F.format_string("%.1f", x), F.lit(unit))
+    part = lambda x, unit: F.concat(half_even(x, 1), F.lit(unit))
     return F.when(seconds < 60, part(seconds, " s")).when(seconds < 3600, part(seconds / 60, " m")).otherwise(part(seconds / 3600, " h"))
 
 
@@ -28,9 +33,9 @@ def size_label(n: Column) -> Column:
     n = n.cast("double")
     out = None
     for power, unit in enumerate(("B", "KB", "MB", "GB")):
-        limit, text = 1024.0 ** (power + 1), F.format_string(f"%.2f {unit}", n / 1024.0**power)
+        limit, text = 1024.0 ** (power + 1), F.concat(half_even(n / 1024.0**power, 2), F.lit(f" {unit}"))
         out = F.when(n < limit, text) if out is None else out.when(n < limit, text)
-    return out.otherwise(F.format_string("%.2f PB", n / 1024.0**4))
+    return out.otherwise(F.concat(half_even(n / 1024.0**4, 2), F.lit(" PB")))
 
 
 def clean_name(name: Column) -> Column:

@@ -64,21 +64,52 @@ def section_join(samples: DataFrame, fs: float, seconds: float, overlap: float =
     return bounded.where({"left": (p >= a) & (p < b), "none": (p > a) & (p < b), "both": (p >= a) & (p <= b)}[closed])
 
 
-def rolling_median(samples: DataFrame, size: int = 41) -> DataFrame:
+def numbered(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """Adds ``idx`` (0 on) in ``order`` within each key, and the key's number of rows ``n``.
+
+    Rows are range-partitioned by key and order, numbered inside each block and moved by the blocks before, so that no task holds a
+    key. ``order`` must tell the rows of a key apart. Only one row for each block and key meets in the sums over blocks.
+    """
+    blocks = rows.repartitionByRange(key, *order).withColumn("_b", F.spark_partition_id())
+    own = blocks.withColumn("_k", F.row_number().over(Window.partitionBy("_b", key).orderBy(*order)))
+    w = Window.partitionBy(key)
+    counts = blocks.groupBy(key, "_b").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(F.col(key).alias("_key"), F.col("_b").alias("_block"), before.alias("_o"), F.sum("_n").over(w).alias("n"))
+    met = own.join(offsets, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_b") == F.col("_block")))
+    return met.withColumn("idx", (F.col("_k") + F.col("_o") - 1).cast("long")).drop("_b", "_k", "_o", "_key", "_block")
+
+
+#: Samples of a recording that are worked on together where a method needs neighbours.
+BLOCK = 65_536
+
+
+def with_length(samples: DataFrame) -> DataFrame:
+    """Adds ``n``, the recording's length, unless it is there; the sums are by recording, so no task holds one."""
+    if "n" in samples.columns:
+        return samples
+    return samples.join(samples.groupBy("record_id").agg((F.max("idx") + 1).alias("n")), "record_id")
+
+
+def rolling_median(samples: DataFrame, size: int = 41, block: int = BLOCK) -> DataFrame:
     """Adds ``rolling_med``: the median of a centred frame; the first half takes the first frame, and the last rows
-    take the frame that ends before the last sample (one sample shorter)."""
-    half = size // 2
-    w = ordered()
-    n = F.count("*").over(Window.partitionBy("record_id"))
-    mid = F.percentile("v", F.lit(0.5)).over(w.rowsBetween(-half, half))
-    late = F.percentile("v", F.lit(0.5)).over(w.rowsBetween(-half, half - 1))
-    marked = samples.withColumns({"_n": n, "_mid": mid, "_late": late})
-    whole = Window.partitionBy("record_id")
+    take the frame that ends before the last sample (one sample shorter).
+
+    Recordings are worked on in blocks of ``block`` samples (more than ``size``) with a frame's length of the neighbours before and half
+    of one after, so that no task holds a recording.
+    """
+    half, keep_n = size // 2, "n" in samples.columns
+    at, i = F.floor(F.col("idx") / block).cast("long"), F.col("idx") % block
+    copies = F.filter(F.array(at, F.when(i >= block - size, at + 1), F.when((i < half) & (at > 0), at - 1)), lambda x: x.isNotNull())
+    spread = with_length(samples).withColumns({"_own": at, "_at": F.explode(copies)})
+    w = Window.partitionBy("record_id", "_at").orderBy("idx")
+    whole = Window.partitionBy("record_id", "_at")
+    marked = spread.withColumns({"_mid": F.percentile("v", F.lit(0.5)).over(w.rowsBetween(-half, half)), "_late": F.percentile("v", F.lit(0.5)).over(w.rowsBetween(-half, half - 1))})
     head = F.max(F.when(F.col("idx") == half, F.col("_mid"))).over(whole)
     # rows [n - size, n - 1) are centred, one short, on row n - size + half
-    tail = F.max(F.when(F.col("idx") == F.col("_n") - size + half, F.col("_late"))).over(whole)
-    out = F.when(F.col("idx") < half, head).when(F.col("idx") + half + 1 >= F.col("_n"), tail).otherwise(F.col("_mid"))
-    return marked.withColumn("rolling_med", out).drop("_n", "_mid", "_late")
+    tail = F.max(F.when(F.col("idx") == F.col("n") - size + half, F.col("_late"))).over(whole)
+    out = F.when(F.col("idx") < half, head).when(F.col("idx") + half + 1 >= F.col("n"), tail).otherwise(F.col("_mid"))
+    return marked.withColumn("rolling_med", out).where("_at = _own").drop("_own", "_at", "_mid", "_late", *([] if keep_n else ["n"]))
 
 
 def gradient(v: Column, w) -> Column:
@@ -147,8 +178,8 @@ def asof_section(points: DataFrame, sections: DataFrame, by: str = "idx") -> Dat
 
 def downsample(samples: DataFrame, most: int = 5000) -> DataFrame:
     """Every k-th sample, k the recording's length over ``most``, 1 at least."""
-    k = F.greatest(F.lit(1), F.floor(F.count("*").over(Window.partitionBy("record_id")) / most))
-    return samples.withColumn("_k", k).where("idx % _k = 0").drop("_k")
+    k = F.greatest(F.lit(1), F.floor(F.col("n") / most))
+    return with_length(samples).where(F.col("idx") % k == 0).select(*samples.columns)
 
 
 def drop_known(fresh: DataFrame, stored: DataFrame, last: int = 20) -> DataFrame:

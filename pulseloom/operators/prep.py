@@ -110,12 +110,8 @@ def vif(rows: DataFrame, columns: list[str]) -> list[tuple[str, float]]:
 
 
 def group_fold(subject: Column, folds: int) -> Column:
-    """A fold for each subject, from its hash: all its rows are in one fold."""
-    return F.pmod(F.crc32(subject.cast("string").cast("binary")), F.lit(folds)).cast("int")
-
-
-def row_fold(key: Column, folds: int) -> Column:
-    return group_fold(key, folds)
+    """A fold for each subject, from the first 32 bits of its MD5: all its rows are in one fold."""
+    return F.pmod(F.conv(F.substring(F.md5(subject.cast("string").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(folds)).cast("int")
 
 
 def class_weights(rows: DataFrame, label: str) -> DataFrame:

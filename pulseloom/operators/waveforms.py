@@ -6,13 +6,13 @@ order (the quality fold) gets one compact row a section.
 
 from __future__ import annotations
 
-import json
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from pulseloom.functions import beats as be
 from pulseloom.functions import kernels as kn
@@ -28,29 +28,51 @@ def section_arrays(samples: DataFrame, column: str = "v") -> DataFrame:
     return samples.groupBy(*fr.KEYS).agg(rows.alias("_r")).select(*fr.KEYS, F.col("_r")[0]["idx"].alias("start"), F.transform("_r", lambda x: x[column].cast("double")).alias("wave"))
 
 
+#: Rows of whole sections that go to a Python worker at once.
+BATCH_ROWS = 200
+
+
+def small_batches(spark) -> None:
+    """Sections are large rows: bound the Arrow batches, of which a worker holds one at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def per_section(sections: DataFrame, kernel, schema: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """kernel(wave, start, *extra) -> list of rows (tuples) for each section; rows get the section's keys in front."""
-    names = [f.split()[0] for f in schema.split(", ")]
+    full = f"{KEYS}, {schema}"
+    shape = to_arrow_schema(_parse_datatype_string(full))
 
     def run(batches):
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                keys = (r["record_id"], r["wave_section"])
-                out += [keys + tuple(x) for x in kernel(np.array(r["wave"], float), r["start"], *(r[e] for e in extra))]
-            yield pd.DataFrame(out, columns=["record_id", "wave_section", *names])
+            waves, starts = batch.column(3), batch.column(2).to_pylist()
+            others = [batch.column(4 + i).to_pylist() for i in range(len(extra))]
+            out, times = [], []
+            for i, start in enumerate(starts):
+                got = kernel(waves[i].values.to_numpy(zero_copy_only=False).astype(float), start, *(o[i] for o in others))
+                out += got
+                times.append(len(got))
+            at = pa.array(np.repeat(np.arange(len(starts)), times))
+            columns = list(zip(*out)) if out else [()] * (len(shape) - 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(c, t.type, from_pandas=True) for c, t in zip(columns, list(shape)[2:]))], schema=shape)
 
-    def arrow(batches):
-        for frame in run(batches):
-            yield pa.RecordBatch.from_pandas(frame, schema=shape, preserve_index=False)
+    small_batches(sections.sparkSession)
+    return sections.select("record_id", "wave_section", "start", "wave", *extra).mapInArrow(run, full)
 
-    wanted = sections.select("record_id", "wave_section", "start", "wave", *extra)
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
 
-    full = f"{KEYS}, {schema}"
-    shape = to_arrow_schema(_parse_datatype_string(full))
-    return wanted.mapInArrow(arrow, full)
+def per_sample(sections: DataFrame, kernel, name: str = "y") -> DataFrame:
+    """(keys, idx, ``name``): kernel(wave) -> an array as long as the wave. Arrays come back whole and are taken apart in the JVM."""
+
+    def run(batches):
+        for batch in batches:
+            values = [kernel(w.values.to_numpy(zero_copy_only=False).astype(float)) for w in batch.column(3)]
+            ends = np.cumsum([0, *map(len, values)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0), *values])))], ["record_id", "wave_section", "start", name])
+
+    small_batches(sections.sparkSession)
+    whole = sections.select("record_id", "wave_section", "start", "wave").mapInArrow(run, f"{KEYS}, start long, {name} array<double>")
+    return whole.select(*fr.KEYS, "start", F.posexplode(name).alias("_i", name)).select(*fr.KEYS, (F.col("start") + F.col("_i")).alias("idx"), name)
 
 
 def find_peaks(sections: DataFrame, fs: float, kind: str = "r") -> DataFrame:
@@ -73,16 +95,12 @@ def find_peaks(sections: DataFrame, fs: float, kind: str = "r") -> DataFrame:
 def smoothed(sections: DataFrame, fs: float, how: str, **options) -> DataFrame:
     """(keys, idx, y): savgol, d1, d2, low, high, band or notch of each section."""
 
-    def kernel(x, start):
+    def kernel(x):
         if how == "savgol":
-            y = kn.smooth(x, **options)
-        elif how in ("d1", "d2"):
-            y = kn.derivative(x, fs, int(how[1]))
-        else:
-            y = kn.filtered(x, fs, how, options.get("cut"))
-        return [(start + i, float(v)) for i, v in enumerate(y)]
+            return kn.smooth(x, **options)
+        return kn.derivative(x, fs, int(how[1])) if how in ("d1", "d2") else kn.filtered(x, fs, how, options.get("cut"))
 
-    return per_section(sections, kernel, "idx long, y double")
+    return per_sample(sections, kernel)
 
 
 def spectra(sections: DataFrame, fs: float) -> DataFrame:
@@ -111,7 +129,7 @@ def beat_gates(sections: DataFrame, peaks: DataFrame, fs: float) -> DataFrame:
 
     def kernel(x, start, at):
         at = [p - start for p in at]
-        ok, _, reasons, bad = qu.beat_gate(qu.start(), x, at, fs)
+        ok, _, reasons, bad = qu.beat_gate(qu.start(), qu.beats_of(x, at, fs), 0, len(at))
         count = lambda r: sum(v == r for v in reasons)
         return [(int(ok), float(bad), count("MP"), count("HJH"), count("STFT"), sum(qu.noisy_beats(x, at, fs)[0]))]
 
@@ -189,51 +207,84 @@ def shift_of_spectra(sections: DataFrame, fs: float, limit: float = 0.001) -> Da
 # ---------------------------------------------------------------- ECG engine
 
 
+QUALITY = f"{KEYS}, start long, wave array<double>, med array<double>, kurtosis double, hjorth double, ratio double, entropy double, f array<double>, band array<double>, peaks array<int>, prominence double, faults array<int>, of array<int>, far array<array<double>>, profile_med array<double>, profile_mad array<double>"
+_MEASURES = ("kurtosis", "hjorth", "ratio", "entropy", "f", "band", "peaks", "prominence")
+
+
 def quality_rows(sections: DataFrame, medians: DataFrame, fs: float) -> DataFrame:
-    """(keys, start, payload): what each section brings to the fold, side by side. medians: sections of the rolling median."""
+    """What each section brings to the fold, worked out side by side: measures, peaks, its beats' profile distances and faults, and its
+    samples. medians: sections of the rolling median. The profile is only taken of sections that no measure of their own rejects."""
     both = sections.join(medians.select(*fr.KEYS, F.col("wave").alias("med")), list(fr.KEYS))
 
     def kernel(x, start, med):
-        return [(start, json.dumps({"start": start, "wave": x.tolist(), "med": med, "features": qu.features(x, med, fs)}))]
+        own = qu.features(x, med, fs)
+        early = sum(p < len(x) // 2 for p in own["peaks"])
+        beats = qu.beats_of(x, own["peaks"], fs, early + 1) if not qu.first_gate(own, True) and len(own["peaks"]) <= 100 else None
+        return [(start, x, med, *(own[k] for k in _MEASURES), *((beats[k] for k in ("faults", "of", "far", "med", "mad")) if beats else (None,) * 5))]
 
-    return per_section(both, kernel, "start long, payload string", ("med",))
+    return per_section(both, kernel, QUALITY[len(KEYS) + 2 :], ("med",))
 
 
-FOLDED = f"{KEYS}, start long, valid int, reason string, r_idx array<long>, mask array<int>, fresh array<long>, prominence double, kurtosis double, hjorth double, spectral double, spec_entropy double, wdist double, bad_b_rat double"
+FOLDED = f"{KEYS}, start long, valid int, stale boolean, reason string, r_idx array<long>, mask array<int>, fresh array<long>, prominence double, kurtosis double, hjorth double, spectral double, spec_entropy double, wdist double, bad_b_rat double"
 
 
-def folded_row(record: str, section: int, start: int, payload: dict, out: dict) -> tuple:
-    own = payload["features"]
-    return (record, section, start, out["valid"], " | ".join(out["reasons"]), [start + p for p in out["peaks"]], out["mask"], out["new"], own["prominence"], own["kurtosis"], own["hjorth"], own["ratio"], own["entropy"], out["wdist"], out["bad_ratio"])
+def folded_step(state: dict, row: dict, fs: float) -> tuple[dict, tuple]:
+    """One row of quality_rows through the gates: the new state and the row of FOLDED."""
+    plain = lambda v: v.tolist() if isinstance(v, np.ndarray) and v.dtype != object else list(map(plain, v)) if isinstance(v, np.ndarray) else v
+    own = {k: plain(row[k]) for k in _MEASURES}
+    beats = None if row["far"] is None else {k: plain(row[c]) for k, c in (("faults", "faults"), ("of", "of"), ("far", "far"), ("med", "profile_med"), ("mad", "profile_mad"))}
+    state, out = qu.step(state, {"start": row["start"], "wave": row["wave"], "med": row["med"], "features": own, "beats": beats}, fs)
+    return state, (row["record_id"], row["wave_section"], row["start"], out["valid"], out["stale"], " | ".join(out["reasons"]), [row["start"] + p for p in out["peaks"]], out["mask"], out["new"], own["prominence"], own["kurtosis"], own["hjorth"], own["ratio"], own["entropy"], out["wdist"], out["bad_ratio"])
 
 
 def history_fold(rows: DataFrame, fs: float) -> DataFrame:
-    """The gates of all sections in order, recording by recording: valid, reason, peaks with mask and those not stored before."""
-    names = [f.split()[0] for f in FOLDED.split(", ")]
+    """The gates of all sections in order, recording by recording: valid, reason, peaks with mask and those not stored before.
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        state, out = qu.start(), []
-        for r in frame.sort_values("wave_section").itertuples():
-            payload = json.loads(r.payload)
-            state, got = qu.step(state, payload, fs)
-            out.append(folded_row(r.record_id, r.wave_section, r.start, payload, got))
-        return pd.DataFrame(out, columns=names)
+    Sections come sorted and in small batches; a task holds one batch and the state of the recording that it is in.
+    """
+    shape = to_arrow_schema(_parse_datatype_string(FOLDED))
 
-    return rows.groupBy("record_id").applyInPandas(run, FOLDED)
+    def run(batches):
+        record, state = None, qu.start()
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if row["record_id"] != record or record is None:
+                    record, state = row["record_id"], qu.start()
+                state, got = folded_step(state, row, fs)
+                out.append(got)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), shape)] if out else [pa.array([], t.type) for t in shape], schema=shape)
+
+    small_batches(rows.sparkSession)
+    return rows.repartition("record_id").sortWithinPartitions("record_id", "wave_section").mapInArrow(run, FOLDED)
 
 
 BEAT = ", ".join(f"{k} long" for k in be.ECG_FIELDS) + ", " + ", ".join(f"{k} int" for k in be.INTERVALS) + ", valid_qrs boolean, isoelectric double"
 
 
 def extract_beats(sections: DataFrame, medians: DataFrame, folded: DataFrame, fs: float) -> DataFrame:
-    """Beats of the valid sections with fiducials (sample numbers of the recording) and intervals in ms; nulls where not found."""
+    """Beats of the valid sections with fiducials (sample numbers of the recording) and intervals in ms; nulls where not found.
+
+    A section's last peak has its P and Q there and opens the next section, where its S and T are: P and Q are handed on to it.
+    """
     both = sections.join(medians.select(*fr.KEYS, F.col("wave").alias("med")), list(fr.KEYS)).join(folded.where("valid = 1").select(*fr.KEYS, "r_idx", "prominence"), list(fr.KEYS))
 
-    def kernel(x, start, med, peaks, prominence):
-        found, level = be.pqrst(x, med, [p - start for p in peaks], fs, prominence)
+    def last(x, start, med, peaks, prominence):
+        if len(peaks) < 2:
+            return []
+        beat = be.pqrst(x, med, [p - start for p in peaks[-2:]], fs, prominence)[0][1]
+        return [(peaks[-1], None if beat["p_peak"] is None else start + beat["p_peak"], None if beat["q_peak"] is None else start + beat["q_peak"])]
+
+    tails = per_section(both, last, "last_r long, last_p long, last_q long", ("med", "r_idx", "prominence"))
+    handed = both.join(tails.withColumn("wave_section", F.col("wave_section") + 1), list(fr.KEYS), "left")
+
+    def kernel(x, start, med, peaks, prominence, r, p, q):
+        known = r is not None and len(peaks) > 0 and r == peaks[0]
+        carried = {k: v - start for k, v in (("p_peak", p), ("q_peak", q)) if known and v is not None and v >= start}
+        found, level = be.pqrst(x, med, [i - start for i in peaks], fs, prominence, carried)
         return [[None if b[k] is None else start + b[k] for k in be.ECG_FIELDS] + [b[k] for k in be.INTERVALS] + [b["valid_qrs"], level] for b in found]
 
-    return per_section(both, kernel, BEAT, ("med", "r_idx", "prominence"))
+    return per_section(handed, kernel, BEAT, ("med", "r_idx", "prominence", "last_r", "last_p", "last_q"))
 
 
 # ---------------------------------------------------------------- pressure

@@ -17,16 +17,21 @@ SEC = SIG + ", sec AS (SELECT s.record_id, k.k::INT AS wave_section, s.idx, s.v
 PEAKS = SEC + ", near AS (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b, avg(v) OVER (PARTITION BY record_id, wave_section) AS m FROM sec WINDOW w AS (PARTITION BY record_id, wave_section ORDER BY idx)), peaks AS (SELECT record_id, wave_section, idx AS r_idx, v, (v > m)::INT AS valid FROM near WHERE v > a AND v >= b)"
 
 
-def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("record_id"), (F.row_number().over(w) - 1).cast("long").alias("idx"), F.col("value").alias("v"))
+#: Power density of each full section in SQL: windows of 20 samples half over each other, Hann, with the mean (psd) or a line (lin) taken away.
+_DFT20 = "SELECT record_id, wave_section, k, avg(p) / 75 * CASE WHEN k IN (0, 10) THEN 1 ELSE 2 END AS p FROM (SELECT record_id, wave_section, w, k, pow(sum(x * cos(2 * pi() * k * j / 20)), 2) + pow(sum(x * sin(2 * pi() * k * j / 20)), 2) AS p FROM {}, range(11) AS r(k) GROUP BY record_id, wave_section, w, k) GROUP BY record_id, wave_section, k"
+_HANN20 = "(0.5 - 0.5 * cos(2 * pi() * j / 20))"
+PSD = SEC + f", seg AS (SELECT record_id, wave_section, w, idx - wave_section * 80 - w * 10 AS j, v FROM sec, range(9) AS u(w) WHERE idx - wave_section * 80 - w * 10 BETWEEN 0 AND 19), flat AS (SELECT record_id, wave_section, w, j, (v - avg(v) OVER (PARTITION BY record_id, wave_section, w)) * {_HANN20} AS x FROM seg), psd AS ({_DFT20.format('flat')})"
+LIN = f", lines AS (SELECT record_id, wave_section, w, regr_slope(v, j) AS b, regr_intercept(v, j) AS a FROM seg GROUP BY ALL), bent AS (SELECT seg.record_id, seg.wave_section, seg.w, j, (v - a - b * j) * {_HANN20} AS x FROM seg JOIN lines USING (record_id, wave_section, w)), lin AS ({_DFT20.format('bent')})"
 
 
 def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The signal with its recording's length n, from the shuffle that numbers the samples."""
-    w = Window.partitionBy("event_type")
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "value", (F.row_number().over(w.orderBy("ts", "event_id")) - 1).cast("long").alias("idx"), F.count("*").over(w).alias("n"))
-    return rows.select(F.col("event_type").alias("record_id"), "idx", F.col("value").alias("v"), "n")
+    """The signal with its recording's length n; samples are numbered in blocks."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "ts", "event_id", "value")
+    return fr.numbered(rows, "event_type", "ts", "event_id").select(F.col("event_type").alias("record_id"), "idx", F.col("value").alias("v"), "n")
+
+
+def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measured(spark, sf_dir).drop("n")
 
 
 def sectioned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +68,7 @@ def q_beat_section(spark, sf):
 @query("rolling_median", f"""WITH {SIG}, f AS (SELECT record_id, idx, v, n, quantile_cont(v, 0.5) OVER (PARTITION BY record_id ORDER BY idx ROWS BETWEEN 20 PRECEDING AND 20 FOLLOWING) AS mid, quantile_cont(v, 0.5) OVER (PARTITION BY record_id ORDER BY idx ROWS BETWEEN 20 PRECEDING AND 19 FOLLOWING) AS late FROM sig JOIN num USING (record_id))
 SELECT record_id, idx, round(CASE WHEN idx < 20 THEN (SELECT mid FROM f g WHERE g.record_id = f.record_id AND g.idx = 20) WHEN idx + 21 >= n THEN (SELECT late FROM f g WHERE g.record_id = f.record_id AND g.idx = g.n - 21) ELSE mid END, 6) AS rolling_med FROM f""")
 def q_rolling_median(spark, sf):
-    return fr.rolling_median(signal(spark, sf)).select("record_id", "idx", r6("rolling_med"))
+    return fr.rolling_median(measured(spark, sf)).select("record_id", "idx", r6("rolling_med"))
 
 
 @query("second_gradient", f"""WITH {SEC}, a AS (SELECT *, CASE WHEN lag(v) OVER w IS NULL THEN lead(v) OVER w - v WHEN lead(v) OVER w IS NULL THEN v - lag(v) OVER w ELSE (lead(v) OVER w - lag(v) OVER w) / 2 END AS d1 FROM sec WINDOW w AS (PARTITION BY record_id, wave_section ORDER BY idx))
@@ -115,7 +120,7 @@ def q_section_finder(spark, sf):
 
 @query("downsample", f"WITH {SIG} SELECT record_id, idx, v FROM sig JOIN num USING (record_id) WHERE idx % greatest(1, n // 100) = 0")
 def q_downsample(spark, sf):
-    return fr.downsample(signal(spark, sf), 100)
+    return fr.downsample(measured(spark, sf), 100).select("record_id", "idx", "v")
 
 
 @query("peak_intersect", f"WITH {PEAKS} SELECT DISTINCT a.record_id, a.r_idx FROM peaks a JOIN peaks b USING (record_id, r_idx) WHERE a.wave_section = b.wave_section + 1")

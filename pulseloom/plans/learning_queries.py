@@ -23,7 +23,7 @@ def predictions(spark, sf) -> DataFrame:
 
 def features(spark, sf) -> tuple[DataFrame, list[str]]:
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
-    return e.select("vec_id", F.col("label").cast("double").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(16)], prep.group_fold(F.col("vec_id"), 3).alias("fold")), [f"x{i}" for i in range(16)]
+    return e.select("vec_id", F.col("label").cast("double").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(64)], prep.group_fold(F.col("vec_id"), 3).alias("fold")), [f"x{i}" for i in range(64)]
 
 
 @query("confusion_matrix", f"WITH {PRED} SELECT label, prediction, n, round(100.0 * n / sum(n) OVER (PARTITION BY label), 6) AS percent FROM (SELECT label, prediction, count(*) AS n FROM p GROUP BY ALL)")
@@ -59,7 +59,10 @@ def q_roc(spark, sf):
     return me.roc_points(predictions(spark, sf), "y").select("threshold", r6("fpr"), r6("tpr"))
 
 
-@query("mean_roc")
+_FOLD = "(('0x' || substr(md5({}::VARCHAR), 1, 8))::BIGINT % {})::INT"
+
+
+@query("mean_roc", f"WITH {PRED}, c AS (SELECT {_FOLD.format('vec_id', 3)} AS fold, score, count(*) FILTER (WHERE y = 1) AS a, count(*) FILTER (WHERE y = 0) AS b FROM p GROUP BY ALL), r AS (SELECT fold, sum(b) OVER (PARTITION BY fold ORDER BY score DESC) / sum(b) OVER (PARTITION BY fold) AS fpr, sum(a) OVER (PARTITION BY fold ORDER BY score DESC) / sum(a) OVER (PARTITION BY fold) AS tpr FROM c), m AS (SELECT fold, ceil(fpr * 99 - 1e-12)::INT AS cell, max(tpr) AS tpr FROM r GROUP BY ALL), g AS (SELECT f.fold, u.cell::INT AS cell, coalesce(max(m.tpr) OVER (PARTITION BY f.fold ORDER BY u.cell), 0) AS tpr FROM (SELECT DISTINCT fold FROM c) f CROSS JOIN range(100) AS u(cell) LEFT JOIN m ON m.fold = f.fold AND m.cell = u.cell) SELECT round(cell / 99, 6) AS fpr, round(avg(tpr), 6) AS tpr, round(stddev_samp(tpr), 6) AS std FROM g GROUP BY cell")
 def q_mean_roc(spark, sf):
     return me.mean_roc(predictions(spark, sf).withColumn("fold", prep.group_fold(F.col("vec_id"), 3)), label="y").select(r6("fpr"), r6("tpr"), r6("std"))
 
@@ -90,7 +93,7 @@ def q_weights(spark, sf):
     return prep.class_weights(spark.read.parquet(f"{sf}/events.parquet"), "event_type").select("event_type", r6("weight"))
 
 
-@query("group_folds")
+@query("group_folds", f"SELECT event_id, user_id, {_FOLD.format('user_id', 5)} AS fold FROM events")
 def q_folds(spark, sf):
     return spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", prep.group_fold(F.col("user_id"), 5).alias("fold"))
 
@@ -117,13 +120,40 @@ def q_soft_vote(spark, sf):
     return mo.soft_vote(parts, "vec_id")
 
 
-@query("vif")
+def _det(rows: list[int], columns: list[int]) -> str:
+    """The determinant of a part of the correlation matrix m0_0, m0_1, ... in SQL."""
+    if not rows:
+        return "1"
+    first, rest = rows[0], rows[1:]
+    return "(" + " + ".join(f"{'-' if k % 2 else ''}m{min(first, c)}_{max(first, c)} * {_det(rest, columns[:k] + columns[k + 1 :])}" for k, c in enumerate(columns)) + ")"
+
+
+_VIF = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+_CORR = ", ".join(f"{f'corr({a}, {b})' if i != j else '1.0'} AS m{i}_{j}" for i, a in enumerate(_VIF) for j, b in enumerate(_VIF) if i <= j)
+
+
+@query("vif", f"WITH m AS (SELECT {_CORR} FROM lineitem) " + " UNION ALL ".join(f"SELECT '{c}' AS column, round({_det([j for j in range(4) if j != i], [j for j in range(4) if j != i])} / {_det([0, 1, 2, 3], [0, 1, 2, 3])}, 6) AS vif FROM m" for i, c in enumerate(_VIF)))
 def q_vif(spark, sf):
     rows = spark.read.parquet(f"{sf}/lineitem.parquet")
-    return spark.createDataFrame([(c, round(v, 6)) for c, v in prep.vif(rows, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])], "column string, vif double")
+    return spark.createDataFrame([(c, round(v, 6)) for c, v in prep.vif(rows, list(_VIF))], "column string, vif double")
+
+
+def _power_sql(x: str, lam: str) -> str:
+    """Yeo-Johnson's transform in SQL."""
+    up = f"CASE WHEN abs({lam}) < 1e-9 THEN ln(1 + greatest({x}, 0)) ELSE (pow(greatest({x}, 0) + 1, {lam}) - 1) / {lam} END"
+    down = f"CASE WHEN abs({lam} - 2) < 1e-9 THEN -ln(1 - least({x}, 0)) ELSE -(pow(1 - least({x}, 0), 2 - {lam}) - 1) / (2 - {lam}) END"
+    return f"CASE WHEN {x} >= 0 THEN {up} ELSE {down} END"
+
+
+def _grids(levels: int) -> str:
+    """Grids of eleven powers, each between the neighbours of the best one before."""
+    out = "b0 AS (SELECT -2.0::DOUBLE AS low, 3.0::DOUBLE AS high, 0.0::DOUBLE AS lam)"
+    for k in range(levels):
+        out += f", g{k} AS (SELECT i, CASE WHEN i = 10 THEN high ELSE i * ((high - low) / 10) + low END AS lam FROM b{k}, range(11) AS u(i)), s{k} AS (SELECT i, lam, -count(*) / 2 * ln(var_pop({_power_sql('value', 'lam')})) + (lam - 1) * sum(sign(value) * ln(1 + abs(value))) AS score FROM g{k}, events WHERE value IS NOT NULL GROUP BY i, lam), t{k} AS (SELECT arg_max(i, (score, -i)) AS i FROM s{k}), b{k + 1} AS (SELECT max(lam) FILTER (WHERE g.i = greatest(t.i - 1, 0)) AS low, max(lam) FILTER (WHERE g.i = least(t.i + 1, 10)) AS high, max(lam) FILTER (WHERE g.i = t.i) AS lam FROM g{k} g, t{k} t)"
+    return out
 
 
-@query("power_transform")
+@query("power_transform", f"WITH {_grids(4)} SELECT event_id, round({_power_sql('value', 'lam')}, 6) + 0.0 AS value FROM events, b4")
 def q_power(spark, sf):
     return prep.transformed(spark.read.parquet(f"{sf}/events.parquet"), "value", "yeojohnson").select("event_id", r6("value"))
 
@@ -131,10 +161,10 @@ def q_power(spark, sf):
 @query("forest_out_of_fold")
 def q_forest(spark, sf):
     rows, columns = features(spark, sf)
-    return mo.out_of_fold(rows, columns, "forest", numTrees=20).select("vec_id", "label", "prediction", "fold")
+    return mo.out_of_fold(rows, columns, "forest").select("vec_id", "label", "prediction", "fold")
 
 
 @query("isolation_forest")
 def q_isolation(spark, sf):
     rows, columns = features(spark, sf)
-    return mo.isolation_forest(rows, columns, trees=30).select("vec_id", r6("anomaly"))
+    return mo.isolation_forest(rows, columns).select("vec_id", r6("anomaly"))

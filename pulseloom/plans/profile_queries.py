@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pulseloom.operators import framing as fr
 from pulseloom.operators import waveforms as wf
-from pulseloom.plans.framing_queries import r6
+from pulseloom.plans.framing_queries import FS, OVERLAP, SEC, SECONDS, measured, r6
 from pulseloom.plans.registry import query
 from pulseloom.plans.waveform_queries import arrays, vectors
 
@@ -19,23 +19,45 @@ def q_profile(spark, sf):
     return wf.profiles(vectors(spark, sf), 8).select("record_id", "i", F.round("distance", 4).alias("distance"))
 
 
-@query("section_profile")
+#: Windows of ten samples of each section, z-normalised, with the distance of each to its nearest one beyond a quarter window.
+_NEAR = SEC + ", e AS (SELECT record_id, wave_section, list(v ORDER BY idx) AS e FROM sec GROUP BY ALL), w AS (SELECT record_id, wave_section, i, e[i + 1:i + 10] AS x FROM e, range(91) AS r(i)), z AS (SELECT record_id, wave_section, i, list_transform(x, lambda v: (v - list_avg(x)) / list_stddev_pop(x)) AS z FROM w), near AS (SELECT a.record_id, a.wave_section, a.i, min(list_distance(a.z, b.z)) AS distance FROM z a JOIN z b ON a.record_id = b.record_id AND a.wave_section = b.wave_section AND abs(a.i - b.i) > 3 GROUP BY ALL)"
+
+
+@query("section_profile", f"WITH {_NEAR} SELECT record_id, wave_section, i::INT AS i, round(distance, 6) AS distance FROM near")
 def q_section_profile(spark, sf):
     return wf.profiles(arrays(spark, sf), 10).select(*K, "i", r6("distance"))
 
 
-@query("section_discords")
+@query("section_discords", f"WITH {_NEAR} SELECT record_id, wave_section, arg_max(i, (distance, -i))::INT AS at, round(max(distance), 6) AS score FROM near GROUP BY ALL")
 def q_discords(spark, sf):
     p = wf.profiles(arrays(spark, sf), 10)
     return p.groupBy(*K).agg(F.max(F.struct("distance", (-F.col("i")).alias("i"))).alias("b")).select(*K, (-F.col("b.i")).alias("at"), F.round("b.distance", 6).alias("score"))
 
 
-@query("fluss_arcs")
+@query("fluss_arcs", """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), w AS (SELECT vec_id, i, e[i + 1:i + 4] AS x FROM e, range(61) AS r(i)), z AS (SELECT vec_id, i, list_transform(x, lambda v: (v - list_avg(x)) / list_stddev_pop(x)) AS z FROM w),
+n AS (SELECT a.vec_id, a.i, arg_min(b.i, (list_distance(a.z, b.z), b.i)) AS near FROM z a JOIN z b ON a.vec_id = b.vec_id AND abs(a.i - b.i) > 1 GROUP BY ALL),
+c AS (SELECT vec_id, k, least(1, count(*) FILTER (WHERE least(i, near) <= k AND k < greatest(i, near)) / (2.0 * (k + 1) * (60 - k) / 61)) AS c FROM n, range(20, 41) AS r(k) GROUP BY vec_id, k),
+one AS (SELECT vec_id, arg_min(k, (c, k)) AS k, min(c) AS c FROM c GROUP BY ALL),
+two AS (SELECT c.vec_id, arg_min(c.k, (c.c, c.k)) AS k, min(c.c) AS c FROM c JOIN one ON one.vec_id = c.vec_id AND one.c < 1 AND NOT c.k BETWEEN one.k - 20 AND one.k + 19 GROUP BY ALL)
+SELECT 'v' || vec_id AS record_id, 0::INT AS wave_section, 1::INT AS place, k::BIGINT AS at FROM one WHERE c < 1 UNION ALL SELECT 'v' || vec_id, 0, 2, k FROM two WHERE c < 1""")
 def q_fluss(spark, sf):
     return wf.regime_changes(vectors(spark, sf), 4, 3)
 
 
-@query("pattern_match")
+PATTERN = [0.0, 1.0, 3.0, 6.0, 3.0, 1.0, 0.0, -1.0, 0.0, 0.0]
+#: Distances of the pattern to all windows; a match is within four deviations below the mean (or the least) and has no closer one within three samples.
+_MATCHES = _NEAR[: _NEAR.index(", near AS")] + f", q AS (SELECT list_transform({PATTERN}::DOUBLE[], lambda v: (v - list_avg({PATTERN}::DOUBLE[])) / list_stddev_pop({PATTERN}::DOUBLE[])) AS q), d AS (SELECT record_id, wave_section, i, list_distance(z, q) AS d FROM z, q), m AS (SELECT d.* FROM d JOIN (SELECT record_id, wave_section, greatest(avg(d) - 4 * stddev_pop(d), min(d)) AS most FROM d GROUP BY ALL) USING (record_id, wave_section) WHERE d <= most), hit AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.record_id = m.record_id AND o.wave_section = m.wave_section AND abs(o.i - m.i) <= 3 AND (o.d, o.i) < (m.d, m.i)))"
+
+
+@query("pattern_match", f"WITH {_MATCHES} SELECT record_id, wave_section, wave_section * 80 + i AS at, round(d, 6) AS distance FROM hit")
 def q_match(spark, sf):
-    pattern = [0.0, 1.0, 3.0, 6.0, 3.0, 1.0, 0.0, -1.0, 0.0, 0.0]
-    return wf.pattern_matches(arrays(spark, sf), pattern).select(*K, "at", r6("distance"))
+    return wf.pattern_matches(arrays(spark, sf), PATTERN).select(*K, "at", r6("distance"))
+
+
+@query("pattern_counts", f"WITH {_MATCHES}, b AS (SELECT DISTINCT record_id, wave_section FROM sec) SELECT b.record_id, b.wave_section, count(pos) AS n FROM b LEFT JOIN (SELECT record_id, wave_section * 80 + i AS pos FROM hit) m ON m.record_id = b.record_id AND pos > b.wave_section * 80 AND pos < b.wave_section * 80 + 100 GROUP BY ALL")
+def q_pattern_counts(spark, sf):
+    """Matches that lie in each section, wherever they were found: an overlap counts in both."""
+    rows, sections = measured(spark, sf), arrays(spark, sf)
+    found = wf.pattern_matches(sections, PATTERN).select("record_id", "at").join(rows.select("record_id", "n").distinct(), "record_id")
+    inside = fr.section_join(found, FS, SECONDS, OVERLAP, position="at", closed="none").groupBy(*K).agg(F.count("*").alias("n"))
+    return sections.select(*K).join(inside, list(K), "left").select(*K, F.coalesce("n", F.lit(0)).alias("n"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulseloom.operators import framing as fr
+from pulseloom.operators import stats as st
 from pulseloom.operators import waveforms as wf
-from pulseloom.plans.framing_queries import FS, OVERLAP, PEAKS, SECONDS, SEC, measured, peaks, r6, sectioned, signal
+from pulseloom.plans.framing_queries import FS, LIN, OVERLAP, PEAKS, PSD, SEC, SECONDS, measured, peaks, r6, sectioned, signal
 from pulseloom.plans.registry import query
 
 K = fr.KEYS
@@ -24,6 +28,41 @@ def medians(spark, sf) -> DataFrame:
     return wf.section_arrays(fr.section_join(med, FS, SECONDS, OVERLAP), "m")
 
 
+#: The ECG that the events stand for: 0.2 s for each event at 250 samples a second, a beat every 0.8 s whose R wave follows the event's value.
+#: By time in a cycle of 200 s: clean, from 90 s on at 0.3 of its height, from 100 s to 165 s noise; recordings begin at a place that their
+#: name decides.
+ECG_FS, PER_EVENT, BEAT_S, CYCLE = 250.0, 50, 0.8, 200.0
+_WAVES = ((0.16, 0.02, 0.12), (0.235, 0.008, -0.12), (0.29, 0.01, -0.2), (0.48, 0.035, 0.3))
+
+
+def ecg(spark, sf) -> DataFrame:
+    """(record_id, idx, v, n) of the ECG that the events stand for."""
+    e = measured(spark, sf).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(PER_EVENT - 1))))
+    rows = e.select("record_id", (F.col("idx") * PER_EVENT + F.col("_j")).alias("idx"), "v", (F.col("n") * PER_EVENT).alias("n"))
+    t, i = F.col("idx") / ECG_FS, F.col("idx")
+    place, phase = F.pmod(t + F.crc32("record_id") % int(CYCLE), F.lit(CYCLE)), F.pmod(t, F.lit(BEAT_S))
+    bell = lambda at, width: F.exp(-F.pow((phase - at) / width, F.lit(2.0)) / 2)
+    beat = (1.1 + 0.001 * F.col("v")) * bell(0.26, 0.009)
+    for at, width, height in _WAVES:
+        beat = beat + height * bell(at, width)
+    noise = F.sin(0.37 * (i * (i % 1009) % 8191))
+    clean = F.when((place >= 90) & (place < 100), 0.3).otherwise(1.0) * beat + 0.02 * F.sin(math.pi / 2 * t) + 0.004 * noise
+    return rows.select("record_id", "idx", F.round(F.when((place >= 100) & (place < 165), 0.5 * noise).otherwise(clean), 6).alias("v"), "n")
+
+
+def ecg_sections(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Sections of 10 s of the ECG, and of its rolling median."""
+    rows = fr.section_join(fr.rolling_median(ecg(spark, sf)), ECG_FS, SECONDS, OVERLAP).select("record_id", "wave_section", "idx", "v", "rolling_med")
+    both = rows.groupBy(*K).agg(F.array_sort(F.collect_list(F.struct("idx", "v", "rolling_med"))).alias("r"))
+    part = lambda c: both.select(*K, F.col("r")[0]["idx"].alias("start"), F.transform("r", lambda x: x[c]).alias("wave"))
+    return part("v"), part("rolling_med")
+
+
+def ecg_folded(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    waves, meds = ecg_sections(spark, sf)
+    return waves, meds, wf.history_fold(wf.quality_rows(waves, meds, ECG_FS), ECG_FS)
+
+
 def vectors(spark, sf) -> DataFrame:
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
     return e.select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("record_id"), F.lit(0).alias("wave_section"), F.lit(0).cast("long").alias("start"), F.col("embedding").cast("array<double>").alias("wave"))
@@ -50,12 +89,30 @@ def q_bandpass(spark, sf):
     return wf.smoothed(arrays(spark, sf), FS, "band", cut=(0.5, 2.0)).select(*K, "idx", r6("y"))
 
 
-@query("derivative")
+def _edge_weights() -> str:
+    """(place in the section, offset, weight) of the first derivative of a cubic through five samples: the middle (-1) and both ends."""
+    t = np.arange(-2, 3)
+    solve = np.linalg.inv(np.vander(t, 4, increasing=True).T @ np.vander(t, 4, increasing=True)) @ np.vander(t, 4, increasing=True).T
+    rows = [(-1, o, w) for o, w in zip((-2, -1, 1, 2), (1 / 12, -8 / 12, 8 / 12, -1 / 12))]
+    for place, centre in ((0, 2), (1, 2), (98, 97), (99, 97)):
+        u = place - centre
+        rows += [(place, centre + o - place, float(solve[1, i] + 2 * u * solve[2, i] + 3 * u * u * solve[3, i])) for i, o in enumerate(t.tolist())]
+    return ", ".join(f"({p}, {o}, {w!r}::DOUBLE)" for p, o, w in rows)
+
+
+@query("derivative", f"WITH {SEC}, w(place, o, c) AS (VALUES {_edge_weights()}), l AS (SELECT *, idx - wave_section * 80 AS i FROM sec) SELECT a.record_id, a.wave_section, a.idx, round(sum(b.v * c), 6) + 0.0 AS y FROM l a JOIN w ON place = CASE WHEN a.i BETWEEN 2 AND 97 THEN -1 ELSE a.i END JOIN l b ON b.record_id = a.record_id AND b.wave_section = a.wave_section AND b.idx = a.idx + o GROUP BY ALL")
 def q_derivative(spark, sf):
     return wf.smoothed(arrays(spark, sf), FS, "d1").select(*K, "idx", r6("y"))
 
 
-@query("find_peaks")
+@query("find_peaks", f"""WITH {SEC}, f AS (SELECT *, CASE WHEN v = lag(v) OVER w THEN 0 ELSE 1 END AS fresh FROM sec WINDOW w AS (PARTITION BY record_id, wave_section ORDER BY idx)), g AS (SELECT *, sum(fresh) OVER (PARTITION BY record_id, wave_section ORDER BY idx) AS run FROM f),
+r AS (SELECT record_id, wave_section, run, min(idx) AS a, max(idx) AS b, any_value(v) AS v FROM g GROUP BY ALL), t AS (SELECT *, lag(v) OVER w AS before, lead(v) OVER w AS after FROM r WINDOW w AS (PARTITION BY record_id, wave_section ORDER BY run)),
+q AS (SELECT record_id, wave_section, quantile_cont(v, 0.35) AS low, 0.4 * (quantile_cont(v, 0.95) - quantile_cont(v, 0.05)) AS least FROM sec GROUP BY ALL),
+p AS (SELECT t.record_id, t.wave_section, (a + b) // 2 AS r_idx, v, least FROM t JOIN q USING (record_id, wave_section) WHERE v > before AND v > after AND v >= low),
+n AS (SELECT p.*, s.idx, s.v AS x FROM p JOIN sec s ON s.record_id = p.record_id AND s.wave_section = p.wave_section AND s.idx BETWEEN r_idx - 15 AND r_idx + 15),
+e AS (SELECT record_id, wave_section, r_idx, coalesce(max(idx) FILTER (WHERE idx < r_idx AND x > v), -1) AS l, coalesce(min(idx) FILTER (WHERE idx > r_idx AND x > v), 9e18::BIGINT) AS h FROM n GROUP BY ALL),
+m AS (SELECT n.record_id, n.wave_section, r_idx, v, least, v - greatest(min(x) FILTER (WHERE idx <= r_idx AND idx > l), min(x) FILTER (WHERE idx >= r_idx AND idx < h)) AS prominence FROM n JOIN e USING (record_id, wave_section, r_idx) GROUP BY n.record_id, n.wave_section, r_idx, v, least)
+SELECT record_id, wave_section, r_idx, round(v, 6) AS height, round(prominence, 6) AS prominence FROM m WHERE prominence >= least""")
 def q_find_peaks(spark, sf):
     return wf.find_peaks(arrays(spark, sf), FS, "systolic").select(*K, "r_idx", r6("height"), r6("prominence"))
 
@@ -73,7 +130,11 @@ def q_entropy_norm(spark, sf):
     return wf.spectra(vectors(spark, sf), 32.0).select("record_id", F.round("entropy_share", 5).alias("entropy_share"))
 
 
-@query("pre_sqi_spectra")
+@query("pre_sqi_spectra", f"""WITH {PSD}{LIN}, h AS (SELECT *, v - lag(v) OVER w AS d FROM sec WINDOW w AS (PARTITION BY record_id, wave_section ORDER BY idx)), hh AS (SELECT *, d - lag(d) OVER w AS dd FROM h WINDOW w AS (PARTITION BY record_id, wave_section ORDER BY idx)), hj AS (SELECT record_id, wave_section, sqrt(var_pop(dd) / var_pop(d)) / sqrt(var_pop(d) / var_pop(v)) AS hjorth FROM hh GROUP BY ALL),
+a AS (SELECT record_id, wave_section, sum(p) FILTER (WHERE k >= 1) / sum(p) AS in_band, any_value(t) AS t FROM psd JOIN (SELECT record_id, wave_section, sum(p) AS t FROM psd GROUP BY ALL) USING (record_id, wave_section) GROUP BY ALL),
+b AS (SELECT psd.record_id, psd.wave_section, -sum(p / t * log2(p / t)) / log2(11) AS share FROM psd JOIN a USING (record_id, wave_section) WHERE p > 0 GROUP BY 1, 2),
+c AS (SELECT record_id, wave_section, sum(p) FILTER (WHERE k = 10) / sum(p) FILTER (WHERE k >= 2) AS ratio, sum(p) AS t FROM lin GROUP BY ALL), d AS (SELECT lin.record_id, lin.wave_section, -sum(p / t * log2(p / t)) AS entropy FROM lin JOIN c USING (record_id, wave_section) WHERE p > 0 GROUP BY 1, 2)
+SELECT record_id, wave_section, round(ratio, 6) AS ratio, round(entropy, 6) AS entropy, round(in_band, 6) AS in_band, round(share, 6) AS entropy_share, 0.0::DOUBLE AS slow, round(hjorth, 6) AS hjorth FROM a JOIN b USING (record_id, wave_section) JOIN c USING (record_id, wave_section) JOIN d USING (record_id, wave_section) JOIN hj USING (record_id, wave_section)""")
 def q_spectra(spark, sf):
     return wf.spectra(arrays(spark, sf), FS).select(*K, *map(r6, ("ratio", "entropy", "in_band", "entropy_share", "slow", "hjorth")))
 
@@ -93,22 +154,34 @@ def q_phase_stream(spark, sf):
     return wf.phase_stream(arrays(spark, sf), FS).select(*K, "r_idx", r6("variance"))
 
 
-@query("wasserstein_shift")
+@query("wasserstein_shift", f"WITH {PSD}, s AS (SELECT record_id, wave_section, p, row_number() OVER (PARTITION BY record_id, wave_section ORDER BY p) AS r FROM psd), d AS (SELECT a.record_id, a.wave_section, coalesce(avg(abs(a.p - b.p)), 0) AS distance FROM s a LEFT JOIN s b ON b.record_id = a.record_id AND b.wave_section = a.wave_section - 1 AND b.r = a.r GROUP BY ALL) SELECT record_id, wave_section, round(distance, 6) AS distance, (distance <= 0.001)::INT AS valid FROM d")
 def q_shift(spark, sf):
     return wf.shift_of_spectra(arrays(spark, sf), FS).select(*K, r6("distance"), "valid")
 
 
 @query("history_fold")
 def q_fold(spark, sf):
-    rows = wf.quality_rows(arrays(spark, sf), medians(spark, sf), FS)
-    return wf.history_fold(rows, FS).select(*K, "start", "valid", "reason", F.size("r_idx").alias("peaks"), r6("kurtosis"), r6("hjorth"), r6("spectral"), r6("spec_entropy"), r6("wdist"))
+    folded = ecg_folded(spark, sf)[2]
+    return folded.select(*K, "start", "valid", "stale", "reason", F.size("r_idx").alias("peaks"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("valid_peaks"), F.size("fresh").alias("fresh"), r6("kurtosis"), r6("hjorth"), r6("spectral"), r6("spec_entropy"), r6("wdist"), r6("bad_b_rat"))
 
 
 @query("pqrst")
 def q_pqrst(spark, sf):
-    a, m = arrays(spark, sf), medians(spark, sf)
-    peaks = wf.find_peaks(a, FS, "systolic").groupBy(*K).agg(F.array_sort(F.collect_list("r_idx")).alias("r_idx"), F.avg("prominence").alias("prominence"), F.lit(1).alias("valid"))
-    return wf.extract_beats(a, m, peaks, FS).drop("isoelectric")
+    return wf.extract_beats(*ecg_folded(spark, sf), ECG_FS).withColumn("isoelectric", F.round("isoelectric", 5))
+
+
+@query("r_peaks")
+def q_r_peaks(spark, sf):
+    return wf.find_peaks(ecg_sections(spark, sf)[0], ECG_FS, "r").select(*K, "r_idx", r6("height"), r6("prominence"))
+
+
+@query("ecg_section_stats")
+def q_ecg_stats(spark, sf):
+    """Heart rate of the accepted sections from neighbouring valid peaks, and means of their beats' intervals."""
+    waves, meds, folded = ecg_folded(spark, sf)
+    peaks = folded.where("valid = 1").select(*K, F.posexplode("r_idx").alias("i", "r_idx"), "mask").select(*K, "r_idx", F.col("mask")[F.col("i")].alias("valid"))
+    rates = st.hrv(st.adjacent_rr(peaks, ECG_FS, *K), *K).select(*K, "HR", "SDNN", "RMSSD")
+    return rates.join(st.interval_means(wf.extract_beats(waves, meds, folded, ECG_FS), *K), list(K), "left")
 
 
 @query("hemo_features")
@@ -124,13 +197,11 @@ def q_welch(spark, sf):
     return wf.power_density(vectors(spark, sf), 32.0).select("record_id", "k", "f", (F.round("p", 8) + 0.0).alias("p"))
 
 
-def _systolic(spark, sf) -> DataFrame:
-    return wf.find_peaks(arrays(spark, sf), FS, "systolic").groupBy(*K).agg(F.array_sort(F.collect_list("r_idx")).alias("r_idx"))
-
-
 @query("post_sqi")
 def q_post_sqi(spark, sf):
-    return wf.beat_gates(arrays(spark, sf), _systolic(spark, sf), FS).select(*K, "valid", r6("bad_ratio"), "mp", "hjh", "stft", "noisy")
+    waves = ecg_sections(spark, sf)[0]
+    peaks = wf.find_peaks(waves, ECG_FS, "r").groupBy(*K).agg(F.array_sort(F.collect_list("r_idx")).alias("r_idx"))
+    return wf.beat_gates(waves, peaks, ECG_FS).select(*K, "valid", r6("bad_ratio"), "mp", "hjh", "stft", "noisy")
 
 
 @query("average_beats", f"WITH {PEAKS} SELECT p.record_id, p.wave_section, s.idx - p.r_idx AS off, round(avg(s.v), 6) + 0.0 AS v FROM peaks p JOIN sec s ON s.record_id = p.record_id AND s.wave_section = p.wave_section AND s.idx BETWEEN p.r_idx - 3 AND p.r_idx + 5 GROUP BY ALL")
@@ -149,7 +220,7 @@ def q_top_frequencies(spark, sf):
     return wf.top_frequencies(vectors(spark, sf), 32.0).select("record_id", "place", "f", F.round("p", 4).alias("p"))
 
 
-@query("pick_lead")
+@query("pick_lead", f"WITH {PSD}, i AS (SELECT record_id, wave_section, sum(p) FILTER (WHERE k >= 1) / sum(p) AS in_band FROM psd GROUP BY ALL), q AS (SELECT record_id AS channel, avg(in_band) AS in_band FROM i GROUP BY ALL), r AS (SELECT channel, in_band, (greatest(length(channel), 4) - levenshtein(lower(channel), 'view')) / greatest(length(channel), 4)::DOUBLE AS ratio FROM q), t AS (SELECT * FROM r ORDER BY ratio DESC, channel LIMIT 4) SELECT channel, round(ratio, 6) AS ratio, round(in_band, 6) AS in_band, row_number() OVER (ORDER BY in_band DESC, channel)::INT AS place FROM t")
 def q_pick_lead(spark, sf):
     names = arrays(spark, sf).select(F.col("record_id").alias("name")).distinct()
     return wf.pick_lead(arrays(spark, sf), names, "view", FS).select("channel", r6("ratio"), r6("in_band"), "place")

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulseloom.functions.scalars import half_even
+
 
 def save_results(rows: DataFrame, path: str, run_ts: str, by: str = "record_id", mode: str = "append") -> None:
     """One folder for each recording and run. The committer makes a run visible at once or not at all."""
@@ -30,7 +32,7 @@ def save_json(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def save_legacy(sections: DataFrame, path: str, places: int = 2) -> None:
     """Section tables as text: whole numbers as they are, measures with two decimals."""
-    columns = [F.format_string(f"%.{places}f", F.col(c).cast("double")).alias(c) if t in ("double", "float") else F.col(c) for c, t in sections.dtypes]
+    columns = [half_even(F.col(c), places).alias(c) if t in ("double", "float") else F.col(c) for c, t in sections.dtypes]
     sections.select(*columns).write.mode("overwrite").csv(path)
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,21 +10,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pulseloom.functions import quality as qu
-from pulseloom.operators.waveforms import FOLDED, folded_row
+from pulseloom.operators.waveforms import FOLDED, folded_step
 
 
 def stream_fold(rows: DataFrame, fs: float) -> DataFrame:
-    """history_fold over a stream of (record_id, wave_section, start, payload). Sections of a recording are to arrive in order of
-    batches; within a batch they are put in order."""
+    """history_fold over a stream of quality_rows. Sections of a recording are to arrive in order of batches; within a batch they are put
+    in order. The state of a recording is a few seconds of samples and some hundred peaks."""
     names = [f.split()[0] for f in FOLDED.split(", ")]
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now, out = json.loads(state.get[0]) if state.exists else qu.start(), []
-        for r in pd.concat(list(frames)).sort_values("wave_section").itertuples():
-            payload = json.loads(r.payload)
-            now, got = qu.step(now, payload, fs)
-            out.append(folded_row(r.record_id, r.wave_section, r.start, payload, got))
-        state.update((json.dumps(now),))
+        now, out = qu.unpacked(state.get[0]) if state.exists else qu.start(), []
+        for row in pd.concat(list(frames)).sort_values("wave_section").to_dict("records"):
+            now, got = folded_step(now, row, fs)
+            out.append(got)
+        state.update((qu.packed(now),))
         yield pd.DataFrame(out, columns=names)
 
     return rows.groupBy("record_id").applyInPandasWithState(run, FOLDED, "state string", "append", GroupStateTimeout.NoTimeout)

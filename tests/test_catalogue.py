@@ -10,7 +10,7 @@ import pytest
 from pulseloom.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"forest_out_of_fold"}
+SLOW: set[str] = set()
 
 
 @pytest.fixture(scope="module")
@@ -22,9 +22,9 @@ def duck():
 
 
 def plain(v):
-    if isinstance(v, bool) or v is None:
+    if isinstance(v, (bool, int)) or v is None:
         return str(v)
-    if isinstance(v, (int, float)) or type(v).__name__ == "Decimal":
+    if isinstance(v, float) or type(v).__name__ == "Decimal":
         return "nan" if math.isnan(v) else f"{float(v):.5g}"
     return str(v)
 

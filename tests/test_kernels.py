@@ -141,11 +141,13 @@ def test_fold_accepts_a_clean_ecg_and_rejects_noise():
     for i in range(5):
         part = x[i * 2000 : i * 2000 + 2500]
         med = np.full(len(part), np.median(part))
-        state, out = qu.step(state, {"start": i * 2000, "wave": part, "med": med, "features": qu.features(part, med, 250.0)}, 250.0)
+        own = qu.features(part, med, 250.0)
+        state, out = qu.step(state, {"start": i * 2000, "wave": part, "med": med, "features": own, "beats": qu.beats_of(part, own["peaks"], 250.0, 5)}, 250.0)
         valid.append(out["valid"])
+        state = qu.unpacked(qu.packed(state))
     assert sum(valid) >= 3, valid
     noise = np.random.default_rng(3).normal(size=2500)
-    _, out = qu.step(state, {"start": 20000, "wave": noise, "med": np.zeros(2500), "features": qu.features(noise, noise * 0, 250.0)}, 250.0)
+    _, out = qu.step(state, {"start": 20000, "wave": noise, "med": np.zeros(2500), "features": qu.features(noise, noise * 0, 250.0), "beats": None}, 250.0)
     assert not out["valid"] and out["reasons"]
 
 
