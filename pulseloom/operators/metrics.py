@@ -22,6 +22,15 @@ def class_report(rows: DataFrame, label: str = "label", prediction: str = "predi
     return hit.select("label", p.alias("precision"), r.alias("recall"), "support").withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
 
 
+def report_averages(rows: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """(average, precision, recall, f1, support): macro and weighted means of the class report."""
+    r = class_report(rows, label, prediction)
+    names = ("precision", "recall", "f1")
+    one = r.agg(*[F.avg(c).alias(f"m_{c}") for c in names], *[(F.sum(F.col(c) * F.col("support")) / F.sum("support")).alias(f"w_{c}") for c in names], F.sum("support").alias("support"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("average"), *[F.col(f"{k[0]}_{c}").alias(c) for c in names], F.col("support")) for k in ("macro", "weighted")])
+    return one.select(F.explode(kinds).alias("_")).select("_.*")
+
+
 def summary(rows: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """One row: accuracy, balanced_accuracy, f1_macro, f1_weighted, mcc (all classes)."""
     r = class_report(rows, label, prediction)
@@ -68,11 +77,15 @@ def mean_roc(rows: DataFrame, fold: str = "fold", label: str = "label", score: s
     Scores meet the grid on the cell of their rate, so only a row for each fold and cell is left before curves are read.
     """
     cell = F.ceil(F.col("fpr") * (points - 1) - 1e-12).cast("int")
-    folds = [r[0] for r in rows.select(fold).distinct().orderBy(fold).collect()]
-    every = None
-    for f in folds:
-        part = roc_points(rows.where(F.col(fold) == f), label, score).groupBy(cell.alias("cell")).agg(F.max("tpr").alias("tpr")).withColumn("fold", F.lit(f))
-        every = part if every is None else every.unionByName(part)
+    # the folds' curves side by side: sums run over all folds in order of (fold, score), less what the folds before hold
+    counts = rows.groupBy(F.col(fold).alias("fold"), (-F.col(score)).alias("_s")).agg(F.sum((F.col(label) == 1).cast("long")).alias("pos"), F.sum((F.col(label) != 1).cast("long")).alias("neg"))
+    keyed = counts.withColumn("_key", F.struct("fold", "_s"))
+    both = running_sum(running_sum(keyed, "_key", "pos", "tp"), "_key", "neg", "fp")
+    total = counts.groupBy("fold").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    earlier = Window.orderBy("fold").rowsBetween(Window.unboundedPreceding, -1)
+    total = total.withColumns({"P0": F.coalesce(F.sum("P").over(earlier), F.lit(0)), "N0": F.coalesce(F.sum("N").over(earlier), F.lit(0))})
+    curves = both.join(F.broadcast(total), "fold").select("fold", F.try_divide(F.col("fp") - F.col("N0"), "N").alias("fpr"), F.try_divide(F.col("tp") - F.col("P0"), "P").alias("tpr"))
+    every = curves.groupBy("fold", cell.alias("cell")).agg(F.max("tpr").alias("tpr"))
     grid = rows.sparkSession.range(points).select(F.col("id").cast("int").alias("cell")).crossJoin(F.broadcast(every.select("fold").distinct()))
     upto = Window.partitionBy("fold").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
     read = grid.join(every, ["fold", "cell"], "left").withColumn("tpr", F.coalesce(F.max("tpr").over(upto), F.lit(0.0)))

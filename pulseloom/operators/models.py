@@ -13,6 +13,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulseloom.operators.metrics import summary
+
 
 def estimator(kind: str, **options):
     """svm (one-vs-rest linear), forest, boosted (one-vs-rest), logistic."""
@@ -58,6 +60,14 @@ def grid_search(rows: DataFrame, columns: list[str], kind: str, grid: dict[str,
     return found.bestModel, max(found.avgMetrics), scores
 
 
+def search_metrics(rows: DataFrame, columns: list[str], kind: str, settings: list[dict], refit: str = "balanced_accuracy", fold: str = "fold"):
+    """(model of the best setting on all rows, that setting, [setting with its metrics]): every setting is scored out of fold by all summary
+    metrics; the best one by ``refit`` (the first of equals) is fitted again."""
+    scored = [setting | summary(out_of_fold(rows, columns, kind, fold, **setting)).first().asDict() for setting in settings]
+    best = max(range(len(settings)), key=lambda i: (scored[i][refit], -i))
+    return pipeline(columns, kind, **settings[best]).fit(rows), settings[best], scored
+
+
 def soft_vote(predictions: list[DataFrame], key: str) -> DataFrame:
     """(key, prediction): the class of the greatest mean probability; each frame holds (key, probability array)."""
     every = predictions[0].select(key, "probability")

@@ -135,6 +135,26 @@ def null_report(rows: DataFrame, columns: list[str], limit: float = 30.0) -> Dat
     return x.groupBy("column").agg(nulls.alias("nulls"), (100.0 * nulls / F.count("*")).alias("percent")).withColumn("high", F.col("percent") > limit)
 
 
+def numeric_report(rows: DataFrame, columns: list[str], limit: float = 30.0) -> DataFrame:
+    """(column, mean, std, max, min, n, nulls, percent, high): of the values that are neither null nor 0, and the share of nulls, in one pass."""
+    x = unpivoted(rows, columns)
+    missing = F.col("x").isNull() | F.isnan("x")
+    kept = F.when(~missing & (F.col("x") != 0), F.col("x"))
+    got = x.groupBy("column").agg(F.avg(kept).alias("mean"), F.stddev_samp(kept).alias("std"), F.max(kept).alias("max"), F.min(kept).alias("min"), F.count(kept).alias("n"), F.count_if(missing).alias("nulls"), (100.0 * F.count_if(missing) / F.count("*")).alias("percent"))
+    return got.withColumn("high", F.col("percent") > limit)
+
+
+def cosine_of_columns(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b, cosine) for a < b of feature columns, nulls replaced by their column's mean; 0 if either is nothing but 0."""
+    means = rows.agg(*[F.avg(clean(F.col(c).cast("double"))).alias(f"_m_{c}") for c in columns])
+    full = rows.join(F.broadcast(means)).select(*[F.coalesce(clean(F.col(c).cast("double")), F.col(f"_m_{c}")).alias(c) for c in columns])
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    one = full.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{a}|{b}") for a, b in pairs], *[F.sqrt(F.sum(F.col(c) * F.col(c))).alias(f"|{c}") for c in columns])
+    size = lambda a, b: F.col(f"`|{a}`") * F.col(f"`|{b}`")
+    out = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.when(size(a, b) > 0, F.col(f"`{a}|{b}`") / size(a, b)).otherwise(0.0).alias("cosine")) for a, b in pairs])
+    return one.select(F.explode(out).alias("_")).select("_.*")
+
+
 def bad_ratio(peaks: DataFrame, *keys: str, most: float = 0.25) -> DataFrame:
     """Share of beats that are not valid; the section is valid up to ``most``."""
     r = F.avg((F.col("valid") == 0).cast("double"))

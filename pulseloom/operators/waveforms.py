@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
@@ -292,11 +292,15 @@ def extract_beats(sections: DataFrame, medians: DataFrame, folded: DataFrame, fs
 HEMO = ", ".join(f"{k} long" if k in ("onset", "sbp_id", "dbp_id", "notch_id") else f"{k} double" for k in be.HEMO_FIELDS)
 
 
+def _systolic(x, fs: float) -> np.ndarray:
+    return kn.find_peaks(x, height=np.percentile(x, 35), prominence=0.4 * (np.percentile(x, 95) - np.percentile(x, 5)), distance=int(0.2 * fs), wlen=int(3 * fs))[0]
+
+
 def pressure_beats(sections: DataFrame, fs: float) -> DataFrame:
     """Features of each pressure beat of sections (wave: pressure, lad, carotid); notch_id counts from the systolic peak."""
 
     def kernel(x, start, lad, carotid):
-        at, _, _ = kn.find_peaks(x, height=np.percentile(x, 35), prominence=0.4 * (np.percentile(x, 95) - np.percentile(x, 5)), distance=int(0.2 * fs), wlen=int(3 * fs))
+        at = _systolic(x, fs)
         if not 3 <= len(at) <= 60:
             return []
         rows = [be.pressure_beat(x, lad, carotid, at, i, fs) for i in range(len(at) - 1)]
@@ -305,6 +309,34 @@ def pressure_beats(sections: DataFrame, fs: float) -> DataFrame:
     return per_section(sections, kernel, HEMO, ("lad", "carotid"))
 
 
+#: Least share of power in the band and greatest entropy of a pressure section.
+PRESSURE_BAND, PRESSURE_ENTROPY = 0.90, 0.45
+
+
+def pressure_table(sections: DataFrame, fs: float) -> DataFrame:
+    """One row for each section of (wave: pressure, lad, carotid): signal quality, whether it is invalid, slow power, heart rate, spread of the
+    beats' phase by two wavelets, and the means of all beat features. Only sections that pass the quality gate are measured further, and
+    of those only such with 3 to 60 systolic peaks."""
+    measures = spectra(sections, fs).select(*fr.KEYS, F.col("in_band").alias("sqi_power"), F.col("entropy_share").alias("sqi_entropy"), F.col("slow").alias("mayer_pow"))
+    gated = measures.withColumn("invalid", ((F.col("sqi_power") < PRESSURE_BAND) | (F.col("sqi_entropy") > PRESSURE_ENTROPY)).cast("int"))
+    good = sections.join(gated.where("invalid = 0").select(*fr.KEYS), list(fr.KEYS), "left_semi")
+
+    def kernel(x, start):
+        at = _systolic(x, fs)
+        if not 3 <= len(at) <= 60:
+            return []
+        rate = int(np.mean(np.round(60 / (np.diff(at) / fs), 2)))
+        spread = []
+        for kind in ("morlet", "cgau1"):
+            angle = kn.phase(x, fs, 2.0, kind)
+            means = [np.angle(np.exp(1j * angle[p - int(0.2 * fs) : p + int(0.4 * fs)]).mean()) for p in at[:-1] if p >= int(0.2 * fs) and p + int(0.4 * fs) <= len(x)]
+            spread.append(kn.phase_variance(means) if means else None)
+        return [(rate, *spread)]
+
+    rates = per_section(good, kernel, "HR int, var_mor double, var_cgau double")
+    return gated.join(rates, list(fr.KEYS), "left").join(pressure_sections(pressure_beats(good, fs)), list(fr.KEYS), "left")
+
+
 def pressure_sections(beats: DataFrame) -> DataFrame:
     """Means of the beats' features, nulls left out."""
     return beats.groupBy(*fr.KEYS).agg(F.count("*").alias("beats"), *[F.avg(k).alias(k) for k in be.HEMO_FIELDS if k not in ("onset", "sbp_id", "dbp_id", "notch_id")])
@@ -323,6 +355,34 @@ def profiles(sections: DataFrame, m: int) -> DataFrame:
     return per_section(sections, kernel, "i int, distance double, nn int")
 
 
+def section_discords(sections: DataFrame, peaks: DataFrame, fs: float) -> DataFrame:
+    """(keys, m, hr, rmssd, at, score): the window farthest from its nearest neighbour, windows as long as the section's mean RR. peaks: (keys, r_idx ARRAY)."""
+
+    def kernel(x, start, at):
+        gaps = np.diff(at)
+        if len(gaps) < 2 or not 3 < (m := int(gaps.mean())) <= len(x) // 2:
+            return []
+        d, near = kn.matrix_profile(x, m)
+        if not (near >= 0).any():
+            return []
+        k = int(np.where(near >= 0, d, -1).argmax())
+        rr = 1000.0 * gaps / fs
+        return [(m, int((60.0 / (gaps / fs)).mean()), float(np.sqrt((np.diff(rr) ** 2).mean())), start + k, float(d[k]))]
+
+    return per_section(sections.join(peaks.select(*fr.KEYS, "r_idx"), list(fr.KEYS)), kernel, "m int, hr int, rmssd double, at long, score double", ("r_idx",))
+
+
+def stft_shares(sections: DataFrame, size: int = 256) -> DataFrame:
+    """(keys, k, share): magnitudes of Hann windows half over each other, summed over time, as shares."""
+    return per_section(sections, lambda x, start: [(k, float(v)) for k, v in enumerate(kn.stft_share(x, size))], "k int, share double")
+
+
+def step_filled(points: DataFrame, ends: DataFrame) -> DataFrame:
+    """(keys, from_idx, until, variance): each beat's value holds from its peak until the next one's, the last until its section ends (ends: keys, end_point)."""
+    w = Window.partitionBy(*fr.KEYS).orderBy("r_idx")
+    return points.join(ends, list(fr.KEYS)).select(*fr.KEYS, F.col("r_idx").alias("from_idx"), F.coalesce(F.lead("r_idx").over(w), F.col("end_point")).alias("until"), "variance")
+
+
 def regime_changes(sections: DataFrame, m: int, count: int) -> DataFrame:
     """(keys, place, at): positions where few neighbours lie across."""
 
@@ -356,8 +416,6 @@ def pick_lead(sections: DataFrame, names: DataFrame, target: str, fs: float, mos
 
 
 def _whole(score: str, tie: str):
-    from pyspark.sql import Window
-
     return Window.orderBy(F.desc(score), tie)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,11 @@ def q_report(spark, sf):
     return me.class_report(predictions(spark, sf)).select("label", r6("precision"), r6("recall"), "support", r6("f1"))
 
 
+@query("report_averages", f"WITH {_REPORT} SELECT 'macro' AS average, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1, sum(support)::BIGINT AS support FROM f UNION ALL SELECT 'weighted', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6), sum(support)::BIGINT FROM f")
+def q_report_averages(spark, sf):
+    return me.report_averages(predictions(spark, sf)).select("average", r6("precision"), r6("recall"), r6("f1"), "support")
+
+
 @query("model_summary", f"WITH {_REPORT}, o AS (SELECT count(*) AS s, count(*) FILTER (WHERE label = prediction) AS c FROM p), t AS (SELECT sum(t * t) AS tt FROM (SELECT count(*) AS t FROM p GROUP BY label)), q AS (SELECT sum(t * t) AS pp FROM (SELECT count(*) AS t FROM p GROUP BY prediction)), x AS (SELECT sum(support * said) AS tp FROM r) SELECT round(c / s, 6) AS accuracy, round((SELECT avg(recall) FROM f WHERE support > 0), 6) AS balanced_accuracy, round((SELECT avg(f1) FROM f), 6) AS f1_macro, round((SELECT sum(f1 * support) / sum(support) FROM f), 6) AS f1_weighted, round((c * s - tp) / (sqrt(s * s - pp) * sqrt(s * s - tt)), 6) AS mcc FROM o, t, q, x")
 def q_summary(spark, sf):
     return me.summary(predictions(spark, sf)).select(*map(r6, ("accuracy", "balanced_accuracy", "f1_macro", "f1_weighted", "mcc")))
@@ -93,6 +99,61 @@ def q_weights(spark, sf):
     return prep.class_weights(spark.read.parquet(f"{sf}/events.parquet"), "event_type").select("event_type", r6("weight"))
 
 
+_UNIT = "(('0x' || substr(md5({}), 1, 8))::BIGINT / 4294967296.0)"
+#: Schemes of folds in SQL, over the events (key event_id, class event_type, group user_id).
+for _scheme, _sql in {
+    "kfold": f"SELECT event_id, {_FOLD.format('event_id', 10)} AS fold FROM events",
+    "stratified": f"SELECT event_id, ((row_number() OVER (PARTITION BY event_type ORDER BY {_UNIT.format('event_id::VARCHAR')}, event_id) - 1) % 10)::INT AS fold FROM events",
+    "leave_one_group_out": "SELECT event_id, (dense_rank() OVER (ORDER BY user_id) - 1)::INT AS fold FROM events",
+    "leave_one_out": "SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1)::INT AS fold FROM events",
+}.items():
+
+    @query(f"folds_{_scheme}", _sql)
+    def q_scheme(spark, sf, scheme=_scheme):
+        e = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "event_type", "user_id")
+        return prep.folded(e, scheme, 10, "event_id", "event_type", "user_id").select("event_id", "fold")
+
+
+for _scheme, _sql in {
+    "shuffle": f"SELECT event_id, split::INT AS split, {_UNIT.format('event_id || chr(124) || split')} < 0.25 AS test FROM events, range(5) AS r(split)",
+    "group_shuffle": f"SELECT event_id, split::INT AS split, {_UNIT.format('user_id || chr(124) || split')} < 0.25 AS test FROM events, range(5) AS r(split)",
+    "stratified_shuffle": f"SELECT event_id, split::INT AS split, row_number() OVER (PARTITION BY event_type, split ORDER BY {_UNIT.format('event_id || chr(124) || split')}, event_id) - 1 < round(count(*) OVER (PARTITION BY event_type, split) * 0.25) AS test FROM events, range(5) AS r(split)",
+}.items():
+
+    @query(f"splits_{_scheme}", _sql)
+    def q_splits(spark, sf, scheme=_scheme):
+        e = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "event_type", "user_id")
+        return prep.shuffled(e, scheme, 5, 0.25, "event_id", "event_type", "user_id").select("event_id", "split", "test")
+
+
+@query("label_codes", "SELECT event_id, code, event_type AS back FROM events JOIN (SELECT event_type, (row_number() OVER (ORDER BY event_type) - 1)::INT AS code FROM (SELECT DISTINCT event_type FROM events)) USING (event_type)")
+def q_codes(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "event_type")
+    known = prep.codes(e, "event_type")
+    coded = e.join(F.broadcast(known), "event_type").select("event_id", "code")
+    return coded.join(F.broadcast(known.withColumnRenamed("event_type", "back")), "code").select("event_id", "code", "back")
+
+
+@query("row_weights", "SELECT event_id, round(count(*) OVER () / ((SELECT count(DISTINCT event_type) FROM events) * count(*) OVER (PARTITION BY event_type)), 6) AS weight FROM events")
+def q_row_weights(spark, sf):
+    return prep.weighted(spark.read.parquet(f"{sf}/events.parquet").select("event_id", "event_type"), "event_type").select("event_id", r6("weight"))
+
+
+@query("quantile_scale", "SELECT event_id, round((rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0 - 1) / (count(*) OVER () - 1), 6) + 0.0 AS value FROM events")
+def q_quantile_scale(spark, sf):
+    return prep.scaled(spark.read.parquet(f"{sf}/events.parquet"), ["value"], "quantile").select("event_id", r6("value"))
+
+
+@query("histogram", "WITH e AS (SELECT min(value) AS a, max(value) AS b FROM events) SELECT least(floor((value - a) / (b - a) * 20), 19)::INT AS bin_value, count(*) AS n FROM events, e GROUP BY 1")
+def q_histogram(spark, sf):
+    return prep.binned(spark.read.parquet(f"{sf}/events.parquet"), ["value"], 20)
+
+
+@query("scatter_bins", "WITH e AS (SELECT min(l_quantity) AS a, max(l_quantity) AS b, min(l_extendedprice) AS c, max(l_extendedprice) AS d FROM lineitem) SELECT least(floor((l_quantity - a) / (b - a) * 12), 11)::INT AS bin_l_quantity, least(floor((l_extendedprice - c) / (d - c) * 12), 11)::INT AS bin_l_extendedprice, count(*) AS n FROM lineitem, e GROUP BY 1, 2")
+def q_scatter(spark, sf):
+    return prep.binned(spark.read.parquet(f"{sf}/lineitem.parquet"), ["l_quantity", "l_extendedprice"], 12)
+
+
 @query("group_folds", f"SELECT event_id, user_id, {_FOLD.format('user_id', 5)} AS fold FROM events")
 def q_folds(spark, sf):
     return spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", prep.group_fold(F.col("user_id"), 5).alias("fold"))
@@ -158,10 +219,31 @@ def q_power(spark, sf):
     return prep.transformed(spark.read.parquet(f"{sf}/events.parquet"), "value", "yeojohnson").select("event_id", r6("value"))
 
 
+@query("power_scale", f"WITH {_grids(4)}, y AS (SELECT event_id, {_power_sql('value', 'lam')} AS y FROM events, b4) SELECT event_id, round((y - avg(y) OVER ()) / stddev_pop(y) OVER (), 6) + 0.0 AS value FROM y")
+def q_power_scale(spark, sf):
+    return prep.scaled(spark.read.parquet(f"{sf}/events.parquet"), ["value"], "power").select("event_id", r6("value"))
+
+
+def vectors(spark, sf) -> DataFrame:
+    """(vec_id, label, x, fold, weight): the embeddings as one vector column, weighted by class."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    rows = e.select("vec_id", F.col("label").cast("double").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("x"), prep.group_fold(F.col("vec_id"), 3).alias("fold"))
+    return prep.weighted(rows, "label")
+
+
+@query("logistic_out_of_fold")
+def q_logistic(spark, sf):
+    return mo.out_of_fold(vectors(spark, sf), ["x"], "logistic", scale="s", weightCol="weight").select("vec_id", "label", "prediction", "fold")
+
+
+@query("svm_out_of_fold")
+def q_svm(spark, sf):
+    return mo.out_of_fold(vectors(spark, sf), ["x"], "svm", scale="s", weightCol="weight").select("vec_id", "label", "prediction", "fold")
+
+
 @query("forest_out_of_fold")
 def q_forest(spark, sf):
-    rows, columns = features(spark, sf)
-    return mo.out_of_fold(rows, columns, "forest").select("vec_id", "label", "prediction", "fold")
+    return mo.out_of_fold(vectors(spark, sf), ["x"], "forest", weightCol="weight").select("vec_id", "label", "prediction", "fold")
 
 
 @query("isolation_forest")

@@ -192,6 +192,21 @@ def q_null_report(spark, sf):
     return st.null_report(nulled(spark, sf), list("abc")).select("column", "nulls", r6("percent"), "high")
 
 
+@query("numeric_report", f"WITH x AS ({_NULLS}) " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(avg({c}) FILTER (WHERE {c} <> 0), 4) AS mean, round(stddev_samp({c}) FILTER (WHERE {c} <> 0), 4) AS std, (max({c}) FILTER (WHERE {c} <> 0))::DOUBLE AS max, (min({c}) FILTER (WHERE {c} <> 0))::DOUBLE AS min, count(*) FILTER (WHERE {c} <> 0) AS n, count(*) - count({c}) AS nulls, round(100.0 * (count(*) - count({c})) / count(*), 6) AS percent, 100.0 * (count(*) - count({c})) / count(*) > 30 AS high FROM x" for c in "abc"))
+def q_numeric_report(spark, sf):
+    return st.numeric_report(nulled(spark, sf), list("abc")).select("column", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "max", "min", "n", "nulls", r6("percent"), "high")
+
+
+@query("cosine_of_columns", f"WITH x AS ({_NULLS}), f AS (SELECT coalesce(a, avg(a) OVER ())::DOUBLE AS a, coalesce(b, avg(b) OVER ())::DOUBLE AS b, coalesce(c, avg(c) OVER ())::DOUBLE AS c FROM x) " + " UNION ALL ".join(f"SELECT '{p}' AS a, '{q}' AS b, round(sum({p} * {q}) / (sqrt(sum({p} * {p})) * sqrt(sum({q} * {q}))), 6) AS cosine FROM f" for p, q in ("ab", "ac", "bc")))
+def q_cosine_of_columns(spark, sf):
+    return st.cosine_of_columns(nulled(spark, sf), list("abc")).select("a", "b", r6("cosine"))
+
+
+@query("distinct_indexes", "SELECT user_id, list_sort(list_distinct(list((event_id % 7)::BIGINT))) AS bad FROM events GROUP BY 1")
+def q_distinct_indexes(spark, sf):
+    return t(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.array_distinct(F.collect_list((F.col("event_id") % 7).cast("long")))).alias("bad"))
+
+
 @query("dropna_any", f"WITH x AS ({_NULLS}) SELECT count(*) AS n, round(sum(c), 2) AS total FROM x WHERE a IS NOT NULL AND b IS NOT NULL")
 def q_dropna(spark, sf):
     return drop_any_null(nulled(spark, sf), ["a", "b"]).agg(F.count("*").alias("n"), F.round(F.sum("c"), 2).alias("total"))

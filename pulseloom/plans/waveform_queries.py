@@ -79,6 +79,16 @@ def q_savgol(spark, sf):
     return out.where((F.col("idx") - F.col("wave_section") * 80).between(7, 92)).select(*K, "idx", (F.round("y", 5) + 0.0).alias("y"))
 
 
+@query("highpass")
+def q_highpass(spark, sf):
+    return wf.smoothed(arrays(spark, sf), FS, "high", cut=0.5).select(*K, "idx", r6("y"))
+
+
+@query("notch")
+def q_notch(spark, sf):
+    return wf.smoothed(ecg_sections(spark, sf)[0], ECG_FS, "notch").select(*K, "idx", r6("y"))
+
+
 @query("lowpass")
 def q_lowpass(spark, sf):
     return wf.smoothed(arrays(spark, sf), FS, "low", cut=2.0).select(*K, "idx", r6("y"))
@@ -184,12 +194,52 @@ def q_ecg_stats(spark, sf):
     return rates.join(st.interval_means(wf.extract_beats(waves, meds, folded, ECG_FS), *K), list(K), "left")
 
 
+def pressure(spark, sf) -> DataFrame:
+    """Sections of 30 s of pressure (mmHg), coronary and carotid flow that the events stand for, on the clock of the ECG; from 100 s to 165 s of
+    the cycle the pressure is noise."""
+    e = measured(spark, sf).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(PER_EVENT - 1))))
+    rows = e.select("record_id", (F.col("idx") * PER_EVENT + F.col("_j")).alias("idx"), "v", (F.col("n") * PER_EVENT).alias("n"))
+    t, i = F.col("idx") / ECG_FS, F.col("idx")
+    place, phase = F.pmod(t + F.crc32("record_id") % int(CYCLE), F.lit(CYCLE)), F.pmod(t, F.lit(BEAT_S))
+    rise = F.when(phase < 0.12, F.pow(F.sin(math.pi / 2 * phase / 0.12), F.lit(2.0))).otherwise(F.exp(-(phase - 0.12) * 3))
+    bump = lambda at, width: F.exp(-F.pow((phase - at) / width, F.lit(2.0)))
+    noise = F.sin(0.37 * (i * (i % 1009) % 8191))
+    wave = F.when((place >= 100) & (place < 165), 80 + 20 * noise).otherwise(75 + (40 + 0.02 * F.col("v")) * rise + 5 * bump(0.4, 0.04) + 1.5 * F.sin(2 * math.pi * 0.1 * t) + 0.05 * noise)
+    lad, carotid = 0.4 + 0.6 * bump(0.5, 0.1) - 0.2 * bump(0.1, 0.05), 0.5 + 4 * rise - 0.7 * bump(0.36, 0.03)
+    both = fr.section_join(rows.select("record_id", "idx", "n", F.round(wave, 6).alias("p"), F.round(lad, 6).alias("l"), F.round(carotid, 6).alias("c")), ECG_FS, 30.0, OVERLAP)
+    found = both.groupBy(*K).agg(F.array_sort(F.collect_list(F.struct("idx", "p", "l", "c"))).alias("r"))
+    part = lambda c: F.transform("r", lambda x: x[c])
+    return found.select(*K, F.col("r")[0]["idx"].alias("start"), part("p").alias("wave"), part("l").alias("lad"), part("c").alias("carotid"))
+
+
 @query("hemo_features")
 def q_hemo(spark, sf):
-    # the events' samples stand for pressure in windows of 60 s at a nominal 200 samples a second, shifted copies for flow
-    long = fr.section_join(measured(spark, sf), FS, 60.0, OVERLAP).select("record_id", "wave_section", "idx", "v")
-    a = wf.section_arrays(long).withColumn("lad", F.transform("wave", lambda v: v / 10 - 1)).withColumn("carotid", F.transform("wave", lambda v: v / 20))
-    return wf.pressure_sections(wf.pressure_beats(a, 200.0)).select(*K, "beats", r6("SBP"), r6("DBP"), r6("true_MAP"))
+    table = wf.pressure_table(pressure(spark, sf), ECG_FS)
+    return table.select(*[F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in table.dtypes])
+
+
+@query("hemo_beats")
+def q_hemo_beats(spark, sf):
+    beats = wf.pressure_beats(pressure(spark, sf), ECG_FS)
+    return beats.select(*[F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in beats.dtypes])
+
+
+@query("ecg_discords")
+def q_ecg_discords(spark, sf):
+    waves, _, folded = ecg_folded(spark, sf)
+    return wf.section_discords(waves, folded.where("valid = 1").select(*K, "r_idx"), ECG_FS).select(*K, "m", "hr", r6("rmssd"), "at", F.round("score", 5).alias("score"))
+
+
+@query("stft_shares", f"WITH {PSD}, x AS (SELECT record_id, wave_section, w, j, v * (0.5 - 0.5 * cos(2 * pi() * j / 20)) AS x FROM seg), m AS (SELECT record_id, wave_section, w, k, sqrt(pow(sum(x * cos(2 * pi() * k * j / 20)), 2) + pow(sum(x * sin(2 * pi() * k * j / 20)), 2)) AS m FROM x, range(11) AS r(k) GROUP BY record_id, wave_section, w, k), t AS (SELECT record_id, wave_section, k, sum(m) AS m FROM m GROUP BY record_id, wave_section, k) SELECT record_id, wave_section, k::INT AS k, round(m / sum(m) OVER (PARTITION BY record_id, wave_section), 6) AS share FROM t")
+def q_stft(spark, sf):
+    return wf.stft_shares(arrays(spark, sf), 20).select(*K, "k", r6("share"))
+
+
+@query("phase_steps")
+def q_phase_steps(spark, sf):
+    waves = ecg_sections(spark, sf)[0]
+    ends = waves.select(*K, (F.col("start") + F.size("wave")).alias("end_point"))
+    return wf.step_filled(wf.phase_stream(waves, ECG_FS), ends).select(*K, "from_idx", "until", F.round("variance", 5).alias("variance"))
 
 
 @query("welch", _DFT + "SELECT 'v' || vec_id AS record_id, k::INT AS k, (k * 0.5)::DOUBLE AS f, round(p / (32 * 24.0), 8) + 0.0 AS p FROM w")

@@ -193,6 +193,14 @@ def newest_run(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(F.broadcast(rows.agg(F.max("run_ts").alias("run_ts"))), "run_ts")
 
 
+DISCORDS = "record_id STRING, section_idx INT, hr INT, rmssd DOUBLE, m INT, discord_index BIGINT, discord_score DOUBLE, wasserstein_metric DOUBLE"
+
+
+def read_json_results(spark: SparkSession, path: str, schema: str = DISCORDS) -> DataFrame:
+    """Rows of JSON results (one object a line, or one array a file); fields that are missing are null."""
+    return spark.read.schema(schema).option("multiLine", "false").json(path)
+
+
 def listing(spark: SparkSession, path: str) -> list[str]:
     """Names below a path: folders first, letters in either case alike, without hidden ones."""
     jvm = spark.sparkContext._jvm

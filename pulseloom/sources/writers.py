@@ -36,6 +36,11 @@ def save_legacy(sections: DataFrame, path: str, places: int = 2) -> None:
     sections.select(*columns).write.mode("overwrite").csv(path)
 
 
+def save_search_log(spark, scored: list[dict], path: str, run_ts: str) -> None:
+    """Settings of a search with their metrics, appended as JSON lines."""
+    spark.createDataFrame([(run_ts, json.dumps(s, sort_keys=True, default=float)) for s in scored], "run_ts string, result string").write.mode("append").json(path)
+
+
 def save_rr(rows: DataFrame, path: str) -> None:
     """Corrected R positions: tab-separated position and marker, in order within each file."""
     rows.select(F.concat_ws("\t", F.col("rposition").cast("string"), F.coalesce("marker", F.lit(""))).alias("value"), "record_id", "rposition").repartition("record_id").sortWithinPartitions("record_id", "rposition").select("record_id", "value").write.mode("overwrite").partitionBy("record_id").text(path)
