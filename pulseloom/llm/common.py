@@ -15,6 +15,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  a worker knows pa.compute only then
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 

@@ -80,6 +80,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def secrets_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts of op4, which SQL can express."""
+    return op4_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op10, which SQL can express."""
+    return op10_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_main_text": op2_main_text,
@@ -91,9 +101,39 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "secrets_counts": secrets_counts,
+    "quality_base": quality_base,
 }
 
+#: White space of the contracts, and words between it, in SQL.
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_WORDS = r"[^\x20\x09-\x0D]+"
+
 SQL = {
+    "op1_ngram_join": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS rn, regexp_extract_all(translate(coalesce(text, ''), '{UPPER_AZ}', '{LOWER_AZ}'), '{_WORDS}') AS w FROM documents),
+        sets AS (SELECT rn, doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM d),
+        nodes AS (SELECT list_sort(s) AS s, len(s) AS n, min(doc_id) AS node FROM sets WHERE len(s) > 0 GROUP BY ALL),
+        held AS (SELECT node, n, unnest(s) AS g FROM nodes),
+        pairs AS (SELECT a.node AS a, b.node AS b FROM held a JOIN held b ON a.g = b.g AND a.node < b.node AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+        reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        least AS (SELECT a AS node, least(a, min(b)) AS component_id FROM reach GROUP BY a)
+        SELECT doc_id, len(sets.s) AS n_shingles, CASE WHEN len(sets.s) = 0 THEN doc_id ELSE coalesce(least.component_id, nodes.node) END AS component_id
+        FROM sets LEFT JOIN nodes ON nodes.s = list_sort(sets.s) LEFT JOIN least ON least.node = nodes.node""",
+    "secrets_counts": r"""
+        SELECT doc_id, len(list_filter(regexp_extract_all(t, '([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 6)) AS n_assign,
+            len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS n_access, len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24)) AS n_hex
+        FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
+    "quality_base": f"""
+        WITH d AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS t FROM documents), w AS (SELECT rn, doc_id, t, regexp_extract_all(t, '{_WORDS}') AS w FROM d),
+        u AS (SELECT rn, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w),
+        g AS (SELECT rn, i, word AS a, lead(word) OVER o AS b, lead(word, 2) OVER o AS c FROM u WINDOW o AS (PARTITION BY rn ORDER BY i)),
+        k AS (SELECT rn, i, count(*) OVER (PARTITION BY rn, a, b, c) AS times FROM g WHERE c IS NOT NULL),
+        r AS (SELECT rn, count(DISTINCT i + o) AS n FROM k, range(3) AS r(o) WHERE times > 1 GROUP BY rn),
+        x AS (SELECT rn, unnest(string_split(t, chr(10))) AS line FROM d), l AS (SELECT rn, count(*) - count(DISTINCT line) AS n FROM x WHERE regexp_matches(line, '{_WORDS}') GROUP BY rn),
+        f AS (SELECT w.doc_id, len(w.w) AS n_words, coalesce(list_sum(list_transform(w.w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(w.t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(l.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM w LEFT JOIN l USING (rn) LEFT JOIN r USING (rn))
+        SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f""",
     "op5_line_dedup": f"""
         WITH lines AS (
             SELECT doc_id, rn, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
