@@ -23,11 +23,6 @@ def arrays(spark, sf) -> DataFrame:
     return wf.section_arrays(sectioned(spark, sf))
 
 
-def medians(spark, sf) -> DataFrame:
-    med = fr.rolling_median(measured(spark, sf)).withColumnRenamed("rolling_med", "m")
-    return wf.section_arrays(fr.section_join(med, FS, SECONDS, OVERLAP), "m")
-
-
 #: The ECG that the events stand for: 0.2 s for each event at 250 samples a second, a beat every 0.8 s whose R wave follows the event's value.
 #: By time in a cycle of 200 s: clean, from 90 s on at 0.3 of its height, from 100 s to 165 s noise; recordings begin at a place that their
 #: name decides.

@@ -234,3 +234,97 @@ def test_queries_beyond_one_part_are_answered(spark):
     got = [sorted(map(tuple, nearest(asked, df, 3, most_queries=n).collect())) for n in (200_000, 10, 1)]
     assert len(got[0]) == 45 * 3 and got[0] == got[1] == got[2]
     assert nearest(asked.limit(0), df, 3).collect() == []
+
+
+@pytest.mark.parametrize("n,block", [(41, 64), (127, 64), (128, 64), (150, 64), (148, 64), (300, 64), (300, 1000)])
+def test_rolling_median_in_blocks(spark, n, block):
+    """Ends that lie in another block than the rows they rule, and frames across borders."""
+    x = np.random.default_rng(n).normal(size=n)
+    both = samples(spark, x).union(samples(spark, x[:100] + 1, "b"))
+    got = {(r.record_id, r.idx): r.rolling_med for r in fr.rolling_median(both, block=block).collect()}
+    for name, y in (("a", x), ("b", x[:100] + 1)):
+        m = len(y)
+        for i in range(m):
+            want = np.median(y[0:41] if i < 20 else y[m - 41 : m - 1] if i + 21 >= m else y[i - 20 : i + 21])
+            assert got[name, i] == pytest.approx(want), (name, i)
+
+
+def test_numbers_over_blocks(spark):
+    """Positions and lengths are those of one window by key, in many partitions, with a key that holds most rows and null keys."""
+    df = spark.range(20_000, numPartitions=7).select(F.when(F.col("id") % 5 == 0, F.lit(None)).when(F.col("id") % 7 == 0, "rare").otherwise("hot").alias("k"), (F.xxhash64("id") % 1000).alias("t"), "id")
+    got = fr.numbered(df, "k", "t", "id")
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("k")
+    want = df.withColumns({"idx": F.row_number().over(w.orderBy("t", "id")) - 1, "n": F.count("*").over(w)})
+    assert rows(got.select("k", "id", "idx", "n")) == rows(want.select("k", "id", "idx", "n"))
+    assert fr.numbered(df.limit(0), "k", "t", "id").collect() == []
+
+
+def test_running_sum_over_many_keys(spark):
+    df = spark.range(200_000, numPartitions=9).select((F.xxhash64("id") % 1_000_003).alias("x")).distinct().withColumn("n", F.abs(F.col("x") % 5))
+    got = st.running_sum(df, "x", "n", "upto").toPandas().sort_values("x")
+    assert (got.n.cumsum() == got.upto).all()
+
+
+def test_quantiles(spark):
+    x = np.round(np.random.default_rng(2).normal(size=501), 1)
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "x double")
+    q = (0.0, 0.2, 0.25, 0.5, 0.977, 1.0)
+    assert list(prep.quantiles(df, "x", q).first()) == pytest.approx(np.quantile(x, q).tolist())
+    assert list(prep.quantiles(df.where("x is null"), "x", (0.5,)).first()) == [None]
+    assert rows(prep.impute(df, ["x"], "median").where("x is null")) == []
+
+
+def test_folds_hold_as_many_of_each_class(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 3 == 0], i // 10) for i in range(200)], "id long, y string, g long")
+    dealt = prep.folded(df, "stratified", 4, "id", "y").groupBy("y", "fold").count().collect()
+    for y in "ab":
+        sizes = [r["count"] for r in dealt if r.y == y]
+        assert len(sizes) == 4 and max(sizes) - min(sizes) <= 1
+    assert prep.folded(df, "leave_one_group_out", 0, "id", group="g").select("fold").distinct().count() == 20
+    split = prep.shuffled(df, "group_shuffle", 3, 0.3, "id", group="g").groupBy("split", "g").agg(F.count_distinct("test").alias("n"))
+    assert split.where("n > 1").isEmpty()
+    tests = prep.shuffled(df, "stratified_shuffle", 3, 0.25, "id", "y").where("test").groupBy("split", "y").count()
+    assert {r["count"] for r in tests.where("y = 'a'").collect()} == {33} and {r["count"] for r in tests.where("y = 'b'").collect()} == {17}
+
+
+def test_json_results_and_search_log(spark, tmp_path):
+    (tmp_path / "r.json").write_text('[{"record_id": "a", "section_idx": 1, "hr": 60, "discord_score": 2.5}]\n{"record_id": "b", "m": 9}\n')
+    got = rows(readers.read_json_results(spark, str(tmp_path / "r.json")).select("record_id", "section_idx", "discord_score", "m"))
+    assert got == [("a", 1, 2.5, None), ("b", None, None, 9)]
+    data = [(i, float(i % 2), float(i % 2) + (i % 7) / 10, i % 3) for i in range(90)]
+    df = spark.createDataFrame(data, "id int, label double, a double, fold int")
+    model, best, scored = mo.search_metrics(df, ["a"], "forest", [{"numTrees": 2}, {"numTrees": 3}])
+    assert len(scored) == 2 and {"accuracy", "mcc", "f1_macro"} <= set(scored[0]) and best in ({"numTrees": 2}, {"numTrees": 3}) and model.stages
+    writers.save_search_log(spark, scored, str(tmp_path / "log"), "run1")
+    writers.save_search_log(spark, scored, str(tmp_path / "log"), "run2")
+    assert spark.read.json(str(tmp_path / "log")).count() == 4
+
+
+def test_pressure_table_gates_noise(spark):
+    """Noise is marked invalid and not measured; the means of clean sections are those of the pulse they are made of."""
+    fs, t = 250.0, np.arange(5000) / 250.0
+    ph = t % 0.8
+    clean = 75 + 40 * np.where(ph < 0.12, np.sin(np.pi / 2 * ph / 0.12) ** 2, np.exp(-(ph - 0.12) * 3)) + 5 * np.exp(-(((ph - 0.4) / 0.04) ** 2))
+    noise = 80 + 20 * np.random.default_rng(0).normal(size=5000)
+    lad, car = np.full(5000, 0.5), 2 + np.sin(2 * np.pi * t / 0.8)
+    df = spark.createDataFrame([("a", 0, 0, clean.tolist(), lad.tolist(), car.tolist()), ("a", 1, 4000, noise.tolist(), lad.tolist(), car.tolist())], "record_id string, wave_section int, start long, wave array<double>, lad array<double>, carotid array<double>")
+    got = {r.wave_section: r.asDict() for r in wf.pressure_table(df, fs).collect()}
+    assert got[1]["invalid"] == 1 and got[1]["HR"] is None and got[1]["SBP"] is None
+    ok = got[0]
+    assert ok["invalid"] == 0 and ok["HR"] == 75 and ok["beats"] >= 20
+    assert ok["SBP"] == pytest.approx(clean.max(), abs=0.5) and ok["DBP"] == pytest.approx(clean.min(), abs=6)
+    assert ok["ap_MAP"] == pytest.approx(ok["DBP"] + (ok["SBP"] - ok["DBP"]) / 3) and ok["shock_gap"] == pytest.approx(ok["true_MAP"] - ok["ap_MAP"])
+    assert ok["true_MAP"] == pytest.approx(clean.mean(), abs=2) and ok["lad_mean"] == pytest.approx(0.5) and ok["cvr"] == pytest.approx(ok["true_MAP"] / 0.5)
+    assert ok["flow_div"] == pytest.approx(4, abs=0.2) and ok["lad_dia_neg"] == 0 and ok["lad_pi"] == pytest.approx(0) and ok["ri"] is not None
+    assert ok["p1_p2"] == pytest.approx(ok["p1"] / ok["p2"], rel=0.05) and 0 < ok["dni"] < 1 and ok["sys_sl"] > 0 > ok["dia_sl"]
+
+
+def test_engine_on_the_events_has_every_kind_of_section(spark):
+    """The registered binding accepts, rejects and goes stale."""
+    from pulseloom.plans.waveform_queries import ecg_folded
+
+    got = ecg_folded(spark, "/root/testdata/sf0.01")[2].groupBy("valid", "stale").count().collect()
+    kinds = {(r.valid, r.stale) for r in got}
+    assert {(1, False), (1, True), (0, False), (0, None)} <= kinds
