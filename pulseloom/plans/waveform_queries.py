@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pulseloom.operators import framing as fr
 from pulseloom.operators import stats as st
 from pulseloom.operators import waveforms as wf
-from pulseloom.plans.framing_queries import FS, LIN, OVERLAP, PEAKS, PSD, SEC, SECONDS, measured, peaks, r6, sectioned, signal
+from pulseloom.plans.framing_queries import FS, LIN, OVERLAP, PEAKS, PSD, SEC, SECONDS, SIG, measured, peaks, r6, sectioned, signal
 from pulseloom.plans.registry import query
 
 K = fr.KEYS
@@ -30,12 +30,26 @@ ECG_FS, PER_EVENT, BEAT_S, CYCLE = 250.0, 50, 0.8, 200.0
 _WAVES = ((0.16, 0.02, 0.12), (0.235, 0.008, -0.12), (0.29, 0.01, -0.2), (0.48, 0.035, 0.3))
 
 
+#: The same ECG, its sections and their local maxima (middles of flat tops) in SQL.
+_BELL = "exp(-pow((phase - {}::DOUBLE) / {}::DOUBLE, 2) / 2)"
+ECG_SQL = SIG + f""", raw AS (SELECT record_id, idx * {PER_EVENT} + j AS idx, n * {PER_EVENT} AS n, v AS value, (('0x' || substr(md5(record_id), 1, 8))::BIGINT % {int(CYCLE)}) AS off FROM sig JOIN num USING (record_id), range({PER_EVENT}) AS u(j)),
+timed AS (SELECT *, idx / 250::DOUBLE AS t, (idx / 250::DOUBLE + off) % {CYCLE}::DOUBLE AS place, (idx / 250::DOUBLE) % {BEAT_S}::DOUBLE AS phase, sin(0.37::DOUBLE * (idx * (idx % 1009) % 8191)) AS noise FROM raw),
+ecg AS (SELECT record_id, idx, n, round(CASE WHEN place >= 100 AND place < 165 THEN 0.5::DOUBLE * noise ELSE (CASE WHEN place >= 90 AND place < 100 THEN 0.3 ELSE 1 END)::DOUBLE * ((1.1::DOUBLE + 0.001::DOUBLE * value) * {_BELL.format(0.26, 0.009)} {' '.join(f'+ ({h})::DOUBLE * {_BELL.format(a, w)}' for a, w, h in _WAVES)}) + 0.02::DOUBLE * sin(pi() / 2 * t) + 0.004::DOUBLE * noise END, 6) AS v FROM timed),
+es AS (SELECT record_id, k::INT AS wave_section, idx, v FROM ecg, unnest(range(greatest(0, ceil((n - 2500) / 2000.0))::BIGINT)) AS u(k) WHERE idx >= k * 2000 AND idx < k * 2000 + 2500),
+er AS (SELECT record_id, wave_section, run, min(idx) AS a, max(idx) AS b, any_value(v) AS v FROM (SELECT *, sum(fresh) OVER (PARTITION BY record_id, wave_section ORDER BY idx) AS run FROM (SELECT *, CASE WHEN v = lag(v) OVER (PARTITION BY record_id, wave_section ORDER BY idx) THEN 0 ELSE 1 END AS fresh FROM es)) GROUP BY record_id, wave_section, run),
+tops AS (SELECT record_id, wave_section, (a + b) // 2 AS p, v FROM (SELECT *, lag(v) OVER w AS before, lead(v) OVER w AS after FROM er WINDOW w AS (PARTITION BY record_id, wave_section ORDER BY run)) WHERE v > before AND v > after)"""
+
+
+def _offset() -> F.Column:
+    return F.conv(F.substring(F.md5(F.col("record_id").cast("binary")), 1, 8), 16, 10).cast("long") % int(CYCLE)
+
+
 def ecg(spark, sf) -> DataFrame:
     """(record_id, idx, v, n) of the ECG that the events stand for."""
     e = measured(spark, sf).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(PER_EVENT - 1))))
     rows = e.select("record_id", (F.col("idx") * PER_EVENT + F.col("_j")).alias("idx"), "v", (F.col("n") * PER_EVENT).alias("n"))
     t, i = F.col("idx") / ECG_FS, F.col("idx")
-    place, phase = F.pmod(t + F.crc32("record_id") % int(CYCLE), F.lit(CYCLE)), F.pmod(t, F.lit(BEAT_S))
+    place, phase = F.pmod(t + _offset(), F.lit(CYCLE)), F.pmod(t, F.lit(BEAT_S))
     bell = lambda at, width: F.exp(-F.pow((phase - at) / width, F.lit(2.0)) / 2)
     beat = (1.1 + 0.001 * F.col("v")) * bell(0.26, 0.009)
     for at, width, height in _WAVES:
@@ -175,7 +189,14 @@ def q_pqrst(spark, sf):
     return wf.extract_beats(*ecg_folded(spark, sf), ECG_FS).withColumn("isoelectric", F.round("isoelectric", 5))
 
 
-@query("r_peaks")
+@query("r_peaks", f"""WITH RECURSIVE {ECG_SQL}, q AS (SELECT record_id, wave_section, quantile_cont(v, 0.94) AS low, quantile_cont(v, 0.99) AS least FROM es GROUP BY ALL),
+ranked AS (SELECT record_id, wave_section, p, v, least, row_number() OVER (PARTITION BY record_id, wave_section ORDER BY v DESC, p DESC) AS k FROM tops JOIN q USING (record_id, wave_section) WHERE v >= low),
+walk AS (SELECT DISTINCT record_id, wave_section, 0::BIGINT AS k, []::BIGINT[] AS kept FROM ranked UNION ALL SELECT r.record_id, r.wave_section, r.k, CASE WHEN len(list_filter(w.kept, lambda x: abs(x - r.p) < 50)) > 0 THEN w.kept ELSE list_append(w.kept, r.p) END FROM walk w JOIN ranked r ON r.record_id = w.record_id AND r.wave_section = w.wave_section AND r.k = w.k + 1),
+kept AS (SELECT record_id, wave_section, unnest(arg_max(kept, k)) AS p FROM walk GROUP BY record_id, wave_section), k AS (SELECT * FROM kept JOIN ranked USING (record_id, wave_section, p)),
+near AS (SELECT k.*, s.idx, s.v AS x FROM k JOIN es s ON s.record_id = k.record_id AND s.wave_section = k.wave_section),
+ends AS (SELECT record_id, wave_section, p, coalesce(max(idx) FILTER (WHERE idx < p AND x > v), -1) AS l, coalesce(min(idx) FILTER (WHERE idx > p AND x > v), 9e18::BIGINT) AS h FROM near GROUP BY record_id, wave_section, p),
+prom AS (SELECT near.record_id, near.wave_section, p, v, least, v - greatest(min(x) FILTER (WHERE idx <= p AND idx > l), min(x) FILTER (WHERE idx >= p AND idx < h)) AS prominence FROM near JOIN ends USING (record_id, wave_section, p) GROUP BY near.record_id, near.wave_section, p, v, least)
+SELECT record_id, wave_section, p AS r_idx, round(v, 6) AS height, round(prominence, 6) AS prominence FROM prom WHERE prominence >= least""")
 def q_r_peaks(spark, sf):
     return wf.find_peaks(ecg_sections(spark, sf)[0], ECG_FS, "r").select(*K, "r_idx", r6("height"), r6("prominence"))
 
@@ -195,7 +216,7 @@ def pressure(spark, sf) -> DataFrame:
     e = measured(spark, sf).withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(PER_EVENT - 1))))
     rows = e.select("record_id", (F.col("idx") * PER_EVENT + F.col("_j")).alias("idx"), "v", (F.col("n") * PER_EVENT).alias("n"))
     t, i = F.col("idx") / ECG_FS, F.col("idx")
-    place, phase = F.pmod(t + F.crc32("record_id") % int(CYCLE), F.lit(CYCLE)), F.pmod(t, F.lit(BEAT_S))
+    place, phase = F.pmod(t + _offset(), F.lit(CYCLE)), F.pmod(t, F.lit(BEAT_S))
     rise = F.when(phase < 0.12, F.pow(F.sin(math.pi / 2 * phase / 0.12), F.lit(2.0))).otherwise(F.exp(-(phase - 0.12) * 3))
     bump = lambda at, width: F.exp(-F.pow((phase - at) / width, F.lit(2.0)))
     noise = F.sin(0.37 * (i * (i % 1009) % 8191))
