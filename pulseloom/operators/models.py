@@ -18,12 +18,13 @@ from pulseloom.operators.metrics import summary
 
 def estimator(kind: str, **options):
     """svm (one-vs-rest linear), forest, boosted (one-vs-rest), logistic."""
+    weight = {"weightCol": options["weightCol"]} if "weightCol" in options else {}
     if kind == "svm":
-        return OneVsRest(classifier=LinearSVC(maxIter=options.pop("maxIter", 20), **options), labelCol="label")
+        return OneVsRest(classifier=LinearSVC(**{"maxIter": 20} | {k: v for k, v in options.items() if k != "weightCol"}), labelCol="label", parallelism=4, **weight)
     if kind == "forest":
         return RandomForestClassifier(**{"numTrees": 50, "maxDepth": 6, "seed": 42} | options)
     if kind == "boosted":
-        return OneVsRest(classifier=GBTClassifier(**{"maxIter": 10, "maxDepth": 4, "seed": 42} | options), labelCol="label")
+        return OneVsRest(classifier=GBTClassifier(**{"maxIter": 10, "maxDepth": 4, "seed": 42} | {k: v for k, v in options.items() if k != "weightCol"}), labelCol="label", parallelism=4, **weight)
     if kind == "logistic":
         return LogisticRegression(**{"maxIter": 50} | options)
     raise ValueError(kind)
