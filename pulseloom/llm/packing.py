@@ -127,7 +127,8 @@ def pack(docs: DataFrame, spec: str, window: int = 2048, quantum: int = 128, las
 
     A document's ids are those of the tokenizer file ``spec`` without special tokens, then ``last_id``; ``ids`` are
     a piece's ids as unsigned little-endian 32-bit numbers. Only the last sequence may be short. ``shares`` are target proportions by
-    source (others: their share of the tokens); while all queues last, each window holds them to within a quantum.
+    source; the others divide what is left of one (or one, if nothing is) by their tokens. While all queues last, each window holds
+    the proportions to within a quantum.
 
     Null texts count as empty (one piece of one id), null sources are a queue of their own, repeated rows and
     null ids each are packed, other columns are not read, an empty table gives an empty result. Sources named in
@@ -144,8 +145,9 @@ def pack(docs: DataFrame, spec: str, window: int = 2048, quantum: int = 128, las
     totals.append((parts.agg(F.sum("tokens")).first()[0] or 0) - sum(totals))
     wanted = None
     if shares is not None:
-        whole = max(1, sum(totals))
-        wanted = [shares.get(q, t / whole) for q, t in zip(numbers, totals)] + [totals[-1] / whole]
+        open_ = sum(t for q, t in zip([*numbers, None], totals) if q not in shares)
+        left = max(0.0, 1.0 - sum(shares.get(q, 0.0) for q in numbers)) or 1.0
+        wanted = [shares[q] if q in shares else left * t / max(1, open_) for q, t in zip([*numbers, None], totals)]
     plan = Schedule(totals, quantum, wanted)
     numbers_of = docs.sparkSession.createDataFrame(list(numbers.items()), "queue string, number int") if numbers else docs.sparkSession.createDataFrame([], "queue string, number int")
     numbered = parts.join(F.broadcast(numbers_of), "queue", "left").withColumn("number", F.coalesce("number", F.lit(len(numbers))))
