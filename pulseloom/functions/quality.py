@@ -203,7 +203,7 @@ def history_gate(state: dict, section: dict, peaks: list[int], mask: list[int],
 
 
 def step(state: dict, section: dict, fs: float, limits: str = "v4") -> tuple[dict, dict]:
-    """One section: {start, wave, med, features, beats}. Returns the new state and {valid, reasons, peaks, mask, new, stale, wdist, bad_ratio}.
+    """One section: {start, wave, med, features, beats}; beats may be None and are then worked out if history asks for them. Returns the new state and {valid, reasons, peaks, mask, new, stale, wdist, bad_ratio}.
 
     Of the peaks that the section shares with the last stored ones, the newest opens its new peaks and is judged again. New peaks of
     a section that fails against history are stored as not valid; those of one that fails before are not stored.
@@ -225,8 +225,8 @@ def step(state: dict, section: dict, fs: float, limits: str = "v4") -> tuple[dic
         good, mask = True, [1] * len(peaks)
         if stale or own["hjorth"] > 2 or far > 2:
             beats = section["beats"]
-            if beats is not None and k >= len(beats["of"]):  # an overlap of more than half a section
-                beats, k = beats_of(section["wave"], peaks, fs), 0
+            if beats is None or k >= len(beats["of"]):  # history asks for what the section's own measures did not
+                beats = beats_of(section["wave"], own["peaks"], fs, k + 1)
             good, mask, _, out["bad_ratio"] = beat_gate(state, beats, k, len(peaks))
             out["reasons"] += [] if good else ["Bad Beat"]
         stored = good

@@ -91,6 +91,13 @@ def with_length(samples: DataFrame) -> DataFrame:
     return samples.join(samples.groupBy("record_id").agg((F.max("idx") + 1).alias("n")), "record_id")
 
 
+def in_blocks(samples: DataFrame, size: int, block: int) -> DataFrame:
+    """Rows of their own block (_own) and, near a border, also of the next one or the one before: _at is the block that a row is for."""
+    at, i = F.floor(F.col("idx") / block).cast("long"), F.col("idx") % block
+    copies = F.filter(F.array(at, F.when(i >= block - size, at + 1), F.when((i < size // 2) & (at > 0), at - 1)), lambda x: x.isNotNull())
+    return with_length(samples).withColumns({"_own": at, "_at": F.explode(copies)})
+
+
 def rolling_median(samples: DataFrame, size: int = 41, block: int = BLOCK) -> DataFrame:
     """Adds ``rolling_med``: the median of a centred frame; the first half takes the first frame, and the last rows
     take the frame that ends before the last sample (one sample shorter).
@@ -99,9 +106,7 @@ def rolling_median(samples: DataFrame, size: int = 41, block: int = BLOCK) -> Da
     of one after, so that no task holds a recording.
     """
     half, keep_n = size // 2, "n" in samples.columns
-    at, i = F.floor(F.col("idx") / block).cast("long"), F.col("idx") % block
-    copies = F.filter(F.array(at, F.when(i >= block - size, at + 1), F.when((i < half) & (at > 0), at - 1)), lambda x: x.isNotNull())
-    spread = with_length(samples).withColumns({"_own": at, "_at": F.explode(copies)})
+    spread = in_blocks(samples, size, block)
     w = Window.partitionBy("record_id", "_at").orderBy("idx")
     whole = Window.partitionBy("record_id", "_at")
     marked = spread.withColumns({"_mid": F.percentile("v", F.lit(0.5)).over(w.rowsBetween(-half, half)), "_late": F.percentile("v", F.lit(0.5)).over(w.rowsBetween(-half, half - 1))})

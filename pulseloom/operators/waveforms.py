@@ -75,6 +75,29 @@ def per_sample(sections: DataFrame, kernel, name: str = "y") -> DataFrame:
     return whole.select(*fr.KEYS, "start", F.posexplode(name).alias("_i", name)).select(*fr.KEYS, (F.col("start") + F.col("_i")).alias("idx"), name)
 
 
+def rolling_medians(samples: DataFrame, size: int = 41, block: int = fr.BLOCK) -> DataFrame:
+    """(record_id, idx, v, n, rolling_med): framing.rolling_median for dense signals without gaps, by a kernel over each block of a recording.
+    Recordings shorter than a frame have none."""
+
+    def median(rows: pa.Table) -> pa.Table:
+        idx, at, n = rows.column("idx").to_numpy(), rows.column("_at")[0].as_py(), rows.column("n")[0].as_py()
+        order = np.argsort(idx)
+        idx, v, half = idx[order], rows.column("v").to_numpy()[order].astype(float), size // 2
+        out = np.full(len(v), np.nan)
+        if len(v) >= size:
+            out[half : len(v) - half] = np.median(np.lib.stride_tricks.sliding_window_view(v, size), axis=1)
+            if idx[0] == 0:
+                out[:half] = out[half]
+            if idx[-1] == n - 1:
+                out[len(v) - half - 1 :] = np.median(v[len(v) - size : len(v) - 1])
+        own = idx // block == at
+        many = int(own.sum())
+        return pa.table([pa.array([rows.column("record_id")[0].as_py()] * many, pa.string()), pa.array(idx[own]), pa.array(v[own]), pa.array([n] * many, pa.int64()), pa.array(out[own], from_pandas=True)], ["record_id", "idx", "v", "n", "rolling_med"])
+
+    spread = fr.in_blocks(samples, size, block).select("record_id", "idx", "v", "n", "_at")
+    return spread.groupBy("record_id", "_at").applyInArrow(median, "record_id string, idx long, v double, n long, rolling_med double")
+
+
 def find_peaks(sections: DataFrame, fs: float, kind: str = "r") -> DataFrame:
     """(keys, r_idx, height, prominence). Kinds: r (ECG), systolic (pressure), discord (ECG, looser), phase."""
 
@@ -213,13 +236,14 @@ _MEASURES = ("kurtosis", "hjorth", "ratio", "entropy", "f", "band", "peaks", "pr
 
 def quality_rows(sections: DataFrame, medians: DataFrame, fs: float) -> DataFrame:
     """What each section brings to the fold, worked out side by side: measures, peaks, its beats' profile distances and faults, and its
-    samples. medians: sections of the rolling median. The profile is only taken of sections that no measure of their own rejects."""
+    samples. medians: sections of the rolling median. The profile is only taken of turbulent sections that no measure of their own
+    rejects; the fold takes that of the few others that follow a long silence."""
     both = sections.join(medians.select(*fr.KEYS, F.col("wave").alias("med")), list(fr.KEYS))
 
     def kernel(x, start, med):
         own = qu.features(x, med, fs)
         early = sum(p < len(x) // 2 for p in own["peaks"])
-        beats = qu.beats_of(x, own["peaks"], fs, early + 1) if not qu.first_gate(own, True) and len(own["peaks"]) <= 100 else None
+        beats = qu.beats_of(x, own["peaks"], fs, early + 1) if own["hjorth"] > 2 and not qu.first_gate(own, True) and len(own["peaks"]) <= 100 else None
         return [(start, x, med, *(own[k] for k in _MEASURES), *((beats[k] for k in ("faults", "of", "far", "med", "mad")) if beats else (None,) * 5))]
 
     return per_section(both, kernel, QUALITY[len(KEYS) + 2 :], ("med",))

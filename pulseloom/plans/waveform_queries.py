@@ -61,7 +61,7 @@ def ecg(spark, sf) -> DataFrame:
 
 def ecg_sections(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Sections of 10 s of the ECG, and of its rolling median."""
-    rows = fr.section_join(fr.rolling_median(ecg(spark, sf)), ECG_FS, SECONDS, OVERLAP).select("record_id", "wave_section", "idx", "v", "rolling_med")
+    rows = fr.section_join(wf.rolling_medians(ecg(spark, sf)), ECG_FS, SECONDS, OVERLAP).select("record_id", "wave_section", "idx", "v", "rolling_med")
     both = rows.groupBy(*K).agg(F.array_sort(F.collect_list(F.struct("idx", "v", "rolling_med"))).alias("r"))
     part = lambda c: both.select(*K, F.col("r")[0]["idx"].alias("start"), F.transform("r", lambda x: x[c]).alias("wave"))
     return part("v"), part("rolling_med")

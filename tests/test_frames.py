@@ -249,6 +249,14 @@ def test_rolling_median_in_blocks(spark, n, block):
             assert got[name, i] == pytest.approx(want), (name, i)
 
 
+@pytest.mark.parametrize("n,block", [(41, 64), (128, 64), (150, 64), (300, 64), (300, 1000)])
+def test_rolling_medians_of_dense_signals(spark, n, block):
+    both = samples(spark, np.random.default_rng(n).normal(size=n)).union(samples(spark, np.random.default_rng(1).normal(size=90), "b"))
+    got = {(r.record_id, r.idx): r.rolling_med for r in wf.rolling_medians(both, block=block).collect()}
+    want = {(r.record_id, r.idx): r.rolling_med for r in fr.rolling_median(both, block=block).collect()}
+    assert got == pytest.approx(want)
+
+
 def test_numbers_over_blocks(spark):
     """Positions and lengths are those of one window by key, in many partitions, with a key that holds most rows and null keys."""
     df = spark.range(20_000, numPartitions=7).select(F.when(F.col("id") % 5 == 0, F.lit(None)).when(F.col("id") % 7 == 0, "rare").otherwise("hot").alias("k"), (F.xxhash64("id") % 1000).alias("t"), "id")
