@@ -64,13 +64,28 @@ def section_join(samples: DataFrame, fs: float, seconds: float, overlap: float =
     return bounded.where({"left": (p >= a) & (p < b), "none": (p > a) & (p < b), "both": (p >= a) & (p <= b)}[closed])
 
 
+def placed(rows: DataFrame, *order: str, bits: int = 10) -> DataFrame:
+    """Adds ``_b``, the row's block (0 on) of at most 2^``bits`` in ascending ``order``, nulls first.
+
+    A block depends on the row alone, not on the task that reads it, so plans that read the rows again put each into the same block:
+    bounds are the rows of least hash, of which at most 2^bits meet in one task, and are searched by halves. Rows of equal order share
+    a block. (Ids of range partitions don't do: each plan samples bounds and merges partitions of its own.)
+    """
+    most = (1 << bits) - 1
+    bounds = rows.select(*order).orderBy(F.xxhash64(*order), *order).limit(most).agg(F.sort_array(F.collect_list(F.struct(*order))).alias("_bounds")).scalar()
+    out = rows.withColumn("_b", F.lit(0))
+    for k in reversed(range(bits)):
+        out = out.withColumn("_b", F.col("_b") + F.when(F.get(bounds, F.col("_b") + (1 << k) - 1) <= F.struct(*order), 1 << k).otherwise(0))
+    return out
+
+
 def numbered(rows: DataFrame, key: str, *order: str) -> DataFrame:
     """Adds ``idx`` (0 on) in ``order`` within each key, and the key's number of rows ``n``.
 
-    Rows are range-partitioned by key and order, numbered inside each block and moved by the blocks before, so that no task holds a
+    Rows are put into blocks by key and order, numbered inside each block and moved by the blocks before, so that no task holds a
     key. ``order`` must tell the rows of a key apart. Only one row for each block and key meets in the sums over blocks.
     """
-    blocks = rows.repartitionByRange(key, *order).withColumn("_b", F.spark_partition_id())
+    blocks = placed(rows, key, *order)
     own = blocks.withColumn("_k", F.row_number().over(Window.partitionBy("_b", key).orderBy(*order)))
     w = Window.partitionBy(key)
     counts = blocks.groupBy(key, "_b").agg(F.count("*").alias("_n"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseloom.functions.scalars import clean
-from pulseloom.operators.framing import ordered
+from pulseloom.operators.framing import ordered, placed
 
 
 def safe_mean(x: Column, places: int) -> Column:
@@ -162,9 +162,9 @@ def bad_ratio(peaks: DataFrame, *keys: str, most: float = 0.25) -> DataFrame:
 
 
 def running_sum(rows: DataFrame, order: str, value: str, name: str) -> DataFrame:
-    """Adds the sum of ``value`` up to each row in ascending ``order`` (distinct). Range-partitioned blocks are summed side by
+    """Adds the sum of ``value`` up to each row in ascending ``order`` (distinct). Blocks in that order are summed side by
     side and then shifted by the blocks before; only one row a block meets in one task."""
-    blocks = rows.repartitionByRange(order).withColumn("_b", F.spark_partition_id())
+    blocks = placed(rows, order)
     part = blocks.withColumn("_part", F.sum(value).over(Window.partitionBy("_b").orderBy(order)))
     shift = F.coalesce(F.sum("_t").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = blocks.groupBy("_b").agg(F.sum(value).alias("_t")).select("_b", shift.alias("_o"))

@@ -336,3 +336,16 @@ def test_engine_on_the_events_has_every_kind_of_section(spark):
     got = ecg_folded(spark, "/root/testdata/sf0.01")[2].groupBy("valid", "stale").count().collect()
     kinds = {(r.valid, r.stale) for r in got}
     assert {(1, False), (1, True), (0, False), (0, None)} <= kinds
+
+
+def test_numbers_when_each_plan_reads_for_itself(spark):
+    df = spark.range(0, 400_000, 1, 8).select((F.col("id") % 3).cast("string").alias("k"), (F.xxhash64("id") % 50_000).alias("t"), "id", F.repeat(F.lit("x"), (F.col("id") % 40).cast("int")).alias("payload"))
+    got = fr.numbered(df, "k", "t", "id").groupBy("k").agg(F.count("*").alias("rows"), F.countDistinct("idx").alias("own"), F.max("idx").alias("last"), F.max("n").alias("n"), F.max("payload").alias("longest"))
+    assert [tuple(r)[:5] for r in got.orderBy("k").collect()] == [("0", 133_334, 133_334, 133_333, 133_334), ("1", 133_333, 133_333, 133_332, 133_333), ("2", 133_333, 133_333, 133_332, 133_333)]
+
+
+def test_blocks_are_in_order(spark):
+    df = spark.range(0, 3000, 1, 4).select(F.when(F.col("id") > 9, F.col("id") % 700).alias("t"), "id")
+    got = [(r.t is not None, r.t, r.id, r._b) for r in fr.placed(df, "t", "id", bits=4).collect()]
+    got.sort(key=lambda r: (r[0], r[1] or 0, r[2]))
+    assert [r[3] for r in got] == sorted(r[3] for r in got) and {r[3] for r in got} == set(range(16))
