@@ -369,14 +369,15 @@ def pressure_sections(beats: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- matrix profiles
 
 
-def profiles(sections: DataFrame, m: int) -> DataFrame:
-    """(keys, i, distance, nn): the matrix profile of each section."""
+def profiles(sections: DataFrame, m: int, strict: bool = False) -> DataFrame:
+    """(keys, i, distance, nn): the matrix profile of each section; strict: of flat windows as SQL has it."""
 
     def kernel(x, start):
-        d, near = kn.matrix_profile(x, m)
-        return [(i, float(v), int(k)) for i, (v, k) in enumerate(zip(d, near)) if k >= 0]
+        d, near = kn.matrix_profile(x, m, strict)
+        return [(i, float(v), int(k)) for i, (v, k) in enumerate(zip(d, near)) if k >= 0 or strict]
 
-    return per_section(sections, kernel, "i int, distance double, nn int")
+    found = per_section(sections, kernel, "i int, distance double, nn int")
+    return found.withColumn("distance", F.coalesce("distance", F.lit(float("nan")))) if strict else found
 
 
 def section_discords(sections: DataFrame, peaks: DataFrame, fs: float) -> DataFrame:
@@ -417,11 +418,11 @@ def regime_changes(sections: DataFrame, m: int, count: int) -> DataFrame:
     return per_section(sections, kernel, "place int, at long")
 
 
-def pattern_matches(sections: DataFrame, query: list[float], deviations: float = 4.0) -> DataFrame:
-    """(keys, at, distance): where a pattern recurs in each section."""
+def pattern_matches(sections: DataFrame, query: list[float], deviations: float = 4.0, strict: bool = False) -> DataFrame:
+    """(keys, at, distance): where a pattern recurs in each section; strict: by the rule of the queries' SQL."""
 
     def kernel(x, start):
-        return [(start + k, d) for k, d in kn.matches(query, x, deviations)] if len(x) >= len(query) else []
+        return [(start + k, d) for k, d in kn.matches(query, x, deviations, strict)] if len(x) >= len(query) else []
 
     return per_section(sections, kernel, "at long, distance double")
 

@@ -166,3 +166,28 @@ def test_template_and_phase():
     x, _ = ecg(0.9)
     assert abs(be.template(x, 250.0)["r_peak"] - 125) <= 1
     assert kn.phase_variance(kn.phase(np.sin(2 * np.pi * 10 * T), FS, 10)[500:1500:100]) < 1e-3
+
+
+def test_windows_that_are_each_others_nearest_are_equally_far():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        d, near = kn.matrix_profile(np.round(rng.normal(50, 30, 100), 2), 10, strict=True)
+        for i, k in enumerate(near):
+            assert near[k] != i or d[k] == d[i]
+
+
+def test_equal_windows_are_equal_matches():
+    bump = [0.0, 1.0, 3.0, 6.0, 3.0, 1.0, 0.0, -1.0, 0.0, 0.0]
+    x = np.concatenate([np.round(np.random.default_rng(4).normal(0, 9, 50), 2), *[[7.3] * 6 + [2.1] * 14] * 3])
+    profile = kn.distance_profile(bump, x)
+    assert profile[50:60].tolist() == profile[70:80].tolist() == profile[90:100].tolist()
+
+
+def test_flat_windows_by_the_rule_of_sql():
+    x = np.concatenate([np.round(np.random.default_rng(5).normal(0, 9, 40), 2), [3.0] * 12, [1.0, 2.0, 5.0]])
+    d, _ = kn.matrix_profile(x, 10, strict=True)
+    assert np.flatnonzero(np.isnan(d)).tolist() == [40, 41, 42]
+    found = [k for k, _ in kn.matches(x[:10], x, strict=True)]
+    profile = kn.distance_profile(x[:10], x, strict=True)
+    near = lambda k: [profile[o] for o in range(max(0, k - 3), min(len(profile), k + 4)) if not np.isnan(profile[o])]
+    assert found[0] == 0 and sorted(found) == [k for k in range(len(profile)) if profile[k] == min(near(k), default=0)]
