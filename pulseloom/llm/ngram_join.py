@@ -28,6 +28,8 @@ from pulseloom.llm.toccurrence import roots, spanning_links
 
 #: Bytes of text shingled at once; postings a task holds before it sends them; sets in a part of a block.
 SLICE, FLUSH, PART = 2 << 20, 1_000_000, 512
+#: Parts that a large block is cut into for the search of what is still apart, and bytes of a part's hashes; PART sets are a part in any case.
+COPIES, PART_BYTES = 8, 16 << 20
 #: Documents up to which the list of wanted ids is broadcast (8 bytes each); beyond, the texts are joined to it.
 WANTED = 2_000_000
 
@@ -264,9 +266,16 @@ def _grouped(work: DataFrame, percent: int) -> DataFrame:
     return work.groupBy("work").applyInArrow(run, "node long, component long, root long")
 
 
-def _part(node: str, size, salt: int):
+def _part(node: str, size, salt: int, part=PART):
     """The part of a block of ``size`` sets that a set is in."""
-    return F.pmod(F.xxhash64(node, F.lit(salt)), F.ceil(size / PART)).cast("int")
+    return F.pmod(F.xxhash64(node, F.lit(salt)), F.ceil(size / part)).cast("int")
+
+
+def _wider(sets: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(component, part): sets in a part where two parts meet. Every set is sent once for each part of the other side, so parts widen with
+    the block, up to about COPIES of them, while a part's hashes take PART_BYTES at most."""
+    sized = sets.select("node", "n").join(blocks, "node").groupBy("component").agg(F.count("*").alias("k"), F.avg("n").alias("n"))
+    return sized.select("component", F.greatest(F.lit(PART), F.least(F.ceil(F.col("k") / COPIES), F.floor(F.lit(PART_BYTES) / (8 * F.col("n"))))).cast("long").alias("part"))
 
 
 def _links(sets: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
@@ -290,9 +299,11 @@ def _links(sets: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
     found = found.unionByName(known)
     if open_.isEmpty():
         return found
+    open_ = written(open_.join(_wider(sets, labels.select("node", "component").join(open_, "component", "left_semi")), "component"), "parts")
     rest = sets.join(labels.select("node", "component", "label").join(open_, "component"), "node")
-    ask = rest.where("label <> main").withColumns({"side": F.lit(0), "own": _part("node", F.col("minors"), 3), "others": F.sequence(F.lit(0), F.ceil(F.col("m") / PART).cast("int") - 1)})
-    held = rest.withColumns({"side": F.lit(1), "own": _part("node", F.col("m"), 4), "others": F.sequence(F.lit(0), F.ceil(F.col("minors") / PART).cast("int") - 1)})
+    part = F.col("part")
+    ask = rest.where("label <> main").withColumns({"side": F.lit(0), "own": _part("node", F.col("minors"), 3, part), "others": F.sequence(F.lit(0), F.ceil(F.col("m") / part).cast("int") - 1)})
+    held = rest.withColumns({"side": F.lit(1), "own": _part("node", F.col("m"), 4, part), "others": F.sequence(F.lit(0), F.ceil(F.col("minors") / part).cast("int") - 1)})
     name = lambda asked, kept: F.concat_ws(":", "component", asked, kept)
     pairs = ask.withColumn("o", F.explode("others")).withColumn("work", name("own", "o")).unionByName(held.withColumn("o", F.explode("others")).withColumn("work", name("o", "own")))
     return found.unionByName(_searched(pairs.select("work", "node", "hashes", "side", "label"), percent))

@@ -103,6 +103,28 @@ def test_family_of_several_parts(spark, monkeypatch):
     assert len({r[2] for r in want}) == 3
 
 
+def test_copies_of_a_large_block_are_bounded(spark, monkeypatch):
+    """Each set of a block is sent once for each part of the other side: few wide parts, whatever the block's size."""
+    monkeypatch.setattr(ngram_join, "PART", 4)
+    monkeypatch.setattr(ngram_join, "COPIES", 2)
+    rows, base = [], sentence(70, 1).split()
+    for chain in range(3):
+        words = [*base[: 62 - 4 * chain], *sentence(8 + 4 * chain, 50 + chain).split()]
+        for i in range(45):
+            words[(7 * i) % len(words)] = f"x{chain}-{i // (1 + chain)}"
+            rows.append((1000 * chain + i, " ".join(words)))
+    sent, searched = [], ngram_join._searched
+
+    def counted(work, percent):
+        sent.append(work.where("label is not null").count())
+        return searched(work, percent)
+
+    monkeypatch.setattr(ngram_join, "_searched", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, ngram_join.ngram_jaccard_join(df).collect()), key=repr) == brute_components(rows)
+    assert 0 < max(sent) <= 2 * 2 * len(rows)
+
+
 def test_join_of_an_empty_table(docs):
     assert ngram_join.ngram_jaccard_join(docs.limit(0)).collect() == []
 
