@@ -39,6 +39,11 @@ def small_batches(spark) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows by ``keys`` in as many tasks as a shuffle has: work that is long for its bytes is not to be put together into few tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def per_section(sections: DataFrame, kernel, schema: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """kernel(wave, start, *extra) -> list of rows (tuples) for each section; rows get the section's keys in front."""
     full = f"{KEYS}, {schema}"
@@ -75,6 +80,14 @@ def per_sample(sections: DataFrame, kernel, name: str = "y") -> DataFrame:
     return whole.select(*fr.KEYS, "start", F.posexplode(name).alias("_i", name)).select(*fr.KEYS, (F.col("start") + F.col("_i")).alias("idx"), name)
 
 
+def frame_medians(v: np.ndarray, size: int = 41) -> np.ndarray:
+    """The median of the centred frame of each sample, NaN where the frame is not whole."""
+    out, half = np.full(len(v), np.nan), size // 2
+    if len(v) >= size:
+        out[half : len(v) - half] = np.median(np.lib.stride_tricks.sliding_window_view(v, size), axis=1)
+    return out
+
+
 def rolling_medians(samples: DataFrame, size: int = 41, block: int = fr.BLOCK) -> DataFrame:
     """(record_id, idx, v, n, rolling_med): framing.rolling_median for dense signals without gaps, by a kernel over each block of a recording.
     Recordings shorter than a frame have none."""
@@ -83,9 +96,8 @@ def rolling_medians(samples: DataFrame, size: int = 41, block: int = fr.BLOCK) -
         idx, at, n = rows.column("idx").to_numpy(), rows.column("_at")[0].as_py(), rows.column("n")[0].as_py()
         order = np.argsort(idx)
         idx, v, half = idx[order], rows.column("v").to_numpy()[order].astype(float), size // 2
-        out = np.full(len(v), np.nan)
+        out = frame_medians(v, size)
         if len(v) >= size:
-            out[half : len(v) - half] = np.median(np.lib.stride_tricks.sliding_window_view(v, size), axis=1)
             if idx[0] == 0:
                 out[:half] = out[half]
             if idx[-1] == n - 1:
@@ -234,11 +246,16 @@ QUALITY = f"{KEYS}, start long, wave array<double>, med array<double>, kurtosis
 _MEASURES = ("kurtosis", "hjorth", "ratio", "entropy", "f", "band", "peaks", "prominence")
 
 
+def with_medians(sections: DataFrame, medians: DataFrame) -> DataFrame:
+    """Sections with the waves of ``medians`` as ``med``, unless they have that column."""
+    return sections if "med" in sections.columns else sections.join(medians.select(*fr.KEYS, F.col("wave").alias("med")), list(fr.KEYS))
+
+
 def quality_rows(sections: DataFrame, medians: DataFrame, fs: float) -> DataFrame:
     """What each section brings to the fold, worked out side by side: measures, peaks, its beats' profile distances and faults, and its
-    samples. medians: sections of the rolling median. The profile is only taken of turbulent sections that no measure of their own
+    samples. medians: sections of the rolling median (not read where sections have ``med``). The profile is only taken of turbulent sections that no measure of their own
     rejects; the fold takes that of the few others that follow a long silence."""
-    both = sections.join(medians.select(*fr.KEYS, F.col("wave").alias("med")), list(fr.KEYS))
+    both = with_medians(sections, medians)
 
     def kernel(x, start, med):
         own = qu.features(x, med, fs)
@@ -280,7 +297,7 @@ def history_fold(rows: DataFrame, fs: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), shape)] if out else [pa.array([], t.type) for t in shape], schema=shape)
 
     small_batches(rows.sparkSession)
-    return rows.repartition("record_id").sortWithinPartitions("record_id", "wave_section").mapInArrow(run, FOLDED)
+    return dealt(rows, "record_id").sortWithinPartitions("record_id", "wave_section").mapInArrow(run, FOLDED)
 
 
 BEAT = ", ".join(f"{k} long" for k in be.ECG_FIELDS) + ", " + ", ".join(f"{k} int" for k in be.INTERVALS) + ", valid_qrs boolean, isoelectric double"
@@ -291,7 +308,8 @@ def extract_beats(sections: DataFrame, medians: DataFrame, folded: DataFrame, fs
 
     A section's last peak has its P and Q there and opens the next section, where its S and T are: P and Q are handed on to it.
     """
-    both = sections.join(medians.select(*fr.KEYS, F.col("wave").alias("med")), list(fr.KEYS)).join(folded.where("valid = 1").select(*fr.KEYS, "r_idx", "prominence"), list(fr.KEYS))
+    # the waves are never sent to all tasks, however small their plan believes them: both sides of the joins are shuffled once and used again
+    both = with_medians(sections, medians).hint("merge").join(folded.where("valid = 1").select(*fr.KEYS, "r_idx", "prominence"), list(fr.KEYS))
 
     def last(x, start, med, peaks, prominence):
         if len(peaks) < 2:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,12 +60,52 @@ def ecg(spark, sf) -> DataFrame:
     return rows.select("record_id", "idx", F.round(F.when((place >= 100) & (place < 165), 0.5 * noise).otherwise(clean), 6).alias("v"), "n")
 
 
+def _ecg_wave(values: np.ndarray, idx: np.ndarray, off: int) -> np.ndarray:
+    """ecg's samples ``idx`` (ascending, of whole events) from the events' values."""
+    v, t = np.repeat(values, PER_EVENT), idx / ECG_FS
+    place, phase = np.fmod(t + off, CYCLE), np.fmod(t, BEAT_S)
+    bell = lambda at, width: np.exp(-(((phase - at) / width) ** 2) / 2)
+    beat = (1.1 + 0.001 * v) * bell(0.26, 0.009)
+    for at, width, height in _WAVES:
+        beat = beat + height * bell(at, width)
+    noise = np.sin(0.37 * (idx * (idx % 1009) % 8191))
+    clean = np.where((place >= 90) & (place < 100), 0.3, 1.0) * beat + 0.02 * np.sin(math.pi / 2 * t) + 0.004 * noise
+    return np.round(np.where((place >= 100) & (place < 165), 0.5 * noise, clean), 6)
+
+
 def ecg_sections(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """Sections of 10 s of the ECG, and of its rolling median."""
-    rows = fr.section_join(wf.rolling_medians(ecg(spark, sf)), ECG_FS, SECONDS, OVERLAP).select("record_id", "wave_section", "idx", "v", "rolling_med")
-    both = rows.groupBy(*K).agg(F.array_sort(F.collect_list(F.struct("idx", "v", "rolling_med"))).alias("r"))
-    part = lambda c: both.select(*K, F.col("r")[0]["idx"].alias("start"), F.transform("r", lambda x: x[c]).alias("wave"))
-    return part("v"), part("rolling_med")
+    """Sections of 10 s of the ECG (with its rolling median as ``med``), and of its rolling median.
+
+    Events, not samples, meet their sections and are shuffled, with one event more on either side for the median's frames; a kernel makes
+    the samples. Full sections end before the recording's last event, so no frame is cut short there.
+    """
+    size, step = (int(s * ECG_FS / PER_EVENT) for s in (SECONDS, SECONDS * (1 - OVERLAP)))
+    k, i = F.col("wave_section"), F.col("idx")
+    full = F.ceil((F.col("n") - size) / step)
+    span = F.sequence(F.greatest(F.lit(0), F.ceil((i - size) / step)).cast("int"), F.least(full - 1, F.floor((i + 1) / step)).cast("int"), F.lit(1))
+    met = measured(spark, sf).where((F.col("n") > size) & (i <= (full - 1) * step + size)).withColumn("wave_section", F.explode(span))
+    held = wf.dealt(met, *K).groupBy(*K).agg(F.array_sort(F.collect_list(F.struct("idx", "v"))).alias("r"))
+    rows = held.select(*K, (k * step * PER_EVENT).cast("long").alias("start"), (F.col("r")[0]["idx"] * PER_EVENT).alias("first"), F.transform("r", lambda x: x["v"].cast("double")).alias("values"), _offset().alias("off"))
+
+    def run(batches):
+        for batch in batches:
+            waves, meds = [], []
+            for start, first, values, off in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5).to_pylist()):
+                values = values.values.to_numpy(zero_copy_only=False).astype(float)
+                x = _ecg_wave(values, np.arange(first, first + PER_EVENT * len(values)), off)
+                med = wf.frame_medians(x)
+                at = start - first
+                if first == 0:
+                    med[:20] = med[20]
+                waves.append(x[at : at + size * PER_EVENT])
+                meds.append(med[at : at + size * PER_EVENT])
+            ends = pa.array(np.arange(len(waves) + 1, dtype=np.int32) * size * PER_EVENT)
+            whole = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0), *part]), from_pandas=True)) for part in (waves, meds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *whole], ["record_id", "wave_section", "start", "wave", "med"])
+
+    wf.small_batches(spark)
+    both = rows.mapInArrow(run, f"{wf.KEYS}, start long, wave array<double>, med array<double>")
+    return both, both.select(*K, "start", F.col("med").alias("wave"))
 
 
 def ecg_folded(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pulseloom.functions import kernels as kn
 from pulseloom.functions import scalars as sc
 from pulseloom.operators import framing as fr
 from pulseloom.operators import metrics as me
@@ -349,3 +350,29 @@ def test_blocks_are_in_order(spark):
     got = [(r.t is not None, r.t, r.id, r._b) for r in fr.placed(df, "t", "id", bits=4).collect()]
     got.sort(key=lambda r: (r[0], r[1] or 0, r[2]))
     assert [r[3] for r in got] == sorted(r[3] for r in got) and {r[3] for r in got} == set(range(16))
+
+
+def test_ecg_sections_are_made_of_few_rows(spark):
+    from pulseloom.plans import waveform_queries as wq
+
+    sf = "/root/testdata/sf0.001"
+    rows = fr.section_join(wf.rolling_medians(wq.ecg(spark, sf)), wq.ECG_FS, wq.SECONDS, wq.OVERLAP).groupBy(*fr.KEYS).agg(F.array_sort(F.collect_list(F.struct("idx", "v", "rolling_med"))).alias("r"))
+    want = {(r.record_id, r.wave_section): ([x.idx for x in r.r][0], [x.v for x in r.r], [x.rolling_med for x in r.r]) for r in rows.collect()}
+    waves, meds = wq.ecg_sections(spark, sf)
+    assert want == {(r.record_id, r.wave_section): (r.start, r.wave, r.med) for r in waves.collect()}
+    assert {k: v[2] for k, v in want.items()} == {(r.record_id, r.wave_section): r.wave for r in meds.collect()}
+    plan = wf.extract_beats(*wq.ecg_folded(spark, sf), wq.ECG_FS)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" not in plan  # no sample is shuffled alone
+    assert "BroadcastHashJoin" not in plan.split("MapInArrow")[0]
+
+
+def test_one_profile_whichever_way():
+    rng = np.random.default_rng(5)
+    for x, m in ((rng.normal(size=300), 20), (np.sin(np.arange(400) * np.pi / 25), 25), (rng.integers(0, 4, 300) + np.arange(300) % 7 * 0.1, 12), (rng.normal(size=30), 28)):
+        x = np.asarray(x, float)
+        mean, sd = kn._moving(x, m)
+        dist, near = kn.matrix_profile(x, m)
+        for i in range(len(mean)):
+            d = kn._distances(np.array([np.dot(x[i : i + m], x[j : j + m]) for j in range(len(mean))]), m, mean, sd, mean[i], sd[i])
+            d[max(0, i - -(-m // 4)) : i + -(-m // 4) + 1] = np.inf
+            assert abs(dist[i] - d.min()) < 1e-5 if np.isfinite(d.min()) else dist[i] == np.inf and near[i] == -1
