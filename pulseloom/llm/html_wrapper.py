@@ -15,6 +15,8 @@ takes linear space, so neither deep nor wide pages are an obstacle.
 from __future__ import annotations
 
 import html as entities
+import base64
+import hashlib
 import json
 import zlib
 
@@ -47,8 +49,8 @@ _TAG = regex.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)
 _PLAIN_TAG = regex.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _NAMED = regex.compile(r"""(?:^|\s)(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", regex.IGNORECASE)
 SALTS, SLICE = 32, 4 << 20
-#: Distinct pages that a wrapper's elements remember, those of the least hash; the share of them that must agree on a constant text.
-SAMPLE, SHARE = 32, 0.5
+#: The share of a host's distinct pages that must agree on a constant text.
+SHARE = 0.5
 #: What letters weigh in an element that says it is the article (+) or whose name hints at it (~), against any other.
 WEIGHT = {"+": 32, "~": 2}
 #: Cells of an alignment's table; larger ones are halved.
@@ -59,7 +61,8 @@ class Node:
     """An element of a page or of a wrapper. shape: L mostly links, H holds blocks with text and a heading among them, B blocks, T text, E none.
 
     plain and linked are the letters of its own text outside and inside of links, text its crc (0: none, -1: slot). Of a wrapper only:
-    repeated, optional and pages, the least hashes of the distinct pages that have the element.
+    repeated, optional and pages, hashes of all pages that have the element (elements of the same pages share one array). They are counted for
+    constants only: slots and repeated groups have none.
     """
 
     __slots__ = ("key", "shape", "children", "kids", "plain", "linked", "text", "repeated", "optional", "pages", "folded")
@@ -209,7 +212,7 @@ def measured(root: Node) -> Node:
             up[1] += linked
             if plain + linked and (inside != "T" or node.tag in BLOCK) and up[2] != "H":
                 up[2] = "H" if node.tag in HEADING else "B"
-    root.pages = [_crc("\n".join(texts))]
+    root.pages = np.frombuffer(hashlib.blake2b("\n".join(texts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), np.uint64)
     return root
 
 
@@ -297,6 +300,9 @@ def aligned(xs: list[tuple[str, str]], ys: list[tuple[str, str]]) -> list[tuple[
 # ---------------------------------------------------------------- wrappers
 
 
+_NONE = np.zeros(0, np.uint64)
+
+
 class Column:
     """Elements of aligned pages that stand at one place of a wrapper."""
 
@@ -326,24 +332,24 @@ def _columns(node: Node) -> list[Column]:
     return out
 
 
-def _sample(group: list[Node]) -> list[int]:
-    pages = group[0].pages
-    for node in group:
-        if node.pages is not pages and not (len(node.pages) == 1 and node.pages[0] in pages):
-            pages = sorted({*pages, *node.pages})[:SAMPLE]
-    return pages
-
-
 def merged(group: list[Node]) -> Node:
     """The least wrapper of measured pages and wrappers: aligned elements, mismatches as optional groups, differing texts as slots."""
-    root = Node(group[0].key)
+    root, all_of = Node(group[0].key), group  # what is merged stays, so that ids tell its arrays apart
+    met: dict[tuple, np.ndarray] = {}
     todo = [(group, root)]
     while todo:
         group, out = todo.pop()
         first = group[0]
-        out.shape, out.folded, out.pages = first.shape, True, _sample(group)
+        out.shape, out.folded = first.shape, True
         out.plain, out.linked = sum(n.plain for n in group), sum(n.linked for n in group)
         out.text = first.text if all(n.text == first.text for n in group) else -1
+        out.pages = _NONE
+        if out is root or out.text >= 0 and not out.repeated:
+            own = {id(n.pages): n.pages for n in group}
+            which = tuple(own)
+            if which not in met:
+                met[which] = np.concatenate(list(own.values())) if len(own) > 1 else first.pages
+            out.pages = met[which]
         if len(group) == 1 and first.folded:
             out.kids = first.kids
             continue
@@ -371,6 +377,7 @@ def merged(group: list[Node]) -> Node:
             kid.repeated, kid.optional = column.repeated, column.optional
             out.kids.append(kid)
             todo.append((column.members, kid))
+    del all_of
     return root
 
 
@@ -380,15 +387,21 @@ def page_wrapper(page: Node) -> Node:
 
 
 def packed(wrapper: Node) -> str:
-    return json.dumps([[n.key, n.shape, n.repeated, n.optional, n.pages, n.plain, n.linked, n.text, len(n.kids)] for n in preorder(wrapper)])
+    order = preorder(wrapper)
+    arrays = {id(n.pages): n.pages for n in order}
+    place = {k: i for i, k in enumerate(arrays)}
+    sets = [base64.b64encode(np.unique(a).tobytes()).decode() for a in arrays.values()]
+    return json.dumps([sets, [[n.key, n.shape, n.repeated, n.optional, place[id(n.pages)], n.plain, n.linked, n.text, len(n.kids)] for n in order]])
 
 
 def unpacked(text: str) -> Node:
     root, todo = None, []
-    for key, *rest, size in json.loads(text):
+    sets, rows = json.loads(text)
+    arrays = [np.frombuffer(base64.b64decode(x), np.uint64) for x in sets]
+    for key, *rest, size in rows:
         node = Node(key)
-        node.shape, node.repeated, node.optional, node.pages, node.plain, node.linked, node.text = rest
-        node.folded = True
+        node.shape, node.repeated, node.optional, at, node.plain, node.linked, node.text = rest
+        node.pages, node.folded = arrays[at], True
         if root is None:
             root = node
         else:
@@ -439,14 +452,15 @@ def article(wrapper: Node) -> list[list]:
         up = above[i]
         barred[i] = n.barred or up >= 0 and barred[up]
         weight[i] = max(WEIGHT.get(n.key[-1:], 1), weight[up] if up >= 0 else 1)
-    host = frozenset(wrapper.pages)
+    many = {k: len(np.unique(a)) for k, a in {id(n.pages): n.pages for n in order}.items()}
+    host = many[id(wrapper.pages)]
     letters = [0 if b else n.plain for b, n in zip(barred, order)]
     slots = [x if n.text < 0 else 0 for x, n in zip(letters, order)]
-    varies = len(host) > 1 and any(slots)
+    varies = host > 1 and any(slots)
     own = slots if varies else letters
     total, direct, inner = own[:], own[:], [False] * len(order)
     block = [n.tag in BLOCK for n in order]
-    steady = [n.text >= 0 and not n.repeated and len(host.intersection(n.pages)) >= max(3 if w == WEIGHT["+"] else 2, SHARE * len(host)) for n, w in zip(order, weight)]
+    steady = [n.text >= 0 and not n.repeated and many[id(n.pages)] >= max(3 if w == WEIGHT["+"] else 2, SHARE * host) for n, w in zip(order, weight)]
     for i in range(len(order) - 1, 0, -1):
         n, up = order[i], above[i]
         total[up] += total[i]

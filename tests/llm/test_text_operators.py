@@ -645,3 +645,17 @@ def test_odd_pages(spark):
     got = {r.page_id: r.text for r in html_wrapper.extract_main_text(df).collect()}
     assert got[0] == got[1] == "" and got[2] == "plain" and got[8].count("\n") == 2999 and got[10] == "&bogus; A"
     assert html_wrapper.extract_main_text(df.limit(0)).collect() == []
+
+
+def test_constant_blocks_are_counted_on_all_pages(spark):
+    """A block on 40 of 140 pages is not constant on half of them, whichever pages have the least hashes."""
+    same = "The same sentence stands here on some of the pages."
+    text = [f"Article number {i} says {i * 7919 % 1000} things of its own." for i in range(4000)]
+    low = [t for t in text if html_wrapper._crc(f"{t}\n{same}") < 0.2 * 2**32][:40]
+    high = [t for t in text if html_wrapper._crc(t) > 0.4 * 2**32 and t not in low][:100]
+    pages = [f"<html><body><div><p>{t}</p><h2>{same}</h2></div></body></html>" for t in low] + [f"<html><body><div><p>{t}</p></div></body></html>" for t in high]
+    df = spark.createDataFrame([(i, "http://a.example/x", p) for i, p in enumerate(pages + pages[-3:])], "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r.text for r in html_wrapper.extract_main_text(df).collect()}
+    assert [got[i] for i in range(143)] == [f"{t}\n{same}" for t in low] + high + high[-3:]
+    wrapper = html_wrapper.merged([html_wrapper.measured(html_wrapper.parse(p)) for p in pages + pages[:9]])
+    assert len(np.unique(html_wrapper.unpacked(html_wrapper.packed(wrapper)).pages)) == 140
